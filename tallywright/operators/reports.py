@@ -166,6 +166,12 @@ def product_measures(orders, catalog=None, products=(), start=None, end=None, ca
     )
 
 
+def product_pieces(orders: DataFrame, flt: SalesFilter, catalog: Catalog | None = None) -> DataFrame:
+    """Measures per day and product text: all tables of the product tab follow from it."""
+    keys = {"date": day_of(F.col("creation_date")), "product": F.col("content")}
+    return totals(orders, flt, catalog, keys, list(_measures()))
+
+
 def paid_products(orders, catalog=None, start=None, end=None, category=None) -> DataFrame:
     """Products with at least one paid order."""
     flt = SalesFilter(start, end, categories=category)

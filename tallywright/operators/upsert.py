@@ -40,8 +40,11 @@ def stored_keys(current: DataFrame, batch: DataFrame, key: str = "id", *keep: st
 
 
 def mark_stored(last: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """The reduced batch with ``__found``: is the key stored already?"""
-    flags = stored.select(key, F.lit(True).alias(_FOUND))
+    """The reduced batch with ``__found``: is the key stored already?
+
+    Other columns of ``stored`` come along, null for new keys.
+    """
+    flags = stored.withColumn(_FOUND, F.lit(True))
     return last.join(flags, key, "left").withColumn(_FOUND, F.coalesce(_FOUND, F.lit(False)))
 
 

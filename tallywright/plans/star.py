@@ -7,7 +7,6 @@ The SQL below runs unchanged in Spark and in DuckDB ({STR} is the text type, and
 from __future__ import annotations
 
 import threading
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import append_ids
 from tallywright.operators.catalog import Catalog
 from tallywright.operators.filters import MONTH_SLOT
-from tallywright.session import shared_folder
+from tallywright.session import stored
 
 SALES = """
 SELECT concat_ws('-', CAST(l_orderkey AS {STR}), CAST(l_linenumber AS {STR}),
@@ -176,20 +175,13 @@ class Star:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.folder = f"{shared_folder(spark)}/tallywright-star-{uuid.uuid4().hex}"
         self._stored: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
 
     def _table(self, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         with self._lock:
             if name not in self._stored:
-                rows = make()
-                writer = (rows.hint("rebalance", by) if by else rows).write
-                if by:
-                    writer = writer.partitionBy(by)
-                writer.parquet(f"{self.folder}/{name}")
-                reader = self.spark.read.schema(rows.schema)
-                self._stored[name] = reader.parquet(f"{self.folder}/{name}")
+                self._stored[name] = stored(make(), f"star-{name}", by)
             return self._stored[name]
 
     @property

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tallywright", master: str | None = None, **conf) -> SparkSession:
@@ -40,3 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tallywright-", dir="/tmp")
         spark.conf.set("spark.tallywright.localShared", folder)
     return folder
+
+
+def stored(frame: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """``frame`` written to the shared folder and read back.
+
+    For a result that several queries start from: it is computed once, survives
+    the loss of executors, and its file sizes let Spark judge what it can
+    broadcast. Partitions are rebalanced before the write: small ones share a
+    file and one that holds much of the data is written by several tasks.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/tallywright-{name}-{uuid.uuid4().hex}"
+    if partition_by:
+        frame.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

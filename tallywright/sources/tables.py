@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from tallywright.operators.filters import MONTH_SLOT
 from tallywright.schemas import CONTACTS_SCHEMA, LINKS_SCHEMA, NAMED_SCHEMA, ORDERS_SCHEMA
 
-CONTACT_SLOTS = 64
-_LOG = "slot string, slot_version long, tag long"
+CONTACT_SLOTS = 16
+_LOG = "slot string, slot_version long"
 
 
 @dataclass(frozen=True)
@@ -61,31 +61,28 @@ class TableStore:
 
     # --- reading ---------------------------------------------------------
 
-    def state(self, name: str) -> tuple[int, dict[str, int], int | None]:
-        """Latest version, the version of each slot, and the last writer's tag.
+    def state(self, name: str) -> tuple[int, dict[str, int]]:
+        """The latest version and the version of each slot.
 
-        The log holds one row per slot, so this collects as many rows as the
-        table has slots.
+        Every log file lists all slots, so this collects one row per slot.
         """
         try:
             log = self.spark.read.schema(f"{_LOG}, version long").parquet(f"{self.root}/{name}/log")
-            rows = log.join(
-                log.agg(F.max("version").alias("version")), "version"
-            ).collect()
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = []
+            return 0, {}
+        newest = log.agg(F.max("version").alias("version")).scalar()
+        rows = log.filter(F.col("version") == newest).collect()
         if not rows:
-            return 0, {}, None
-        slots = {r.slot: r.slot_version for r in rows if r.slot is not None}
-        return rows[0].version, slots, rows[0].tag
+            return 0, {}
+        return rows[0].version, {r.slot: r.slot_version for r in rows if r.slot is not None}
 
     def read(self, name: str, slots: set[str] | None = None) -> DataFrame:
         """The current rows; the slot column comes last. ``slots`` limits the read."""
         spec = self.tables[name]
-        _, current, _ = self.state(name)
-        schema = T.StructType([*spec.schema.fields, T.StructField(spec.slot, T.StringType())])
+        _, current = self.state(name)
+        schema = self._stored_schema(name)
         base = f"{self.root}/{name}/data"
         paths = [
             f"{base}/version={version}/{spec.slot}={slot}"
@@ -97,22 +94,20 @@ class TableStore:
         rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
         return rows.select(*schema.fieldNames())
 
+    def _stored_schema(self, name: str) -> T.StructType:
+        spec = self.tables[name]
+        return T.StructType([*spec.schema.fields, T.StructField(spec.slot, T.StringType())])
+
     # --- writing ---------------------------------------------------------
 
     def with_slot(self, name: str, rows: DataFrame) -> DataFrame:
         spec = self.tables[name]
         return rows.withColumn(spec.slot, spec.slot_of())
 
-    def publish(
-        self, name: str, rows: DataFrame, touched: set[str] | None = None, tag: int | None = None
-    ) -> int:
-        """Make ``rows`` the content of the ``touched`` slots (of all, if not given).
-
-        ``tag`` is kept in the log; a caller that may be run twice for the same
-        input compares it to skip the second run.
-        """
+    def publish(self, name: str, rows: DataFrame, touched: set[str] | None = None) -> int:
+        """Make ``rows`` the content of the ``touched`` slots (of all, if not given)."""
         spec = self.tables[name]
-        version, current, _ = self.state(name)
+        version, current = self.state(name)
         version += 1
         folder = f"{self.root}/{name}/data/version={version}"
         fields = [f for f in spec.schema.fieldNames() if f in rows.columns]
@@ -124,16 +119,15 @@ class TableStore:
             .write.mode("overwrite").partitionBy(spec.slot).parquet(folder)
         )
         written = {
-            r[0] for r in self.spark.read.schema(
-                T.StructType([*spec.schema.fields, T.StructField(spec.slot, T.StringType())])
-            ).parquet(folder).select(spec.slot).distinct().collect()
+            r[0] for r in self.spark.read.schema(self._stored_schema(name)).parquet(folder)
+            .select(spec.slot).distinct().collect()
         }
         kept = {} if touched is None else {s: v for s, v in current.items() if s not in touched}
         stray = written & kept.keys()
         if stray:
             raise ValueError(f"rows outside the touched slots of {name}: {sorted(stray)[:5]}")
         slots = kept | dict.fromkeys(written, version)
-        entries = [(s, v, tag) for s, v in sorted(slots.items())] or [(None, None, tag)]
+        entries = sorted(slots.items()) or [(None, None)]
         self.spark.createDataFrame(entries, _LOG).coalesce(1).write.mode("overwrite").parquet(
             f"{self.root}/{name}/log/version={version}"
         )

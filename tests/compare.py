@@ -27,7 +27,7 @@ def connect(folder: str):
 
 def _cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.9g}"
+        return "nan" if math.isnan(value) else repr(value + 0.0)
     return str(value)
 
 
@@ -69,7 +69,8 @@ def main(folder: str, only: list[str]) -> int:
         except Exception as error:  # shown per query, the others go on
             wrong = f"{type(error).__name__}: {str(error)[:600]}"
         failed += bool(wrong)
-        print(f"{'FAIL' if wrong else 'ok  '} {name} {time.time() - began:.2f}s {wrong}", flush=True)
+        rows = con.execute(f"SELECT count(*) FROM ({oracles[name]}) q").fetchall()[0][0]
+        print(f"{'FAIL' if wrong else 'ok  '} {name} {time.time() - began:.2f}s {rows} rows {wrong}", flush=True)
     print(f"{failed} failed")
     return failed
 

@@ -1,0 +1,213 @@
+"""The rules that are easy to get wrong, on literal rows."""
+
+import datetime as dt
+from decimal import Decimal as D
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tallywright.functions import money_text, percent_of, percent_text, round_half_even
+from tallywright.operators import partner as P
+from tallywright.operators import present as V
+from tallywright.operators import reports as R
+from tallywright.operators import totals as X
+from tallywright.operators.catalog import unique_products
+from tallywright.operators.filters import filter_period, filter_products
+from tallywright.schemas import SHARED_SOURCE, TOTAL_LABEL
+
+DAY = "2023-01-10"
+NOON = f"{DAY} 12:00:00"
+
+
+def test_period_ends_before_the_next_midnight(make_orders):
+    orders = make_orders(
+        ("a", 1.0, f"{DAY} 00:00:00"), ("b", 1.0, f"{DAY} 23:59:59"), ("c", 1.0, "2023-01-11 00:00:00")
+    )
+    for start in (DAY, dt.date(2023, 1, 10)):
+        assert [r.content for r in filter_period(orders, start, DAY).collect()] == ["a", "b"]
+
+
+def test_missing_bound_selects_nothing_or_everything(make_orders):
+    orders = make_orders(("a", 1.0, NOON))
+    assert filter_period(orders, DAY, None).count() == 0
+    assert filter_period(orders, "", DAY).count() == 0
+    assert filter_period(orders, None, DAY, optional=True).count() == 1
+
+
+def test_order_counts_once_per_selected_category(make_orders, make_catalog):
+    orders = make_orders(("P", 10.0, NOON))
+    catalog = make_catalog({"P": ["A", "B"]})
+    out = R.monthly_sales(orders, catalog, DAY, DAY, categories=[1, 2])
+    assert rows(out) == [("2023-01", D(20), 2, 2)]
+
+
+def test_exclusion_works_on_links(make_orders, make_catalog):
+    orders = make_orders(("P", 10.0, NOON), ("bare", 5.0, NOON))
+    catalog = make_catalog({"P": ["A", "B"], "bare": []})
+    assert rows(R.monthly_sales(orders, catalog, DAY, DAY, exclude_categories=[1])) == [
+        ("2023-01", D(10), 1, 1)
+    ]
+    assert rows(R.monthly_sales(orders, catalog, DAY, DAY)) == [("2023-01", D(15), 2, 2)]
+
+
+def test_only_monthly_and_category_reports_drop_unpaid(make_orders, make_catalog):
+    orders = make_orders(*[("P", i, NOON) for i in (5.0, 0.0, None, -1.0)])
+    catalog = make_catalog({"P": ["A"]})
+    assert rows(R.product_daily(orders, catalog, ["P"], DAY, DAY)) == [
+        (dt.date(2023, 1, 10), D(4), 4, 1)
+    ]
+    assert rows(R.monthly_sales(orders, catalog, DAY, DAY)) == [("2023-01", D(5), 1, 1)]
+    assert rows(R.category_revenue(orders, catalog)) == [("A", D(5))]
+    assert rows(R.sales_by_day(orders, catalog, DAY, DAY)) == [(dt.date(2023, 1, 10), D(4))]
+
+
+def test_average_check_of_product_and_of_total(make_orders):
+    orders = make_orders(*[("P", i, NOON) for i in (5.0, 0.0, -1.0)])
+    assert rows(R.product_summary(orders, None, (), DAY, DAY)) == [("P", 3, 1, D(4), 5.0)]
+    out = X.product_summary_totals(R.product_measures(orders, None, (), DAY, DAY))
+    assert [float(r.average_check) for r in out.collect()] == [5.0, 4.0]
+
+
+def test_no_payment_means_no_average_check(make_orders):
+    orders = make_orders(("P", 0.0, NOON))
+    summary = R.product_summary(orders, None, (), DAY, DAY)
+    assert summary.first().average_check is None
+    assert V.rounded_product_summary(summary).first().average_check == 0
+    out = X.product_summary_totals(R.product_measures(orders, None, (), DAY, DAY))
+    assert [float(r.average_check) for r in out.collect()] == [0.0, 0.0]
+
+
+def test_running_income_has_no_row_for_days_without_orders(make_orders):
+    orders = make_orders(("P", 1.0, NOON), ("P", 2.0, "2023-01-13 10:00:00"))
+    out = rows(R.product_cumulative(orders, None, ["P"], DAY, "2023-01-31"))
+    assert [(d.day, float(c)) for d, _, _, _, c in out] == [(10, 1.0), (13, 3.0)]
+
+
+def test_empty_filters_mean_no_filter(make_orders, make_catalog):
+    orders = make_orders(("P", 1.0, NOON))
+    catalog = make_catalog({"P": []})
+    for nothing in (None, [], ()):
+        out = R.monthly_sales(orders, catalog, DAY, DAY, categories=nothing, products=nothing,
+                              exclude_categories=nothing, exclude_products=nothing)
+        assert out.count() == 1
+    assert R.sales_by_day(orders, catalog, DAY, DAY, 0).count() == 1
+
+
+def test_product_exclusion_drops_orders_without_text(make_orders):
+    orders = make_orders(("P", 1.0, NOON), (None, 1.0, NOON))
+    assert filter_products(orders, exclude=["x"]).count() == 1
+
+
+def test_null_product_is_a_row_next_to_the_total(make_orders):
+    orders = make_orders((None, 3.0, NOON))
+    out = X.product_summary_totals(R.product_measures(orders, None, (), DAY, DAY))
+    assert [(r.product, float(r.total_income), r.is_total) for r in out.collect()] == [
+        (None, 3.0, False), (TOTAL_LABEL, 3.0, True)
+    ]
+    assert unique_products(orders).count() == 0
+
+
+@pytest.fixture
+def partner_rows(spark, make_orders):
+    contacts = spark.createDataFrame(
+        [("1", "Ann"), ("2", None), ("3", SHARED_SOURCE)], "id string, full_name string"
+    )
+    orders = make_orders(
+        ("P", 5.0, NOON, "1"), ("P", 1.0, NOON, "1"), ("P", 2.0, NOON, "2"),
+        ("P", 3.0, NOON, "3"), ("P", 4.0, NOON, "9"), ("P", None, NOON, None),
+        ("P", 9.0, "2023-01-11 00:00:00", "1"),
+    )
+    return orders, contacts
+
+
+def test_sources_without_named_contact_are_shared(partner_rows):
+    assert rows(P.partner_report(*partner_rows, DAY, DAY)) == [
+        ("Ann", "1", 2, D(6)), (SHARED_SOURCE, "9", 1, D(4)), (SHARED_SOURCE, "3", 1, D(3)),
+        (SHARED_SOURCE, "2", 1, D(2)), (SHARED_SOURCE, None, 1, None),
+    ]
+
+
+def test_exclusion_compares_the_label(partner_rows):
+    assert rows(P.partner_report(*partner_rows, DAY, DAY, exclude_common=True)) == [("Ann", "1", 2, D(6))]
+
+
+def test_partner_report_without_a_bound_is_empty(partner_rows):
+    assert P.partner_report(*partner_rows, DAY, None).count() == 0
+
+
+def test_partners_by_registrations(partner_rows):
+    out = rows(P.by_registrations(P.partner_report(*partner_rows, DAY, "2023-01-11")))
+    assert out[0] == ("Ann", "1", 3, D(15))
+
+
+def test_totals_of_rounded_and_of_exact_amounts(make_orders, make_catalog):
+    orders = make_orders(("P", 0.125, NOON), ("Q", 0.125, NOON))
+    catalog = make_catalog({"P": ["A"], "Q": ["B"]})
+    period = X.paid_products_totals(R.paid_products(orders, catalog, DAY, DAY))
+    assert [str(r.total_income) for r in period.collect()] == ["0.12", "0.12", "0.24"]
+    category = X.category_revenue_totals(R.category_revenue(orders, catalog))
+    assert [str(r.total_revenue) for r in category.collect()] == ["0.12", "0.12", "0.25"]
+
+
+def test_total_of_nothing_is_zero(make_orders):
+    orders = make_orders(("P", None, NOON))
+    assert R.product_summary(orders, None, (), DAY, DAY).first().total_income is None
+    out = X.product_summary_totals(R.product_measures(orders, None, (), DAY, DAY)).collect()
+    assert (out[0].total_income, out[1].total_income) == (None, 0)
+
+
+def test_empty_report_has_no_total_row(make_orders):
+    orders = make_orders(("P", 1.0, NOON))
+    empty = R.monthly_sales(orders, None, "2020-01-01", "2020-01-02")
+    assert X.monthly_totals(empty).count() == 0
+    assert rows(X.summary_line(empty)) == [(D(0), 0, 0.0, 0.0)]
+
+
+def test_category_choice_must_be_integers(make_orders, make_catalog):
+    with pytest.raises(TypeError):
+        R.sales_by_day(make_orders(("P", 1.0, NOON)), make_catalog({"P": []}), DAY, DAY, "A")
+
+
+def test_rounding_is_half_even(spark):
+    frame = spark.sql("SELECT CAST(x AS DECIMAL(18,4)) AS x FROM VALUES (0.125), (0.135), (-0.125) AS t(x)")
+    assert [str(r[0]) for r in frame.select(round_half_even(F.col("x"))).collect()] == [
+        "0.12", "0.14", "-0.12"
+    ]
+
+
+def test_percent_text_has_no_exponent(spark):
+    frame = spark.sql("SELECT CAST(12345678901.5 AS DECIMAL(18,4)) AS x")
+    shown = percent_text(percent_of(F.col("x"), 1.0))
+    assert frame.select(shown).first()[0] == "1234567890150.00%"
+    for base in (None, 0, -5):
+        assert frame.select(percent_text(percent_of(F.col("x"), base))).first()[0] == "N/A"
+
+
+def test_money_text(spark):
+    frame = spark.sql("SELECT CAST(x AS DECIMAL(18,4)) AS x FROM VALUES (1234567.891), (0), (-1500.5) AS t(x)")
+    assert [r[0] for r in frame.select(money_text(F.col("x"))).collect()] == [
+        "1 234 567.89", "0.00", "-1 500.50"
+    ]
+
+
+def test_freshness_is_moscow_time(spark, make_orders):
+    orders = make_orders(("P", 1.0, "2023-01-10 22:00:00"))
+    contacts = make_orders(("P", 1.0, None)).select("id", "creation_date")
+    shown = V.freshness_text(R.freshness(orders, contacts)).first()
+    assert shown.latest_order_text == "11-01-2023 01:00"
+    assert shown.latest_contact_text == "Нет данных"
+
+
+def test_fund(spark, make_orders, make_catalog):
+    orders = make_orders(("P", 1000.0, "2023-01-10 22:00:00"))
+    catalog = make_catalog({"P": ["A"]})
+    totals = X.product_summary_totals(R.product_measures(orders, catalog, (), DAY, DAY, 1))
+    latest = R.max_creation_date(orders, catalog, (), DAY, DAY, 1)
+    shown = V.fund_allocation(totals, latest, "Spring Fest", "Fest", "Fund").first()
+    assert shown.title == "Fund на 11.01.2023 01:00"
+    assert (float(shown.fund_income), float(shown.fund_after_tax), shown.employee_income) == (200, 188, 94)
+    for people in (None, 0, -1):
+        assert V.fund_allocation(totals, latest, "Spring Fest", "Fest", "Fund", people).first().employee_income == 0
+    hidden = V.fund_allocation(totals, latest, "Spring", "Fest", "Fund").first()
+    assert (hidden.visible, hidden.title, hidden.fund_income) == (False, "Fund", None)
