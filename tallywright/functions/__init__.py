@@ -1,8 +1,7 @@
 from tallywright.functions.ids import append_ids
 from tallywright.functions.scalars import (
-    AMOUNT,
-    amount,
     day_of,
+    exact_sum,
     local_text,
     money_text,
     month_start,
@@ -14,7 +13,6 @@ from tallywright.functions.scalars import (
 )
 
 __all__ = [
-    "AMOUNT", "amount", "append_ids", "day_of", "local_text", "money_text",
-    "month_start", "month_text", "percent_of", "percent_text", "ratio",
-    "round_half_even",
+    "append_ids", "day_of", "exact_sum", "local_text", "money_text", "month_start",
+    "month_text", "percent_of", "percent_text", "ratio", "round_half_even",
 ]

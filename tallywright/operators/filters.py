@@ -9,8 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Name of the month column by which stored orders are partitioned.
+# The month column by which stored orders are partitioned, and its value for
+# orders without a creation date.
 MONTH_SLOT = "creation_month"
+NO_MONTH = "none"
 
 Day = dt.date | str | None
 
@@ -138,3 +140,8 @@ def orders_by_source(orders: DataFrame, utm_source: str) -> DataFrame:
     return orders.filter(F.col("utm_source") == utm_source).select(
         "id", "number", "status", "creation_date", "content", "income", "utm_source"
     )
+
+
+def month_slot() -> Column:
+    """The month an order is stored under."""
+    return F.coalesce(F.date_format("creation_date", "yyyy-MM"), F.lit(NO_MONTH))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions import amount
+from tallywright.functions import exact_sum
 from tallywright.operators.filters import filter_period
 from tallywright.schemas import SHARED_SOURCE
 
@@ -32,7 +32,7 @@ def partner_report(
         .groupBy("utm_source")
         .agg(
             F.count(F.lit(1)).alias("order_count"),
-            F.sum(amount(F.col("income"))).alias("total_income"),
+            exact_sum(F.col("income")).alias("total_income"),
         )
     )
     names = contacts.select(F.col("id").alias("utm_source"), "full_name")

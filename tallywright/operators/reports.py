@@ -6,7 +6,7 @@ joins the (much smaller) groups with the catalog. The order table is shuffled
 once, after map-side aggregation, whatever share of it one product holds; the
 one-to-many step to categories multiplies groups instead of orders.
 
-Amounts come out as decimals, see ``tallywright.functions.amount``.
+Amounts come out as decimals, see ``tallywright.functions.exact_sum``.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions import amount, day_of, month_start, month_text
+from tallywright.functions import day_of, exact_sum, month_start, month_text
 from tallywright.operators.catalog import Catalog
-from tallywright.operators.filters import SalesFilter
+from tallywright.operators.filters import MONTH_SLOT, NO_MONTH, SalesFilter
 
 
 def _measures() -> dict[str, Column]:
@@ -28,8 +28,8 @@ def _measures() -> dict[str, Column]:
         # An order id is never null, so rows are counted and ids are not read.
         "total_orders": F.count(F.lit(1)),
         "paid_orders": F.count(F.when(paid, 1)),
-        "income": F.sum(amount(income)),
-        "paid_income": F.sum(F.when(paid, amount(income))),
+        "income": exact_sum(income),
+        "paid_income": exact_sum(F.when(paid, income)),
         "latest": F.max("creation_date"),
     }
 
@@ -290,9 +290,12 @@ def order_count(orders: DataFrame) -> DataFrame:
 
 
 def freshness(orders: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Latest creation time of orders and of contacts, in one row."""
+    """Latest creation time of orders and of contacts, in one row.
+
+    Of stored orders only the newest month is read.
+    """
     nothing = F.lit(None).cast("timestamp_ntz")
-    both = orders.agg(F.max("creation_date").alias("latest_order")).select(
+    both = newest_month(orders).agg(F.max("creation_date").alias("latest_order")).select(
         "latest_order", nothing.alias("latest_contact")
     ).unionByName(
         contacts.agg(F.max("creation_date").alias("latest_contact")).select(
@@ -302,3 +305,11 @@ def freshness(orders: DataFrame, contacts: DataFrame) -> DataFrame:
     return both.agg(
         F.max("latest_order").alias("latest_order"), F.max("latest_contact").alias("latest_contact")
     )
+
+
+def newest_month(orders: DataFrame) -> DataFrame:
+    """Stored orders of the newest month; other frames as they are."""
+    if MONTH_SLOT not in orders.columns:
+        return orders
+    months = orders.filter(F.col(MONTH_SLOT) != NO_MONTH).select(MONTH_SLOT)
+    return orders.filter(F.col(MONTH_SLOT) == months.agg(F.max(MONTH_SLOT)).scalar())

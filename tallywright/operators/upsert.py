@@ -71,8 +71,9 @@ def merged(current: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:
     a left join that streams the table past the batch (no shuffle of the table
     where the batch is small); new rows are appended to it.
     """
-    fields = current.columns
-    carried = [f for f in fields if f in marked.columns and f != key]
+    types = {f.name: f.dataType for f in current.schema.fields}
+    fields, given = list(types), set(marked.columns)
+    carried = [f for f in fields if f in given and f != key]
     updates = marked.filter(_FOUND).select(
         key, F.struct(*carried).alias("__new"), F.lit(True).alias("__hit")
     )
@@ -82,7 +83,6 @@ def merged(current: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:
         for f in fields
     ]
     kept = current.join(updates, key, "left").select(*taken)
-    types = {f.name: f.dataType for f in current.schema.fields}
     created = marked.filter(~F.col(_FOUND)).select(
         *[F.col(f) if f in carried or f == key else F.lit(None).cast(types[f]).alias(f)
           for f in fields]
@@ -91,6 +91,20 @@ def merged(current: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:
 
 
 def upsert(current: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """``merged`` for a batch that was not reduced and marked before."""
+    """The table after a batch of unknown size, in one pass over each.
+
+    One full outer join on the key, so each side is shuffled once. For a small
+    batch on a large table reduce, mark and store the batch first and use
+    ``merged``, as the import job does.
+    """
     last = last_rows(batch, key)
-    return merged(current, mark_stored(last, stored_keys(current, last, key), key), key)
+    carried = [f for f in current.columns if f in last.columns and f != key]
+    new = last.select(F.col(key).alias("__key"), F.struct(*carried).alias("__new"))
+    hit = F.col("__key").isNotNull()
+    taken = [
+        F.coalesce("__key", key).alias(f) if f == key
+        else F.when(hit, F.col(f"__new.{f}")).otherwise(F.col(f)).alias(f) if f in carried
+        else F.col(f)
+        for f in current.columns
+    ]
+    return current.join(new, F.col(key) == F.col("__key"), "full").select(*taken)

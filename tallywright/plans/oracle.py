@@ -171,6 +171,19 @@ def _fund(visible: bool) -> str:
         {figure('t * 0.20 * 0.94')} / 3 AS employee_income FROM {total} x"""
 
 
+def _freshness(orders: str) -> str:
+    def local(column: str) -> str:
+        return (
+            f"coalesce(strftime({column} AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Moscow', "
+            f"'%d-%m-%Y %H:%M'), '{NO_DATA}')"
+        )
+
+    return f"""SELECT {_time('o', 'latest_order')}, {_time('c', 'latest_contact')},
+        {local('o')} AS latest_order_text, {local('c')} AS latest_contact_text
+        FROM (SELECT (SELECT max(creation_date) FROM {orders}) AS o,
+                     (SELECT max(creation_date) FROM contacts) AS c) x"""
+
+
 _MARKED = """SELECT r.id, count(*) AS copies, max(CASE WHEN c.id IS NULL THEN 0 ELSE 1 END) AS found
     FROM rep_orders r LEFT JOIN cur_orders c ON c.id = r.id GROUP BY r.id"""
 
@@ -375,12 +388,8 @@ def oracle_queries() -> dict[str, str]:
         "partner_report": _with(["sales", "contacts"], _as_double(_partners(_PARTNER_EVER), "total_income")),
         "partner_by_registrations": _with(["sales", "contacts"],
             _as_double(_partners(_PARTNER_YEAR), "total_income")),
-        "freshness": _with(["intraday", "contacts"], f"""SELECT {_time('o', 'latest_order')},
-            {_time('c', 'latest_contact')},
-            coalesce(strftime(o AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Moscow', '%d-%m-%Y %H:%M'), '{NO_DATA}') AS latest_order_text,
-            coalesce(strftime(c AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Moscow', '%d-%m-%Y %H:%M'), '{NO_DATA}') AS latest_contact_text
-            FROM (SELECT (SELECT max(creation_date) FROM intraday) AS o,
-                         (SELECT max(creation_date) FROM contacts) AS c) x"""),
+        "freshness": _with(["intraday", "contacts"], _freshness("intraday")),
+        "freshness_of_tables": _with(["sales", "contacts"], _freshness("sales")),
         "order_count": _with(["sales"], "SELECT count(*) AS order_count FROM sales"),
         "category_share": _with(_LINKED, f"""SELECT category_name, {_num('total_revenue', 'total_revenue')},
             CAST(total_revenue AS DOUBLE) / CAST(sum(total_revenue) OVER () AS DOUBLE) AS share

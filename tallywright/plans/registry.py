@@ -484,6 +484,13 @@ def freshness(spark, sf_dir):
     return _dates_as_text(V.freshness_text(latest), ["latest_order", "latest_contact"])
 
 
+@_star_query
+def freshness_of_tables(star):
+    return _dates_as_text(
+        V.freshness_text(R.freshness(star.orders, star.contacts)), ["latest_order", "latest_contact"]
+    )
+
+
 @_star_query
 def order_count(star):
     return R.order_count(star.orders)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import append_ids
 from tallywright.operators.catalog import Catalog
-from tallywright.operators.filters import MONTH_SLOT
+from tallywright.operators.filters import MONTH_SLOT, month_slot
 from tallywright.session import stored
 
 SALES = """
@@ -188,9 +188,8 @@ class Star:
     def orders(self) -> DataFrame:
         def make() -> DataFrame:
             sales = frame(self.spark, self.sf_dir, SALES)
-            month = F.coalesce(F.date_format("creation_date", "yyyy-MM"), F.lit("none"))
             return sales.withColumn("income", F.col("income").cast("double")).withColumn(
-                MONTH_SLOT, month
+                MONTH_SLOT, month_slot()
             )
 
         return self._table("orders", make, by=MONTH_SLOT)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.operators.filters import MONTH_SLOT
+from tallywright.operators.filters import MONTH_SLOT, month_slot
 from tallywright.schemas import CONTACTS_SCHEMA, LINKS_SCHEMA, NAMED_SCHEMA, ORDERS_SCHEMA
 
 CONTACT_SLOTS = 16
@@ -32,10 +32,6 @@ class TableSpec:
     slot_of: Callable[[], Column]
 
 
-def _month() -> Column:
-    return F.coalesce(F.date_format("creation_date", "yyyy-MM"), F.lit("none"))
-
-
 def _id_bucket() -> Column:
     return F.format_string("b%02d", F.pmod(F.xxhash64("id"), F.lit(CONTACT_SLOTS)))
 
@@ -45,7 +41,7 @@ def _whole() -> Column:
 
 
 TABLES = {
-    "orders": TableSpec(ORDERS_SCHEMA, MONTH_SLOT, _month),
+    "orders": TableSpec(ORDERS_SCHEMA, MONTH_SLOT, month_slot),
     "contacts": TableSpec(CONTACTS_SCHEMA, "id_bucket", _id_bucket),
     "products": TableSpec(NAMED_SCHEMA, "part", _whole),
     "product_categories": TableSpec(NAMED_SCHEMA, "part", _whole),

@@ -12,8 +12,11 @@ from tallywright.schemas import MISSING_MARKERS, UploadSpec
 # Position of a row in its upload. Later rows win over earlier ones.
 ROW_ORDER = "__row"
 
-# Tried after ISO texts, in this order.
-DATE_PATTERNS = ("dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy", "MM/dd/yyyy")
+# Date layouts besides ISO, as a pattern and its ISO form. A time may follow.
+DATE_LAYOUTS = (
+    (r"^(\d{2})\.(\d{2})\.(\d{4})", "$3-$2-$1"),  # 31.12.2023, day first
+    (r"^(\d{2})/(\d{2})/(\d{4})", "$3-$1-$2"),  # 12/31/2023, month first
+)
 
 # Fields that hold ids of this or another table.
 ID_FIELDS = ("id", "contact_id", "partner_id", "utm_source", "tg_id")
@@ -85,40 +88,42 @@ def rename_columns(upload: DataFrame, spec: UploadSpec) -> DataFrame:
 
 def null_normalize(rows: DataFrame, markers: Sequence[str] = MISSING_MARKERS) -> DataFrame:
     """Cells that say "missing" become null: marker texts and NaN."""
-    kinds = dict(rows.dtypes)
+    missing = [F.lit(m) for m in markers]
     fixed = {}
-    for name, kind in kinds.items():
+    for name, kind in rows.dtypes:
         if kind == "string":
-            fixed[name] = F.when(~F.col(name).isin(list(markers)), F.col(name))
+            fixed[name] = F.when(~F.col(name).isin(missing), F.col(name))
         elif kind in ("double", "float"):
             fixed[name] = F.when(~F.isnan(name), F.col(name))
     return rows.withColumns(fixed) if fixed else rows
 
 
 def parse_dates(
-    rows: DataFrame, columns: Sequence[str], patterns: Sequence[str] = DATE_PATTERNS
+    rows: DataFrame, columns: Sequence[str], layouts: Sequence[tuple[str, str]] = DATE_LAYOUTS
 ) -> DataFrame:
-    """Date texts to zone-less timestamps; what cannot be read becomes null."""
-    return rows.withColumns({
-        c: _date(F.col(c), patterns) if dict(rows.dtypes)[c] == "string"
-        else F.col(c).cast("timestamp_ntz")
-        for c in columns if c in rows.columns
-    })
+    """Date texts to zone-less timestamps; what cannot be read becomes null.
+
+    Other layouts are rewritten to ISO and parsed by a cast: unlike the pattern
+    parser this does not pass through the session's time zone, and a text that
+    is no date costs no exception.
+    """
+    kinds = dict(rows.dtypes)
 
+    def parsed(name: str) -> Column:
+        if kinds[name] != "string":
+            return F.col(name).cast("timestamp_ntz")
+        text = F.trim(F.col(name))
+        for pattern, iso in layouts:
+            text = F.regexp_replace(text, pattern, iso)
+        return text.try_cast("timestamp_ntz")
 
-def _date(text: Column, patterns: Sequence[str]) -> Column:
-    # Zone-less parsing first; the pattern parser goes through the session zone
-    # and back, which is exact unless that zone skips the hour (use UTC).
-    iso = F.trim(text).try_cast("timestamp_ntz")
-    others = [F.try_to_timestamp(F.trim(text), F.lit(p)).cast("timestamp_ntz") for p in patterns]
-    return F.coalesce(iso, *others)
+    return rows.withColumns({c: parsed(c) for c in columns if c in kinds})
 
 
 def cast_money(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Amount texts to doubles; what is not a number becomes null."""
-    return rows.withColumns({
-        c: F.col(c).try_cast("double") for c in columns if c in rows.columns
-    })
+    present = rows.columns
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in columns if c in present})
 
 
 def normalize_ids(rows: DataFrame, columns: Sequence[str] = ID_FIELDS) -> DataFrame:
@@ -128,9 +133,10 @@ def normalize_ids(rows: DataFrame, columns: Sequence[str] = ID_FIELDS) -> DataFr
     ``.0`` the same id is the same text in every upload, and UTM sources still
     match the contact ids they stand for.
     """
+    present = rows.columns
     return rows.withColumns({
         c: F.regexp_replace(F.col(c).cast("string"), r"^(\d+)\.0$", "$1")
-        for c in columns if c in rows.columns
+        for c in columns if c in present
     })
 
 
@@ -141,8 +147,9 @@ def drop_empty_keys(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def project_to_model(rows: DataFrame, spec: UploadSpec) -> DataFrame:
     """Only the fields of the target table (and the row position), in its order."""
-    kept = [f for f in spec.schema.fieldNames() if f in rows.columns]
-    return rows.select(*kept, *[c for c in rows.columns if c == ROW_ORDER])
+    present = rows.columns
+    kept = [f for f in spec.schema.fieldNames() if f in present]
+    return rows.select(*kept, *[c for c in present if c == ROW_ORDER])
 
 
 def clean_upload(upload: DataFrame, spec: UploadSpec) -> DataFrame:

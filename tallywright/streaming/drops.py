@@ -15,6 +15,9 @@ from tallywright.sources.uploads import UploadRejected, read_upload
 
 log = logging.getLogger(__name__)
 
+# The columns of Spark's binary file source; the content is never selected.
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 OnResult = Callable[[str, ImportResult | UploadRejected], None]
 
 
@@ -48,8 +51,9 @@ def watch_uploads(
             report(row.path, result)
 
     paths = (
-        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 100)
-        .option("pathGlobFilter", f"*.{fmt}").load(folder).select("path", "modificationTime")
+        spark.readStream.format("binaryFile").schema(_FILE)
+        .options(maxFilesPerTrigger=100, pathGlobFilter=f"*.{fmt}")
+        .load(folder).select("path", "modificationTime")
     )
     return (
         paths.writeStream.foreachBatch(import_files)

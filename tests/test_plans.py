@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from conftest import plan
 
 import __spark_entry__ as entry
 from tallywright.operators import partner as P
@@ -14,24 +15,11 @@ FOLDER = "/root/testdata/sf0.001"
 PERIOD = {"start": "1997-01-01", "end": "1997-02-28"}
 
 
-def plan(frame, mode="formatted"):
-    return frame._jdf.queryExecution().explainString(
-        frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode)
-    )
-
-
 @pytest.fixture
 def star(spark):
     return S.star(spark, FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_python_and_no_product_of_rows(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
-    for node in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEval", "MapInPandas"):
-        assert node not in text, f"{node} in the plan of {name}"
-
-
 def test_period_reaches_the_files(star):
     text = plan(R.monthly_sales(star.orders, star.catalog, **PERIOD))
     assert "creation_month=1997-01" in text or re.search(r"PartitionFilters: \[.*creation_month.* >= 1997-01", text)

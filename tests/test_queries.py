@@ -4,7 +4,7 @@ import os
 
 import compare
 import pytest
-from conftest import rows
+from conftest import plan, rows
 
 import __spark_entry__ as entry
 
@@ -23,7 +23,11 @@ def test_each_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare.differences(QUERIES[name](spark, FOLDER), con, ORACLES[name]) == ""
+    frame = QUERIES[name](spark, FOLDER)
+    assert compare.differences(frame, con, ORACLES[name]) == ""
+    shown = plan(frame)
+    for node in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas", "LocalTableScan"):
+        assert node not in shown, f"{node} in the plan of {name}"
 
 
 def test_entry(spark):

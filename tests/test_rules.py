@@ -4,16 +4,16 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from tallywright.functions import money_text, percent_of, percent_text, round_half_even
+from tallywright.functions import exact_sum, money_text, percent_of, percent_text, round_half_even
 from tallywright.operators import partner as P
 from tallywright.operators import present as V
 from tallywright.operators import reports as R
 from tallywright.operators import totals as X
 from tallywright.operators.catalog import unique_products
-from tallywright.operators.filters import filter_period, filter_products
+from tallywright.operators.filters import MONTH_SLOT, filter_period, filter_products, month_slot
 from tallywright.schemas import SHARED_SOURCE, TOTAL_LABEL
 
 DAY = "2023-01-10"
@@ -211,3 +211,34 @@ def test_fund(spark, make_orders, make_catalog):
         assert V.fund_allocation(totals, latest, "Spring Fest", "Fest", "Fund", people).first().employee_income == 0
     hidden = V.fund_allocation(totals, latest, "Spring", "Fest", "Fund").first()
     assert (hidden.visible, hidden.title, hidden.fund_income) == (False, "Fund", None)
+
+
+def test_sums_are_exact_in_any_order(spark):
+    frame = spark.sql(
+        "SELECT explode(array(0.1D, 0.2D, -0.3D, 899999999999.9999D, -899999999999.9999D, -2.5D, NULL)) AS x"
+        " FROM range(1000)"
+    )
+    for shuffled in (frame, frame.orderBy("x"), frame.repartition(7)):
+        assert shuffled.agg(exact_sum(F.col("x"))).first()[0] == D("-2500.0000")
+    large = spark.range(100000).selectExpr("899999999999.9999D AS x")
+    assert large.agg(exact_sum(F.col("x"))).first()[0] == D("89999999999999990.0000")
+    assert frame.filter("x IS NULL").agg(exact_sum(F.col("x"))).first()[0] is None
+
+
+def test_newest_month_only(star_like):
+    plan_text = plan(R.freshness(*star_like))
+    assert "PartitionFilters: [isnotnull(creation_month" in plan_text
+    assert "Subquery" in plan_text
+
+
+@pytest.fixture
+def star_like(spark, make_orders, tmp_path):
+    orders = make_orders(("P", 1.0, NOON), ("P", 1.0, "2023-03-01 00:00:00"), ("P", 1.0, None))
+    orders.withColumn(MONTH_SLOT, month_slot()).write.partitionBy(MONTH_SLOT).parquet(str(tmp_path / "o"))
+    return spark.read.parquet(str(tmp_path / "o")), orders.select("id", "creation_date")
+
+
+def test_freshness_of_stored_orders(star_like):
+    assert R.freshness(*star_like).first().latest_order == dt.datetime(2023, 3, 1)
+    none = star_like[0].filter(f"{MONTH_SLOT} = 'none'")
+    assert R.freshness(none, star_like[1]).first().latest_order is None
