@@ -10,9 +10,11 @@ from tallywright.functions.scalars import (
     percent_text,
     ratio,
     round_half_even,
+    time_text,
 )
 
 __all__ = [
     "append_ids", "day_of", "exact_sum", "local_text", "money_text", "month_start",
     "month_text", "percent_of", "percent_text", "ratio", "round_half_even",
+    "time_text",
 ]

@@ -39,9 +39,9 @@ def month_start(ts: Column) -> Column:
     return F.trunc(F.to_date(ts), "month")
 
 
-def month_text(first_day: Column) -> Column:
-    """``yyyy-MM``; applied to grouped rows, so once per group and not per order."""
-    return F.substring(first_day.cast("string"), 1, 7)
+def month_text(day: Column) -> Column:
+    """``yyyy-MM`` of a date. Reports use it after grouping: per group, not per order."""
+    return F.substring(day.cast("string"), 1, 7)
 
 
 def round_half_even(value: Column, digits: int = 2) -> Column:
@@ -75,7 +75,17 @@ def money_text(value: Column) -> Column:
     return F.replace(F.format_number(value, 2), F.lit(","), F.lit(" "))
 
 
-def local_text(utc: Column, zone: str, pattern: str) -> Column:
-    """A zone-less UTC timestamp as text of the wall clock in ``zone``."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
-    return F.date_format(local, pattern)
+def time_text(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss``.
+
+    By a cast and not by ``date_format``, which would take a zone-less timestamp
+    through the session's time zone and shift hours that do not exist there.
+    """
+    return F.substring(ts.cast("string"), 1, 19)
+
+
+def local_text(utc: Column, zone: str, separator: str) -> Column:
+    """A zone-less UTC timestamp on the clock of ``zone``: day, month, year, HH:mm."""
+    local = time_text(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
+    layout = f"$3{separator}$2{separator}$1 $4"
+    return F.regexp_replace(local, r"^(\d+)-(\d+)-(\d+) (\d+:\d+):\d+$", layout)

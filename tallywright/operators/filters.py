@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions import month_text
+
 # The month column by which stored orders are partitioned, and its value for
 # orders without a creation date.
 MONTH_SLOT = "creation_month"
@@ -144,4 +146,4 @@ def orders_by_source(orders: DataFrame, utm_source: str) -> DataFrame:
 
 def month_slot() -> Column:
     """The month an order is stored under."""
-    return F.coalesce(F.date_format("creation_date", "yyyy-MM"), F.lit(NO_MONTH))
+    return F.coalesce(month_text(F.to_date("creation_date")), F.lit(NO_MONTH))

@@ -26,12 +26,13 @@ from tallywright.schemas import (
 )
 
 
-def as_floats(report: DataFrame) -> DataFrame:
-    """Decimals as doubles, for readers that expect floating point amounts."""
+def plain(report: DataFrame) -> DataFrame:
+    """Amounts as doubles and days as ISO text, for readers without such types."""
+    plain_types = {T.DecimalType: "double", T.DateType: "string"}
     return report.select(
         *[
-            F.col(f.name).cast("double").alias(f.name)
-            if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+            F.col(f.name).cast(plain_types[type(f.dataType)]).alias(f.name)
+            if type(f.dataType) in plain_types else F.col(f.name)
             for f in report.schema.fields
         ]
     )
@@ -86,7 +87,7 @@ def titled(report: DataFrame, titles: Mapping[str, str], hide: Sequence[str] = (
 def freshness_text(latest: DataFrame, zone: str = DISPLAY_ZONE, no_data: str = NO_DATA) -> DataFrame:
     """The one row of ``freshness`` as local wall-clock texts."""
     def shown(column: str) -> Column:
-        text = local_text(F.col(column), zone, "dd-MM-yyyy HH:mm")
+        text = local_text(F.col(column), zone, "-")
         return F.coalesce(text, F.lit(no_data)).alias(f"{column}_text")
 
     return latest.select("*", shown("latest_order"), shown("latest_contact"))
@@ -115,7 +116,7 @@ def fund_allocation(
     fund = income * F.lit(fund_rate).cast("decimal(6,4)")
     after_tax = fund * F.lit(after_tax_rate).cast("decimal(6,4)")
     people = F.lit(headcount if headcount and headcount > 0 else 0)
-    when = local_text(latest.select("max_creation_date").scalar(), zone, "dd.MM.yyyy HH:mm")
+    when = local_text(latest.select("max_creation_date").scalar(), zone, ".")
     stamped = F.concat(F.lit(title), F.coalesce(F.concat(F.lit(" на "), when), F.lit("")))
     return summary_with_total.filter("is_total").select(
         F.col("total_income").alias("total_income"),

@@ -74,18 +74,18 @@ def monthly_totals(report: DataFrame, *extra: str, label: str = TOTAL_LABEL) ->
 
 def summary_line(report: DataFrame, sales: str = "total_sales", paid: str = "paid_orders",
                  month: str | None = "month") -> DataFrame:
-    """Income, paid orders, average check and, for monthly reports, income per month."""
+    """Income, paid orders, average check and, for monthly reports, income per month.
+
+    One row, or none for an empty report.
+    """
     figures = [
         F.coalesce(F.sum(sales), F.lit(0)).alias("total_sales"),
         F.coalesce(F.sum(paid), F.lit(0)).alias("paid_orders"),
+        F.count(F.lit(1)).alias("__rows"),
     ]
+    averages = {"average_check": ratio(F.col("total_sales"), F.col("paid_orders"))}
     if month:
         figures.append(F.countDistinct(month).alias("__months"))
-    line = report.agg(*figures).withColumn(
-        "average_check", ratio(F.col("total_sales"), F.col("paid_orders"))
-    )
-    if month:
-        line = line.withColumn(
-            "average_monthly_income", ratio(F.col("total_sales"), F.col("__months"))
-        ).drop("__months")
-    return line
+        averages["average_monthly_income"] = ratio(F.col("total_sales"), F.col("__months"))
+    line = report.agg(*figures).filter(F.col("__rows") > 0)
+    return line.withColumns(averages).drop("__rows", "__months")

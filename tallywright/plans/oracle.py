@@ -139,7 +139,7 @@ _NAMED_ONLY = f"coalesce(c.full_name, '{SHARED_SOURCE}') <> '{SHARED_SOURCE}'"
 def _cumulative(source: str, where: str) -> str:
     """Daily and running income with decimal amounts."""
     return f"""SELECT *, sum(daily_sales) OVER (ORDER BY date) AS cumulative_sales FROM (
-        SELECT CAST(creation_date AS DATE) AS date, sum(income) AS daily_sales, {_COUNTS}
+        SELECT CAST(CAST(creation_date AS DATE) AS VARCHAR) AS date, sum(income) AS daily_sales, {_COUNTS}
         FROM {source} WHERE {where} GROUP BY 1) d"""
 
 
@@ -347,11 +347,11 @@ def oracle_queries() -> dict[str, str]:
             WHERE content IS NOT NULL
             AND content NOT IN (SELECT name FROM products WHERE name NOT LIKE 'small%')"""),
         # --- reports
-        "sales_by_day": _with(["sales"], f"""SELECT CAST(creation_date AS DATE) AS date,
+        "sales_by_day": _with(["sales"], f"""SELECT CAST(CAST(creation_date AS DATE) AS VARCHAR) AS date,
             {_num('sum(income)', 'total_sales')} FROM sales WHERE {_EVER} GROUP BY 1"""),
-        "sales_by_day_category": _with(_LINKED, f"""SELECT CAST(creation_date AS DATE) AS date,
+        "sales_by_day_category": _with(_LINKED, f"""SELECT CAST(CAST(creation_date AS DATE) AS VARCHAR) AS date,
             {_num('sum(income)', 'total_sales')} FROM linked WHERE {_YEAR} AND {_ONE} GROUP BY 1"""),
-        "sales_by_day_intraday": _with(["intraday"], f"""SELECT CAST(creation_date AS DATE) AS date,
+        "sales_by_day_intraday": _with(["intraday"], f"""SELECT CAST(CAST(creation_date AS DATE) AS VARCHAR) AS date,
             {_num('sum(income)', 'total_sales')} FROM intraday WHERE {_EVENTS} GROUP BY 1"""),
         "monthly_by_category": _with(_LINKED, _as_double(category_ever)),
         "monthly_by_category_filtered": _with(_LINKED, _as_double(_monthly("linked", chosen, "category"))),
@@ -376,7 +376,7 @@ def oracle_queries() -> dict[str, str]:
         "paid_products": _with(["sales"], _as_double(paid_ever, "total_income")),
         "paid_products_category": _with(_LINKED, f"""SELECT {_SUMMARY} FROM linked WHERE {_YEAR} AND {_ONE}
             GROUP BY content HAVING sum(CASE WHEN income > 0 THEN 1 ELSE 0 END) > 0"""),
-        "product_daily": _with(["sales"], f"""SELECT CAST(creation_date AS DATE) AS date,
+        "product_daily": _with(["sales"], f"""SELECT CAST(CAST(creation_date AS DATE) AS VARCHAR) AS date,
             {_num('sum(income)', 'daily_sales')}, {_COUNTS} FROM sales WHERE {_PICKED_EVER} GROUP BY 1"""),
         "product_cumulative": _with(["sales"],
             _cumulative_double("sales", f"content IN ({_texts(Q.PICKED)}) AND {_YEAR}")),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.functions import time_text
 from tallywright.operators import catalog as C
 from tallywright.operators import partner as P
 from tallywright.operators import present as V
@@ -46,8 +47,8 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(make: Query) -> Query:
-    """Register a query under its function's name; amounts come out as doubles."""
-    _QUERIES[make.__name__] = lambda spark, sf_dir: V.as_floats(make(spark, sf_dir))
+    """Register a query under its function's name; amounts come out as doubles, days as text."""
+    _QUERIES[make.__name__] = lambda spark, sf_dir: V.plain(make(spark, sf_dir))
     return make
 
 
@@ -56,7 +57,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def _star_query(make: Callable[[S.Star], DataFrame]) -> Callable[[S.Star], DataFrame]:
-    _QUERIES[make.__name__] = lambda spark, sf_dir: V.as_floats(make(S.star(spark, sf_dir)))
+    _QUERIES[make.__name__] = lambda spark, sf_dir: V.plain(make(S.star(spark, sf_dir)))
     return make
 
 
@@ -86,7 +87,7 @@ def _order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dates_as_text(rows: DataFrame, columns) -> DataFrame:
-    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+    return rows.withColumns({c: time_text(F.col(c)) for c in columns})
 
 
 @query
@@ -457,9 +458,7 @@ def product_cumulative_category(star):
 @query
 def max_creation_date(spark, sf_dir):
     latest = R.max_creation_date(_events(spark, sf_dir), None, ["click"], EVENT_START, EVENT_END)
-    return latest.select(
-        F.date_format("max_creation_date", "yyyy-MM-dd HH:mm:ss").alias("max_creation_date")
-    )
+    return _dates_as_text(latest, ["max_creation_date"])
 
 
 @_star_query

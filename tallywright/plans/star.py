@@ -55,9 +55,9 @@ WHERE c_custkey % 5 <> 0
 
 # 'blue...' products stay without a category.
 LINKS = """
-SELECT DISTINCT p.id AS product_id, c.id AS category_id
-FROM {part} JOIN {products} p ON p_name = p.name JOIN {categories} c ON p_type = c.name
-WHERE p_name NOT LIKE 'blue%'
+SELECT p.id AS product_id, c.id AS category_id
+FROM (SELECT DISTINCT p_name, p_type FROM {part} WHERE p_name NOT LIKE 'blue%') x
+JOIN {products} p ON p_name = p.name JOIN {categories} c ON p_type = c.name
 """
 
 CURRENT_ORDERS = """

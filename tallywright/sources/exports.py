@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions import time_text
 from tallywright.operators.present import titled
 from tallywright.schemas import PARTNER_TITLES
 
@@ -20,7 +21,7 @@ def export_image(table: DataFrame) -> DataFrame:
     for name, kind in table.dtypes:
         col = F.col(name)
         if kind.startswith("timestamp"):
-            col = F.coalesce(F.date_format(col, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+            col = F.coalesce(time_text(col), F.lit(""))
         elif kind == "string":
             col = F.coalesce(col, F.lit(""))
         shown.append(col.alias(name))
