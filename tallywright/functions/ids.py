@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.session import stored
+
 _BUCKET = "__bucket"
 
 
@@ -15,8 +17,13 @@ def append_ids(names: DataFrame, after: DataFrame | None = None, name: str = "na
     ``row_number`` over all names would sort them in one task; here each of the
     256 hash buckets is numbered on its own and then shifted by the number of
     names in the buckets before it. Only those 256 counts meet in one place.
+
+    The names are used twice, to count and to number, so they are stored first:
+    finding them may take a pass over all orders.
     """
-    bucketed = names.select(name).withColumn(_BUCKET, F.substring(F.md5(name), 1, 2))
+    bucketed = stored(
+        names.select(name).withColumn(_BUCKET, F.substring(F.md5(name), 1, 2)), "new-names"
+    )
     counts = bucketed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(

@@ -101,6 +101,11 @@ def linked_orders(orders: DataFrame, flt: SalesFilter, catalog: Catalog) -> Data
     )
 
 
+def _sorted(report: DataFrame, ordered: bool, *by) -> DataFrame:
+    """Reports that only feed another step are not sorted: a sort is a shuffle."""
+    return report.orderBy(*by) if ordered else report
+
+
 # --- daily ----------------------------------------------------------------
 
 
@@ -111,16 +116,19 @@ def sales_by_day(orders, catalog=None, start=None, end=None, category=None) -> D
     return daily.select("date", F.col("income").alias("total_sales")).orderBy("date")
 
 
-def product_daily(orders, catalog=None, products=(), start=None, end=None, category=None) -> DataFrame:
+def product_daily(
+    orders, catalog=None, products=(), start=None, end=None, category=None, *, ordered=True
+) -> DataFrame:
     """Income, orders and paid orders per day for chosen products or a category."""
     flt = SalesFilter(start, end, products=products or (), categories=category)
     daily = totals(
         orders, flt, catalog, {"date": day_of(F.col("creation_date"))},
         ["income", "total_orders", "paid_orders"],
     )
-    return daily.select(
+    report = daily.select(
         "date", F.col("income").alias("daily_sales"), "total_orders", "paid_orders"
-    ).orderBy("date")
+    )
+    return _sorted(report, ordered, "date")
 
 
 def product_cumulative(orders, catalog=None, products=(), start=None, end=None, category=None) -> DataFrame:
@@ -129,7 +137,7 @@ def product_cumulative(orders, catalog=None, products=(), start=None, end=None,
     The window is not partitioned, but it sees one row per calendar day, a
     number that does not grow with the orders.
     """
-    daily = product_daily(orders, catalog, products, start, end, category)
+    daily = product_daily(orders, catalog, products, start, end, category, ordered=False)
     running = F.sum("daily_sales").over(Window.orderBy("date"))
     return daily.withColumn("cumulative_sales", running).orderBy("date")
 
@@ -172,31 +180,37 @@ def product_pieces(orders: DataFrame, flt: SalesFilter, catalog: Catalog | None
     return totals(orders, flt, catalog, keys, list(_measures()))
 
 
-def paid_products(orders, catalog=None, start=None, end=None, category=None) -> DataFrame:
+def paid_products(
+    orders, catalog=None, start=None, end=None, category=None, *, ordered=True
+) -> DataFrame:
     """Products with at least one paid order."""
     flt = SalesFilter(start, end, categories=category)
     summary = totals(
         orders, flt, catalog, {"product": F.col("content")},
         ["total_orders", "paid_orders", "income"],
     ).filter(F.col("paid_orders") > 0)
-    return summary.select(
+    report = summary.select(
         "product", "total_orders", "paid_orders", F.col("income").alias("total_income")
-    ).orderBy("product")
+    )
+    return _sorted(report, ordered, "product")
 
 
 # --- categories and months ------------------------------------------------
 
 
-def category_revenue(orders, catalog, start=None, end=None, exclude=None, include=None) -> DataFrame:
+def category_revenue(
+    orders, catalog, start=None, end=None, exclude=None, include=None, *, ordered=True
+) -> DataFrame:
     """Paid income per category, largest first; without dates over all time."""
     flt = SalesFilter(
         start, end, categories=include, exclude_categories=exclude,
         paid_only=True, optional_period=True,
     )
     revenue = totals(orders, flt, catalog, {}, ["income"], category_name=True)
-    return revenue.select(
+    report = revenue.select(
         F.col("category").alias("category_name"), F.col("income").alias("total_revenue")
-    ).orderBy(F.desc("total_revenue"), "category_name")
+    )
+    return _sorted(report, ordered, F.desc("total_revenue"), "category_name")
 
 
 def category_share(revenue: DataFrame) -> DataFrame:
@@ -233,28 +247,31 @@ def monthly_pieces(orders: DataFrame, flt: SalesFilter) -> DataFrame:
     ).agg(*[measures[m].alias(m) for m in _MONTHLY])
 
 
-def monthly_sales(orders, catalog=None, start=None, end=None, **choices) -> DataFrame:
+def monthly_sales(orders, catalog=None, start=None, end=None, *, ordered=True, **choices) -> DataFrame:
     """Paid income and orders per month."""
     flt = monthly_filter(start, end, **choices)
     rows = totals(orders, flt, catalog, {"month": month_start(F.col("creation_date"))}, _MONTHLY)
-    return _monthly(rows)
+    return _monthly(rows, ordered=ordered)
 
 
-def monthly_by_product(orders, catalog=None, start=None, end=None, **choices) -> DataFrame:
+def monthly_by_product(orders, catalog=None, start=None, end=None, *, ordered=True, **choices) -> DataFrame:
     """Paid income and orders per month and product text."""
     flt = monthly_filter(start, end, **choices)
     keys = {"month": month_start(F.col("creation_date")), "product": F.col("content")}
-    return _monthly(totals(orders, flt, catalog, keys, _MONTHLY), "product")
+    return _monthly(totals(orders, flt, catalog, keys, _MONTHLY), "product", ordered=ordered)
 
 
-def monthly_by_category(orders, catalog, start=None, end=None, **choices) -> DataFrame:
+def monthly_by_category(orders, catalog, start=None, end=None, *, ordered=True, **choices) -> DataFrame:
     """Paid income and orders per month and category."""
     flt = monthly_filter(start, end, **choices)
     keys = {"month": month_start(F.col("creation_date"))}
-    return _monthly(totals(orders, flt, catalog, keys, _MONTHLY, category_name=True), "category")
+    rows = totals(orders, flt, catalog, keys, _MONTHLY, category_name=True)
+    return _monthly(rows, "category", ordered=ordered)
 
 
-def monthly_from_pieces(pieces: DataFrame, flt: SalesFilter, catalog: Catalog | None) -> dict[str, DataFrame]:
+def monthly_from_pieces(
+    pieces: DataFrame, flt: SalesFilter, catalog: Catalog, *, ordered=True
+) -> dict[str, DataFrame]:
     """The three monthly reports from one ``monthly_pieces`` frame."""
     if flt.by_category:
         by_product = link(
@@ -266,20 +283,21 @@ def monthly_from_pieces(pieces: DataFrame, flt: SalesFilter, catalog: Catalog |
     by_month = by_product.groupBy("month").agg(*[F.sum(m).alias(m) for m in _MONTHLY])
     by_category = link(pieces, flt, catalog, ["month"], _MONTHLY, category_name=True)
     return {
-        "monthly": _monthly(by_month),
-        "by_product": _monthly(by_product, "product"),
-        "by_category": _monthly(by_category, "category"),
+        "monthly": _monthly(by_month, ordered=ordered),
+        "by_product": _monthly(by_product, "product", ordered=ordered),
+        "by_category": _monthly(by_category, "category", ordered=ordered),
     }
 
 
-def _monthly(rows: DataFrame, *extra: str) -> DataFrame:
-    return rows.select(
+def _monthly(rows: DataFrame, *extra: str, ordered: bool) -> DataFrame:
+    report = rows.select(
         month_text(F.col("month")).alias("month"),
         *extra,
         F.col("income").alias("total_sales"),
         "total_orders",
         "paid_orders",
-    ).orderBy("month", *extra)
+    )
+    return _sorted(report, ordered, "month", *extra)
 
 
 # --- single figures -------------------------------------------------------

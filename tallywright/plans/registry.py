@@ -23,6 +23,7 @@ from tallywright.operators.filters import (
 )
 from tallywright.plans import star as S
 from tallywright.schemas import CONTACT_UPLOAD, ORDER_UPLOAD, UploadSpec
+from tallywright.session import stored
 from tallywright.sources import exports as E
 from tallywright.sources import uploads as I
 
@@ -150,7 +151,7 @@ def project_to_model(spark, sf_dir):
 
 def _marked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = S.frame(spark, sf_dir, S.CURRENT_ORDERS)
-    last = U.last_rows(S.frame(spark, sf_dir, S.REPEATED_ORDERS))
+    last = stored(U.last_rows(S.frame(spark, sf_dir, S.REPEATED_ORDERS)), "last-orders")
     return U.mark_stored(last, U.stored_keys(current, last))
 
 
@@ -402,8 +403,8 @@ def monthly_sales_filtered(star):
 @_star_query
 def monthly_sales_shared(star):
     flt = R.monthly_filter(**PERIOD, **_CHOICES)
-    pieces = R.monthly_pieces(star.orders, flt)
-    parts = R.monthly_from_pieces(pieces, flt, star.catalog)
+    pieces = stored(R.monthly_pieces(star.orders, flt), "monthly-pieces")
+    parts = R.monthly_from_pieces(pieces, flt, star.catalog, ordered=False)
     empty = F.lit(None).cast("string")
     shape = ("report", "month", "product", "category", "total_sales", "total_orders", "paid_orders")
     both = [
@@ -497,7 +498,9 @@ def order_count(star):
 
 @_star_query
 def category_share(star):
-    return R.category_share(R.category_revenue(star.orders, star.catalog, START, END))
+    return R.category_share(
+        R.category_revenue(star.orders, star.catalog, START, END, ordered=False)
+    )
 
 
 # --- total rows and summary lines -------------------------------------------
@@ -511,27 +514,35 @@ def product_summary_totals(star):
 
 @_star_query
 def paid_products_totals(star):
-    return X.paid_products_totals(R.paid_products(star.orders, star.catalog, **EVER))
+    return X.paid_products_totals(
+        R.paid_products(star.orders, star.catalog, **EVER, ordered=False)
+    )
 
 
 @_star_query
 def category_revenue_totals(star):
-    return X.category_revenue_totals(R.category_revenue(star.orders, star.catalog, **PERIOD))
+    return X.category_revenue_totals(
+        R.category_revenue(star.orders, star.catalog, **PERIOD, ordered=False)
+    )
 
 
 @_star_query
 def monthly_totals(star):
-    return X.monthly_totals(R.monthly_sales(star.orders, star.catalog, **EVER))
+    return X.monthly_totals(R.monthly_sales(star.orders, star.catalog, **EVER, ordered=False))
 
 
 @_star_query
 def monthly_by_product_totals(star):
-    return X.monthly_totals(R.monthly_by_product(star.orders, star.catalog, **PERIOD), "product")
+    return X.monthly_totals(
+        R.monthly_by_product(star.orders, star.catalog, **PERIOD, ordered=False), "product"
+    )
 
 
 @_star_query
 def monthly_by_category_totals(star):
-    return X.monthly_totals(R.monthly_by_category(star.orders, star.catalog, **EVER), "category")
+    return X.monthly_totals(
+        R.monthly_by_category(star.orders, star.catalog, **EVER, ordered=False), "category"
+    )
 
 
 @_star_query
@@ -583,7 +594,9 @@ def monthly_product_options(star):
 
 @_star_query
 def monthly_formatted(star):
-    totals = X.monthly_totals(R.monthly_sales(star.orders, star.catalog, **EVER))
+    totals = X.monthly_totals(
+        R.monthly_sales(star.orders, star.catalog, **EVER, ordered=False)
+    )
     return V.money_columns(totals, ["total_sales"]).drop("total_orders", "is_total")
 
 

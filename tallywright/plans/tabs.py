@@ -66,13 +66,16 @@ def product_tab(
 
 def period_tab(orders, catalog, start, end, category=None) -> dict[str, DataFrame]:
     """Paid products of a period with their total."""
-    totals = X.paid_products_totals(R.paid_products(orders, catalog, start, end, category))
+    totals = X.paid_products_totals(
+        R.paid_products(orders, catalog, start, end, category, ordered=False)
+    )
     return {"table": V.titled(totals, PERIOD_TITLES)}
 
 
 def category_tab(orders, catalog, start=None, end=None, exclude=None, include=None) -> dict[str, DataFrame]:
     """Revenue of each category, its share and the total; without dates over all time."""
-    revenue = stored(R.category_revenue(orders, catalog, start, end, exclude, include), "category-tab")
+    report = R.category_revenue(orders, catalog, start, end, exclude, include, ordered=False)
+    revenue = stored(report, "category-tab")
     shares = R.category_share(revenue).orderBy(F.desc("total_revenue"), "category_name")
     return {
         "shares": shares,
@@ -94,7 +97,7 @@ def monthly_tab(orders, catalog: Catalog, start, end, **choices) -> dict[str, Da
     """The three monthly tables with totals and their summary lines."""
     flt = R.monthly_filter(start, end, **choices)
     pieces = stored(R.monthly_pieces(orders, flt), "monthly-tab")
-    reports = R.monthly_from_pieces(pieces, flt, catalog)
+    reports = R.monthly_from_pieces(pieces, flt, catalog, ordered=False)
     second = {"monthly": (), "by_product": ("product",), "by_category": ("category",)}
     tab = {}
     for name, report in reports.items():
