@@ -22,6 +22,7 @@ from tallywright.operators.filters import (
     orders_by_source,
 )
 from tallywright.plans import star as S
+from tallywright.plans.tabs import product_tab
 from tallywright.schemas import CONTACT_UPLOAD, ORDER_UPLOAD, UploadSpec
 from tallywright.session import stored
 from tallywright.sources import exports as E
@@ -607,12 +608,10 @@ def partner_display(star):
 
 
 def _fund(star: S.Star, category_name: str) -> DataFrame:
-    choice = {"start": START, "end": END, "category": ONE_CATEGORY}
-    totals = X.product_summary_totals(
-        R.product_measures(star.orders, star.catalog, (), **choice)
+    tab = product_tab(star.orders, star.catalog, START, END, category=ONE_CATEGORY)
+    return V.fund_allocation(
+        tab["totals"], tab["latest"], category_name, FUND_MARKER, FUND_TITLE, headcount=3
     )
-    latest = R.max_creation_date(star.orders, star.catalog, (), **choice)
-    return V.fund_allocation(totals, latest, category_name, FUND_MARKER, FUND_TITLE, headcount=3)
 
 
 @_star_query
