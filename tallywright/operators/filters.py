@@ -23,6 +23,8 @@ def as_day(value: Day) -> dt.date | None:
     """A date, from a date or ISO text; empty values mean "not given"."""
     if not value:
         return None
+    if isinstance(value, dt.datetime):
+        return value.date()
     return value if isinstance(value, dt.date) else dt.date.fromisoformat(value)
 
 

@@ -21,17 +21,24 @@ from tallywright.operators.catalog import Catalog
 from tallywright.operators.filters import MONTH_SLOT, NO_MONTH, SalesFilter
 
 
-def _measures() -> dict[str, Column]:
+MEASURES = ("total_orders", "paid_orders", "income", "paid_income", "latest")
+
+
+def _measure(name: str) -> Column:
     income = F.col("income")
     paid = income > 0
-    return {
+    if name == "total_orders":
         # An order id is never null, so rows are counted and ids are not read.
-        "total_orders": F.count(F.lit(1)),
-        "paid_orders": F.count(F.when(paid, 1)),
-        "income": exact_sum(income),
-        "paid_income": exact_sum(F.when(paid, income)),
-        "latest": F.max("creation_date"),
-    }
+        measure = F.count(F.lit(1))
+    elif name == "paid_orders":
+        measure = F.count(F.when(paid, 1))
+    elif name == "income":
+        measure = exact_sum(income)
+    elif name == "paid_income":
+        measure = exact_sum(F.when(paid, income))
+    else:
+        measure = F.max("creation_date")
+    return measure.alias(name)
 
 
 def totals(
@@ -48,14 +55,13 @@ def totals(
     With ``category_name`` the name of each linked category is one more key.
     """
     columns = [expr.alias(name) for name, expr in keys.items()]
-    measures = _measures()
     rows = flt.rows(orders)
     if not (flt.by_category or category_name):
-        return rows.groupBy(*columns).agg(*[measures[m].alias(m) for m in wanted])
+        return rows.groupBy(*columns).agg(*[_measure(m) for m in wanted])
     if catalog is None:
         raise ValueError("a category choice needs the catalog")
     pieces = rows.groupBy(*columns, F.col("content").alias("__content")).agg(
-        *[measures[m].alias(m) for m in wanted]
+        *[_measure(m) for m in wanted]
     )
     return link(pieces, flt, catalog, list(keys), wanted, category_name=category_name)
 
@@ -177,7 +183,7 @@ def product_measures(orders, catalog=None, products=(), start=None, end=None, ca
 def product_pieces(orders: DataFrame, flt: SalesFilter, catalog: Catalog | None = None) -> DataFrame:
     """Measures per day and product text: all tables of the product tab follow from it."""
     keys = {"date": day_of(F.col("creation_date")), "product": F.col("content")}
-    return totals(orders, flt, catalog, keys, list(_measures()))
+    return totals(orders, flt, catalog, keys, MEASURES)
 
 
 def paid_products(
@@ -241,10 +247,9 @@ def monthly_pieces(orders: DataFrame, flt: SalesFilter) -> DataFrame:
     A caller who wants all three can checkpoint this one small frame and read
     the orders once.
     """
-    measures = _measures()
     return flt.rows(orders).groupBy(
         month_start(F.col("creation_date")).alias("month"), F.col("content").alias("__content")
-    ).agg(*[measures[m].alias(m) for m in _MONTHLY])
+    ).agg(*[_measure(m) for m in _MONTHLY])
 
 
 def monthly_sales(orders, catalog=None, start=None, end=None, *, ordered=True, **choices) -> DataFrame:

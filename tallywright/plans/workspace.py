@@ -49,14 +49,14 @@ class Workspace:
 
     # --- uploads and exports ---------------------------------------------
 
-    def import_orders(self, path, fmt: str = "csv", multiline: bool = False) -> ImportResult:
-        return self._import("orders", path, fmt, multiline)
+    def import_orders(self, path, fmt: str = "csv", **options) -> ImportResult:
+        return self._import("orders", path, fmt, options)
 
-    def import_contacts(self, path, fmt: str = "csv", multiline: bool = False) -> ImportResult:
-        return self._import("contacts", path, fmt, multiline)
+    def import_contacts(self, path, fmt: str = "csv", **options) -> ImportResult:
+        return self._import("contacts", path, fmt, options)
 
-    def _import(self, kind: str, path, fmt: str, multiline: bool) -> ImportResult:
-        upload = read_upload(self.spark, path, fmt, multiline)
+    def _import(self, kind: str, path, fmt: str, options: Mapping) -> ImportResult:
+        upload = read_upload(self.spark, path, fmt, **options)
         return import_upload(self.store, UPLOADS[kind], upload)
 
     def export_all(self, folder: str) -> dict[str, str]:

@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may do without the setting; it gets a new folder below
     ``/tmp``, which is kept in the session so that it is made once.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

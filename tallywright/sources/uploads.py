@@ -27,9 +27,13 @@ class UploadRejected(ValueError):
 
 
 def read_upload(
-    spark: SparkSession, path: str | Sequence[str], fmt: str = "csv", multiline: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    fmt: str = "csv",
+    multiline: bool = False,
+    **options,
 ) -> DataFrame:
-    """Read one upload, all CSV cells as text.
+    """Read one upload, all CSV cells as text; ``options`` go to the reader (``sep=";"``).
 
     The row position is (file, block offset, order within the block): Spark may
     pack blocks into tasks in any order, so a plain increasing id would not do.
@@ -39,7 +43,7 @@ def read_upload(
     reader = spark.read
     if fmt == "csv":
         reader = reader.options(header=True, inferSchema=False, escape='"', multiLine=multiline)
-    rows = reader.format(fmt).load(path)
+    rows = reader.format(fmt).options(**options).load(path)
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("offset"),
@@ -133,13 +137,21 @@ def normalize_ids(rows: DataFrame, columns: Sequence[str] = ID_FIELDS) -> DataFr
     ``.0`` the same id is the same text in every upload, and UTM sources still
     match the contact ids they stand for.
     """
-    present = rows.columns
+    kinds = dict(rows.dtypes)
     return rows.withColumns({
-        c: F.regexp_replace(F.col(c).cast("string"), r"^(\d+)\.0$", "$1")
-        for c in columns if c in present
+        c: F.regexp_replace(_text(c, kinds[c]), r"^(\d+)\.0$", "$1") for c in columns if c in kinds
     })
 
 
+def _text(name: str, kind: str) -> Column:
+    """A cell as text; whole doubles (ids, phones) without fraction and exponent."""
+    col = F.col(name)
+    if kind not in ("double", "float"):
+        return col.cast("string")
+    whole = (col == F.floor(col)) & (F.abs(col) < 1e15)
+    return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+
+
 def drop_empty_keys(rows: DataFrame, key: str = "id") -> DataFrame:
     """Drop rows without a usable key: null, empty or zero."""
     return rows.filter(~F.col(key).isin("", "0"))
@@ -166,7 +178,7 @@ def _texts(rows: DataFrame, spec: UploadSpec) -> DataFrame:
     """Text fields as text, also where a typed upload (Parquet) holds numbers."""
     kinds = dict(rows.dtypes)
     wanted = {
-        f.name: F.col(f.name).cast("string") for f in spec.schema.fields
+        f.name: _text(f.name, kinds[f.name]) for f in spec.schema.fields
         if f.dataType.simpleString() == "string" and kinds.get(f.name, "string") != "string"
     }
     return rows.withColumns(wanted) if wanted else rows

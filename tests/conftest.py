@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
     session = build_session(
         "tallywright-tests", "local[*]",
-        spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__checkpoint__dir=shared,
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -13,7 +13,7 @@ from tallywright.operators import present as V
 from tallywright.operators import reports as R
 from tallywright.operators import totals as X
 from tallywright.operators.catalog import unique_products
-from tallywright.operators.filters import MONTH_SLOT, filter_period, filter_products, month_slot
+from tallywright.operators.filters import MONTH_SLOT, SalesFilter, filter_period, filter_products, month_slot
 from tallywright.schemas import SHARED_SOURCE, TOTAL_LABEL
 from tallywright.sources.exports import export_image
 from tallywright.sources.uploads import parse_dates
@@ -264,3 +264,34 @@ def test_session_zone_does_not_matter(spark, make_orders):
     assert tuple(texts) == ("12-03-2023 05:30", "01-04-2023 03:00")
     assert image == "2023-03-12 02:30:00"
     assert parsed == dt.datetime(2023, 3, 12, 2, 30)
+
+
+def test_one_product_and_source_with_a_third_of_all_orders(spark, make_catalog):
+    orders = spark.range(30000).selectExpr(
+        "CAST(id AS string) AS id", "IF(id % 3 = 0, 'hot', concat('p', id % 100)) AS content",
+        "timestamp_ntz'2023-01-01 00:00:00' + make_dt_interval(CAST(id % 300 AS int)) AS creation_date",
+        "IF(id % 3 = 1, NULL, CAST(id % 50 AS string)) AS utm_source", "CAST(id % 11 - 3 AS double) / 4 AS income",
+    ).cache()
+    catalog = make_catalog({"hot": ["A", "B", "C"], **{f"p{i}": ["A"] for i in range(0, 100, 2)}})
+    contacts = spark.range(40).selectExpr("CAST(id AS string) AS id", "concat('c', id) AS full_name")
+    year = ("2023-01-01", "2023-12-31")
+    names = {"hot": "ABC", **{f"p{i}": "A" for i in range(0, 100, 2)}}
+    want, sources = {}, {}
+    for r in orders.collect():
+        for c in names.get(r.content, "") if r.income > 0 else "":
+            want[c] = want.get(c, 0) + r.income
+        sources[r.utm_source] = sources.get(r.utm_source, 0) + 1
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (old, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            revenue = R.category_revenue(orders, catalog, *year)
+            assert {r.category_name: float(r.total_revenue) for r in revenue.collect()} == want
+            linked = R.linked_orders(orders, SalesFilter(*year, categories=[1, 2, 3], paid_only=True), catalog)
+            assert linked.groupBy("category_id").agg(F.sum("income")).orderBy("category_id").collect() == [
+                (1, want["A"]), (2, want["B"]), (3, want["C"])
+            ]
+            partners = P.partner_report(orders, contacts, *year)
+            assert {r.utm_source: r.order_count for r in partners.collect()} == sources
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

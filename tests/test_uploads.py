@@ -104,6 +104,33 @@ def test_missing_cells(spark):
     assert rows(I.null_normalize(frame)) == [(None, None), (None, 1.0), (None, None), ("ok", 2.0)]
 
 
+def test_typed_uploads(spark, tmp_path):
+    text = I.read_upload(spark, write_orders(tmp_path / "orders.csv")).drop(I.ROW_ORDER)
+    phone, key = "Телефон контакта", "Идентификатор"
+    typed = text.withColumns({
+        key: F.col(key).cast("double") * 10_000_000, phone: F.lit(79991112233.0),
+        "Доход": F.lit(float("nan")), "Дата создания": F.col("Дата создания").cast("timestamp_ntz"),
+    })
+    typed.write.parquet(str(tmp_path / "typed"))
+    clean = I.clean_upload(I.read_upload(spark, str(tmp_path / "typed"), "parquet"), ORDER_UPLOAD)
+    got = clean.orderBy("id").select("id", "contact_phone", "income", "creation_date").first()
+    assert tuple(got) == ("10000000", "79991112233", None, dt.datetime(2023, 1, 10))
+
+
+def test_separator_and_byte_order_mark(spark, tmp_path):
+    path = write_orders(tmp_path / "orders.csv")
+    text = open(path, encoding="utf-8").read().replace('"a, b"', "ab").replace(",", ";")
+    (tmp_path / "semicolon.csv").write_text("\ufeff" + text, encoding="utf-8")
+    upload = I.read_upload(spark, str(tmp_path / "semicolon.csv"), sep=";")
+    assert I.clean_upload(upload, ORDER_UPLOAD).count() == 4
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    lines = dict(SAMPLE, tags=["one\ntwo", "", "", ""])
+    upload = I.read_upload(spark, write_orders(tmp_path / "lines.csv", lines), multiline=True)
+    assert I.clean_upload(upload, ORDER_UPLOAD).filter("id = '1'").first().tags == "one\ntwo"
+
+
 def test_rows_without_key_are_dropped(spark):
     frame = spark.createDataFrame([(None,), ("",), ("0",), ("7.0",), ("v1.0",)], "id string")
     assert rows(I.drop_empty_keys(I.normalize_ids(frame))) == [("7",), ("v1.0",)]
@@ -136,6 +163,17 @@ def test_copies(spark, current):
     assert rows(U.merged(current, only).filter("id = '1'")) == [("1", None, "keep")]
 
 
+def test_one_key_with_a_third_of_all_rows(spark, current):
+    rows_ = spark.range(30000).selectExpr(
+        "IF(id % 3 = 0, '1', concat('n', id)) AS id", "CAST(id AS double) AS total_amount", f"id AS {I.ROW_ORDER}"
+    ).repartition(7)
+    last = U.last_rows(rows_)
+    marked = U.mark_stored(last, U.stored_keys(current, last))
+    assert rows(U.upsert_counts(marked)) == [(20000, 10000)]
+    assert U.merged(current, marked).filter("id = '1'").first().total_amount == 29997
+    assert sorted(rows(U.upsert(current, rows_))) == sorted(rows(U.merged(current, marked)))
+
+
 def test_empty_batch_changes_nothing(spark, current):
     last = U.last_rows(batch(spark, ("x", 1.0)).filter(F.lit(False)))
     marked = U.mark_stored(last, U.stored_keys(current, last))
