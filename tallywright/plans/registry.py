@@ -9,18 +9,13 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import time_text
 from tallywright.operators import catalog as C
+from tallywright.operators import filters as L
 from tallywright.operators import partner as P
 from tallywright.operators import present as V
 from tallywright.operators import reports as R
 from tallywright.operators import totals as X
 from tallywright.operators import upsert as U
-from tallywright.operators.filters import (
-    SalesFilter,
-    filter_paid,
-    filter_period,
-    filter_products,
-    orders_by_source,
-)
+from tallywright.operators.filters import SalesFilter
 from tallywright.plans import star as S
 from tallywright.plans.tabs import product_tab
 from tallywright.schemas import CONTACT_UPLOAD, ORDER_UPLOAD, UploadSpec
@@ -206,14 +201,11 @@ _ROW = ("id", "content", "income")
 
 
 @query
-def filter_period_days(spark, sf_dir):
-    rows = filter_period(_events(spark, sf_dir), EVENT_START, EVENT_END)
+def filter_period(spark, sf_dir):
+    rows = L.filter_period(_events(spark, sf_dir), EVENT_START, EVENT_END)
     return rows.select(*_ROW, "utm_source")
 
 
-_QUERIES["filter_period"] = _QUERIES.pop("filter_period_days")
-
-
 @_star_query
 def category_revenue_all_time(star):
     return R.category_revenue(star.orders, star.catalog)
@@ -221,12 +213,12 @@ def category_revenue_all_time(star):
 
 @_star_query
 def filter_products_in(star):
-    return filter_products(star.orders, include=PICKED).select(*_ROW)
+    return L.filter_products(star.orders, include=PICKED).select(*_ROW)
 
 
 @_star_query
 def filter_products_not_in(star):
-    return filter_products(star.orders, exclude=DROPPED).select(*_ROW)
+    return L.filter_products(star.orders, exclude=DROPPED).select(*_ROW)
 
 
 def _by_product(star: S.Star, **choices) -> DataFrame:
@@ -252,11 +244,8 @@ def filter_categories_not_in(star):
 
 
 @query
-def filter_paid_orders(spark, sf_dir):
-    return filter_paid(_events(spark, sf_dir)).select(*_ROW)
-
-
-_QUERIES["filter_paid"] = _QUERIES.pop("filter_paid_orders")
+def filter_paid(spark, sf_dir):
+    return L.filter_paid(_events(spark, sf_dir)).select(*_ROW)
 
 
 @_star_query
@@ -289,14 +278,11 @@ def contact_detail(star):
 
 
 @_star_query
-def orders_by_utm_source(star):
-    rows = orders_by_source(star.orders, SOURCE)
+def orders_by_source(star):
+    rows = L.orders_by_source(star.orders, SOURCE)
     return _dates_as_text(rows, ["creation_date"])
 
 
-_QUERIES["orders_by_source"] = _QUERIES.pop("orders_by_utm_source")
-
-
 @_star_query
 def product_search(star):
     return C.search_products(star.products, "RED")
