@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +27,12 @@ def build_session(app: str = "tallywright", master: str | None = None, **conf) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors can reach, from ``spark.checkpoint.dir``.
 
-    Only a local session may do without the setting; it gets a new folder below
-    ``/tmp``, which is kept in the session so that it is made once.
+    Without the setting it is a folder in the warehouse, which executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = spark.conf.get("spark.tallywright.localShared", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tallywright-", dir="/tmp")
-        spark.conf.set("spark.tallywright.localShared", folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tallywright"
 
 
 def stored(frame: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
