@@ -13,7 +13,7 @@ from tallywright.session import stored
 #: A word of the documents: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "column_or_null", "pieces", "stored", "table", "words_in"]
+__all__ = ["WORD", "column_or_null", "let", "pieces", "stored", "table", "words_in"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,16 @@ def column_or_null(frame: DataFrame, name: str, kind: str = "string"):
     return F.col(name) if name in frame.columns else F.lit(None).cast(kind)
 
 
+def let(value, then) -> F.Column:
+    """``then(value)`` with the value computed once.
+
+    Neighbouring projections are merged by the optimizer, which repeats a column's
+    expression wherever it is used, within a lambda for every element. A lambda's
+    argument is not repeated.
+    """
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def words_in(text) -> F.Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
