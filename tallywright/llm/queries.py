@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallywright.llm import bpe, langid, line_dedup, page_text, pii, simhash
+from tallywright.llm import bpe, langid, line_dedup, mixing, page_text, pii, simhash, urls
 
 LLM_QUERIES = {
     "op2_personal_data": pii.op2_personal_data,
     "op3_html": page_text.op3_html,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_url_filter": urls.op5_url_filter,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
 }
