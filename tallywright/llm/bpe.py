@@ -360,10 +360,11 @@ def decode_slices(coded: DataFrame, ranks_path: str, key: str = "doc_id", ids: s
     return decode(spans, ranks_path, out="piece").drop("ids")
 
 
-def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows."""
+def digests(coded: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ``n_tokens, ids_sha256, decoded_sha256`` of encoded and
+    decoded rows."""
     return coded.select(
-        key,
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
@@ -378,4 +379,4 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return digests(decode(coded, path))
+    return digests(decode(coded, path), "doc_id")

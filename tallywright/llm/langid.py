@@ -154,6 +154,7 @@ _MODELS: dict[str, tuple[list[str], np.ndarray]] = {}
 
 def identify(
     docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text",
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """``key, lang_pred, score, langs, shares``: the language with the largest share,
     that share (0 to 1), and the whole set with its proportions, largest first.
@@ -161,7 +162,8 @@ def identify(
     Null, empty and letterless texts, and all texts if nothing was learned, are
     ``und`` with score 0 and no languages. Equal shares go to the language first in
     order. Whole texts are read, whatever their length. Repeated rows stay repeated;
-    an empty table gives an empty one; other columns are not read.
+    an empty table gives an empty one. Columns in ``carry`` come along in a struct
+    ``row``, so that their names cannot clash; others are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
@@ -183,8 +185,9 @@ def identify(
                 sets.append([langs[i] for i in which]), shares.append(part.tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                names=["key", "lang_pred", "score", "langs", "shares"],
+                 pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())),
+                 *batch.columns[2:]],
+                names=["key", "lang_pred", "score", "langs", "shares", "row"][:3 + batch.num_columns],
             )
 
     out = T.StructType([
@@ -192,8 +195,11 @@ def identify(
         T.StructField("score", T.DoubleType()), T.StructField("langs", T.ArrayType(T.StringType())),
         T.StructField("shares", T.ArrayType(T.DoubleType())),
     ])
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")) \
-        .mapInArrow(run, out).withColumnRenamed("key", key)
+    columns = [F.col(key).alias("key"), F.col(text).alias("text")]
+    if carry:
+        columns.append(F.struct(*carry).alias("row"))
+    rows = docs.select(*columns)
+    return rows.mapInArrow(run, T.StructType([*out.fields, *rows.schema.fields[2:]])).withColumnRenamed("key", key)
 
 
 def fold(key: str = "doc_id"):

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from tallywright.llm import bpe, langid, line_dedup, mixing, page_text, pii, simhash, urls
+import corpus_pipeline
+from tallywright.llm import (
+    bpe,
+    exact_search,
+    langid,
+    line_dedup,
+    mixing,
+    page_text,
+    pii,
+    simhash,
+    tree_search,
+    urls,
+)
 
 LLM_QUERIES = {
+    "op1_exact_topk": exact_search.op1_exact_topk,
     "op2_personal_data": pii.op2_personal_data,
     "op3_html": page_text.op3_html,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_url_filter": urls.op5_url_filter,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_tree_search": tree_search.op7_tree_search,
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {}
