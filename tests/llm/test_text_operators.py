@@ -125,7 +125,7 @@ def test_op10(spark, folder, documents):
 
 
 def test_language_of_awkward_rows(awkward, nothing):
-    model = langid.learn(langid.training(awkward))
+    model = langid.learn(awkward)
     rows = langid.identify(awkward, model, carry=["row", "key"]).collect()
     assert len(rows) == awkward.count()
     by_id = {r.doc_id: r for r in rows}
@@ -183,12 +183,13 @@ def test_base_spans_equal_the_patterns():
 
 def test_revealing_terms(spark):
     """A word that only stands beside emails discloses them; common ones do not."""
-    docs = [(i, f"the cat sat {i} correspondence u{i}@mail.example the dog {w}") for i, w in enumerate("pqrstuvw")]
+    words = "alder birch cedar hazel larch maple rowan willow".split()
+    docs = [(i, f"the cat {w} sat {i} correspondence u{i}@mail.example the dog") for i, w in enumerate(words)]
     docs += [(100 + i, "the cat and the dog sat on the mat " * 20) for i in range(20)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     found = pii.find(frame)
     text = pii.redact(frame, found).where("doc_id = 3").first().text
-    assert text == "the cat sat 3  [EMAIL] the dog s"
+    assert text == "the cat hazel sat 3  [EMAIL] the dog"
 
 
 def test_pii_of_awkward_rows(spark, awkward, nothing):
