@@ -13,7 +13,16 @@ from tallywright.session import stored
 #: A word of the documents: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "column_or_null", "let", "pieces", "stored", "table", "words_in"]
+__all__ = ["WORD", "column_or_null", "let", "pieces", "small_side", "stored", "table", "words_in"]
+
+
+def small_side(frame: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has at most so many.
+
+    Its rows are counted first (from the files' footers). Beyond that the join shuffles,
+    with the same result.
+    """
+    return F.broadcast(frame) if frame.count() <= rows else frame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import let, stored, table
+from tallywright.llm.common import let, small_side, stored, table
 
 #: Lines that a chunk has at least to be removed.
 MIN_LINES = 2
@@ -71,19 +71,19 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines
         .select("key", F.col("__rid").alias("rid"), F.posexplode("__chunks").alias("place", "c")) \
         .where(F.col("c.n") >= min_lines) \
         .select("key", "rid", "place", "c.n", F.col("c.text").alias("chunk"),
-                F.xxhash64("c.text").alias("hash"), F.length("c.text").alias("size"))
-    twice = pieces.groupBy("hash", "size").agg(F.count("*").alias("times")).where("times > 1").select("hash", "size")
-    twice = stored(twice, "lines-twice")
-    found = stored(pieces.join(twice, ["hash", "size"], "left_semi"), "lines-found")
+                F.xxhash64("c.text").alias("hash"))
+    twice = pieces.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    twice = small_side(stored(twice, "lines-twice"))  # a long for each; texts need not move for few of them
+    found = stored(pieces.join(twice, "hash", "left_semi"), "lines-found")
     # grouping by the text itself compares the bytes
-    owners = found.groupBy("hash", "size", "chunk").agg(F.min("key").alias("owner"), F.count("*").alias("times")) \
+    owners = found.groupBy("hash", "chunk").agg(F.min("key").alias("owner"), F.count("*").alias("times")) \
         .where("times > 1").drop("times")
     owners = stored(owners, "lines-owners")
-    placed = found.join(owners, ["hash", "size", "chunk"])
+    placed = found.join(owners, ["hash", "chunk"])
     others = placed.where(~F.col("key").eqNullSafe(F.col("owner")))
     # in the owner itself all but the first place go
     own = placed.where(F.col("key").eqNullSafe(F.col("owner"))) \
-        .groupBy("key", "rid", "hash", "size", "chunk", "n").agg(F.sort_array(F.collect_set("place")).alias("places")) \
+        .groupBy("key", "rid", "hash", "chunk", "n").agg(F.sort_array(F.collect_set("place")).alias("places")) \
         .where(F.size("places") > 1) \
         .select("key", "rid", F.explode(F.expr("slice(places, 2, size(places) - 1)")).alias("place"), "n", "chunk")
     return others.select("key", "rid", "place", "n", "chunk").unionByName(own)
