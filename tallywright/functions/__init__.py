@@ -2,6 +2,8 @@ from tallywright.functions.ids import append_ids
 from tallywright.functions.scalars import (
     day_of,
     exact_sum,
+    finite,
+    is_paid,
     local_text,
     money_text,
     month_start,
@@ -14,7 +16,7 @@ from tallywright.functions.scalars import (
 )
 
 __all__ = [
-    "append_ids", "day_of", "exact_sum", "local_text", "money_text", "month_start",
+    "append_ids", "day_of", "exact_sum", "finite", "is_paid", "local_text", "money_text", "month_start",
     "month_text", "percent_of", "percent_text", "ratio", "round_half_even",
     "time_text",
 ]

@@ -6,27 +6,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _QUOTIENT = "decimal(30,10)"
-_LOW_BITS = 20
+_LOW_BITS = 24
+
+
+def finite(value: Column) -> Column:
+    """The amount, or null where it is no number: NaN and infinities."""
+    amount = value.cast("double")
+    return F.when((amount > float("-inf")) & (amount < float("inf")), amount)
+
+
+def is_paid(value: Column) -> Column:
+    """A positive, finite amount. Plain comparisons, so they reach the Parquet reader."""
+    return (value > 0) & (value < float("inf"))
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum of amounts to four decimals, exact in any order of the rows.
+    """Sum of amounts to six decimals, exact in any order of the rows.
 
     A sum of doubles depends on the order in which tasks finish. A sum of
     decimals does not, but turning a double into a decimal costs ten times the
-    sum itself. Here the amounts are counted in ten-thousandths as long
-    integers. The high and the low bits are summed separately, so neither sum
-    overflows below 2**43 rows, and put together as a decimal once per group.
-    Exact for amounts under 900 billion.
+    sum itself. Here the whole part is summed as a long integer, its high and
+    low bits apart so that neither sum overflows, and the fraction in millionths
+    (fewer decimals where a double has no more); they are put together as a
+    decimal once per group.
+
+    NaN and infinities are no amounts and count as null. Amounts of 2**63 and
+    more are summed as doubles, which hold no fraction there; a group whose sum
+    no decimal(38,6) can hold has a null sum.
     """
-    units = F.rint(value.cast("double") * F.lit(10000.0)).cast("bigint")
-    high = F.sum(F.shiftright(units, _LOW_BITS))
-    low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
-    whole = (
+    amount = finite(value)
+    small = F.abs(amount) < float(1 << 62)
+    whole = F.when(small, F.floor(amount)).when(amount.isNotNull(), F.lit(0)).cast("bigint")
+    places = F.when(F.abs(amount) < float(1 << 32), 1e6).when(F.abs(amount) < float(1 << 40), 1e4).otherwise(1e2)
+    rest = F.when(small, F.rint((amount - F.floor(amount)) * places) * (F.lit(1e6) / places))
+    high = F.sum(F.shiftright(whole, _LOW_BITS))
+    low = F.sum(whole.bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
+    millionths = F.coalesce(F.sum(rest.cast("bigint")), F.lit(0))
+    large = F.sum(F.when(~small, amount))
+    units = (
         high.cast("decimal(20,0)") * F.lit(1 << _LOW_BITS).cast("decimal(8,0)")
         + low.cast("decimal(20,0)")
     )
-    return (whole * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(32,4)")
+    total = units.cast("decimal(32,0)") + millionths.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")
+    total = total.cast("decimal(38,6)")
+    return F.when(large.isNull(), total).otherwise((total + large.try_cast("decimal(38,6)")).cast("decimal(38,6)"))
 
 
 def day_of(ts: Column) -> Column:

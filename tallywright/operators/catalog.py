@@ -168,8 +168,11 @@ def assign_categories(catalog: Catalog, changes: DataFrame) -> DataFrame:
 
     ``changes`` has one row per product: ``product_id`` and ``category_ids``, an
     array. Unknown categories are ignored and an empty array clears the product;
-    rows for unknown products are ignored too (``unknown_ids`` reports them).
+    rows for unknown products are ignored too (``unknown_ids`` reports them). With a
+    column ``position`` a product may have several changes, the last of which counts.
     """
+    if "position" in changes.columns:
+        changes = changes.groupBy("product_id").agg(F.max_by("category_ids", "position").alias("category_ids"))
     changed = changes.join(
         catalog.products.select(F.col("id").alias("product_id")), "product_id", "left_semi"
     )

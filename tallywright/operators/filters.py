@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions import month_text
+from tallywright.functions import is_paid, month_text
 
 # The month column by which stored orders are partitioned, and its value for
 # orders without a creation date.
@@ -50,12 +50,11 @@ def in_period(
     first, last = as_day(start), as_day(end)
     if first is None or last is None:
         return None if optional else F.lit(False)
-    after = last + dt.timedelta(days=1)
-    return (ts >= _midnight(first)) & (ts < _midnight(after))
+    return (ts >= _moment(first, "00:00:00")) & (ts <= _moment(last, "23:59:59.999999"))
 
 
-def _midnight(day: dt.date) -> Column:
-    return F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
+def _moment(day: dt.date, time: str) -> Column:
+    return F.lit(f"{day.isoformat()} {time}").cast("timestamp_ntz")
 
 
 @dataclass(frozen=True)
@@ -71,8 +70,8 @@ class SalesFilter:
 
     start: Day = None
     end: Day = None
-    products: Sequence[str] = ()
-    exclude_products: Sequence[str] = ()
+    products: Sequence[str] | DataFrame = ()
+    exclude_products: Sequence[str] | DataFrame = ()
     categories: Sequence[int] | int | None = ()
     exclude_categories: Sequence[int] | int | None = ()
     paid_only: bool = False
@@ -105,27 +104,43 @@ def filter_period(
     first, last = as_day(start), as_day(end)
     if MONTH_SLOT in orders.columns and first and last:
         # Months outside the period are not even listed for reading.
-        months = F.col(MONTH_SLOT).between(f"{first:%Y-%m}", f"{last:%Y-%m}")
+        months = F.col(MONTH_SLOT).between(first.isoformat()[:7], last.isoformat()[:7])
         wanted = months & wanted
     return orders.filter(wanted)
 
 
 def filter_paid(orders: DataFrame) -> DataFrame:
     """Paid means a positive income, whatever the status says."""
-    return orders.filter(F.col("income") > 0)
+    return orders.filter(is_paid(F.col("income")))
 
 
 def filter_products(
-    orders: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()
+    orders: DataFrame,
+    include: Sequence[str] | DataFrame = (),
+    exclude: Sequence[str] | DataFrame = (),
 ) -> DataFrame:
-    """Keep or drop product texts; an exclusion also drops orders without text."""
-    if include:
+    """Keep or drop product texts; an exclusion also drops orders without text.
+
+    Short lists become a predicate that the reader gets; long ones can be given as
+    frames, whose first column holds the texts, and become semi and anti joins. An
+    empty list filters nothing; an empty frame is a choice of nothing.
+    """
+    if isinstance(include, DataFrame):
+        orders = orders.join(_texts(include), F.col("content") == F.col("__text"), "left_semi")
+    elif include:
         orders = orders.filter(F.col("content").isin(list(include)))
-    if exclude:
+    if isinstance(exclude, DataFrame):
+        orders = orders.filter(F.col("content").isNotNull())
+        orders = orders.join(_texts(exclude), F.col("content") == F.col("__text"), "left_anti")
+    elif exclude:
         orders = orders.filter(~F.col("content").isin(list(exclude)))
     return orders
 
 
+def _texts(names: DataFrame) -> DataFrame:
+    return names.select(F.col(names.columns[0]).alias("__text"))
+
+
 def filter_links(
     links: DataFrame,
     include: Sequence[int] | int | None = (),

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions import day_of, exact_sum, month_start, month_text
+from tallywright.functions import day_of, exact_sum, is_paid, month_start, month_text
 from tallywright.operators.catalog import Catalog
 from tallywright.operators.filters import MONTH_SLOT, NO_MONTH, SalesFilter
 
@@ -26,7 +26,7 @@ MEASURES = ("total_orders", "paid_orders", "income", "paid_income", "latest")
 
 def _measure(name: str) -> Column:
     income = F.col("income")
-    paid = income > 0
+    paid = is_paid(income)
     if name == "total_orders":
         # An order id is never null, so rows are counted and ids are not read.
         measure = F.count(F.lit(1))

@@ -88,23 +88,3 @@ def merged(current: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:
           for f in fields]
     )
     return kept.unionByName(created)
-
-
-def upsert(current: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """The table after a batch of unknown size, in one pass over each.
-
-    One full outer join on the key, so each side is shuffled once. For a small
-    batch on a large table reduce, mark and store the batch first and use
-    ``merged``, as the import job does.
-    """
-    last = last_rows(batch, key)
-    carried = [f for f in current.columns if f in last.columns and f != key]
-    new = last.select(F.col(key).alias("__key"), F.struct(*carried).alias("__new"))
-    hit = F.col("__key").isNotNull()
-    taken = [
-        F.coalesce("__key", key).alias(f) if f == key
-        else F.when(hit, F.col(f"__new.{f}")).otherwise(F.col(f)).alias(f) if f in carried
-        else F.col(f)
-        for f in current.columns
-    ]
-    return current.join(new, F.col(key) == F.col("__key"), "full").select(*taken)

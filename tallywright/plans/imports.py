@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tallywright.operators import upsert as U
 from tallywright.schemas import UploadSpec
-from tallywright.session import stored
+from tallywright.session import scratch, stored
 from tallywright.sources.tables import TableStore
-from tallywright.sources.uploads import ROW_ORDER, UploadRejected, clean_upload
+from tallywright.sources.uploads import ROW_ORDER, UploadRejected, clean_upload, refusing_malformed
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,13 @@ def import_upload(store: TableStore, spec: UploadSpec, upload: DataFrame) -> Imp
     """
     if ROW_ORDER not in upload.columns:
         upload = upload.withColumn(ROW_ORDER, F.monotonically_increasing_id())
-    batch = stored(U.last_rows(clean_upload(upload, spec), spec.key), f"upload-{spec.table}")
+    with scratch(store.spark):
+        return _import(store, spec, upload)
+
+
+def _import(store: TableStore, spec: UploadSpec, upload: DataFrame) -> ImportResult:
+    with refusing_malformed():
+        batch = stored(U.last_rows(clean_upload(upload, spec), spec.key), f"upload-{spec.table}")
 
     slot = store.tables[spec.table].slot
     candidates = store.read(spec.table, _possible_slots(store, spec, batch))

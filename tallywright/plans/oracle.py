@@ -285,6 +285,16 @@ def oracle_queries() -> dict[str, str]:
             f"SELECT id, copies FROM ({_MARKED}) m WHERE found = 0 AND copies > 1"),
         "export_rows": _with(["sales"], f"""SELECT id, number, coalesce(content, '') AS content, status,
             {_time('creation_date', 'creation_date')}, utm_source, {_num('income', 'income')} FROM sales"""),
+        "export_roundtrip": _with(["sales", "contacts", *_CATALOG], f"""
+            SELECT 'orders' AS name, concat_ws('|', id, number,
+                coalesce('  ' || content || ' "q", ' || chr(10) || ' end ', ''), status,
+                {_time('creation_date', 'x')[:-5]}, utm_source,
+                coalesce(CAST(CAST(floor(income) AS DOUBLE) * 1e6 + 0.5 AS VARCHAR), '')) AS cells FROM sales
+            UNION ALL SELECT 'contacts', concat_ws('|', id, coalesce(chr(9) || full_name || ' ', ''),
+                coalesce({_time('creation_date', 'x')[:-5]}, '')) FROM contacts
+            UNION ALL SELECT 'products', concat_ws('|', id, name) FROM products
+            UNION ALL SELECT 'product_categories', concat_ws('|', id, name) FROM cats
+            UNION ALL SELECT 'product_category_association', concat_ws('|', product_id, category_id) FROM links"""),
         "table_counts": _with(["sales", "contacts", *_CATALOG], """
             SELECT 'orders' AS name, count(*) AS rows FROM sales
             UNION ALL SELECT 'contacts', count(*) FROM contacts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from tallywright.operators.filters import SalesFilter
 from tallywright.plans import star as S
 from tallywright.plans.tabs import product_tab
 from tallywright.schemas import CONTACT_UPLOAD, ORDER_UPLOAD, UploadSpec
-from tallywright.session import stored
+from tallywright.session import shared_folder, stored
 from tallywright.sources import exports as E
 from tallywright.sources import uploads as I
 
@@ -87,16 +88,24 @@ def _dates_as_text(rows: DataFrame, columns) -> DataFrame:
     return rows.withColumns({c: time_text(F.col(c)) for c in columns})
 
 
+def _through_csv(upload: DataFrame) -> DataFrame:
+    """The upload written as CSV files and read the way an import reads them."""
+    spark = upload.sparkSession
+    path = f"{shared_folder(spark)}/tallywright-csv-{uuid.uuid4().hex}"
+    E.write_csv(upload, path)
+    return I.read_upload(spark, path)
+
+
 @query
 def ingest_orders(spark, sf_dir):
-    rows = I.clean_upload(_order_upload(spark, sf_dir), ORDER_UPLOAD)
-    return _dates_as_text(rows, ORDER_UPLOAD.dates)
+    rows = I.clean_upload(_through_csv(_order_upload(spark, sf_dir)), ORDER_UPLOAD)
+    return _dates_as_text(rows.drop(I.ROW_ORDER), ORDER_UPLOAD.dates)
 
 
 @query
 def ingest_contacts(spark, sf_dir):
-    rows = I.clean_upload(_contact_upload(spark, sf_dir), CONTACT_UPLOAD)
-    return _dates_as_text(rows, CONTACT_UPLOAD.dates)
+    rows = I.clean_upload(_through_csv(_contact_upload(spark, sf_dir)), CONTACT_UPLOAD)
+    return _dates_as_text(rows.drop(I.ROW_ORDER), CONTACT_UPLOAD.dates)
 
 
 @query
@@ -145,23 +154,34 @@ def project_to_model(spark, sf_dir):
 # --- keyed writes ----------------------------------------------------------
 
 
-def _marked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = S.frame(spark, sf_dir, S.CURRENT_ORDERS)
-    last = stored(U.last_rows(S.frame(spark, sf_dir, S.REPEATED_ORDERS)), "last-orders")
+def _marked(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """A batch as the import job sees it, before anything is stored."""
+    last = U.last_rows(batch)
     return U.mark_stored(last, U.stored_keys(current, last))
 
 
+def _marked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(S.frame(spark, sf_dir, S.CURRENT_ORDERS), S.frame(spark, sf_dir, S.REPEATED_ORDERS))
+
+
+def _upserted(current: DataFrame, batch: DataFrame, name: str) -> DataFrame:
+    """The import job's chain: reduce and store the batch, mark it, merge it."""
+    last = stored(U.last_rows(batch), f"batch-{name}")
+    marked = stored(U.mark_stored(last, U.stored_keys(current, last)), f"marked-{name}")
+    return U.merged(current, marked)
+
+
 @query
 def upsert_orders(spark, sf_dir):
     current = S.frame(spark, sf_dir, S.CURRENT_ORDERS)
-    batch = S.frame(spark, sf_dir, S.INCOMING_ORDERS)
-    return _dates_as_text(U.upsert(current, batch), ["creation_date"])
+    rows = _upserted(current, S.frame(spark, sf_dir, S.INCOMING_ORDERS), "orders")
+    return _dates_as_text(rows, ["creation_date"])
 
 
 @query
 def upsert_contacts(spark, sf_dir):
     current = S.frame(spark, sf_dir, S.CURRENT_CONTACTS)
-    return U.upsert(current, S.frame(spark, sf_dir, S.INCOMING_CONTACTS))
+    return _upserted(current, S.frame(spark, sf_dir, S.INCOMING_CONTACTS), "contacts")
 
 
 @query
@@ -182,7 +202,26 @@ def upsert_conflicts(spark, sf_dir):
 
 @_star_query
 def export_rows(star):
-    return E.export_image(star.orders.drop(S.MONTH_SLOT))
+    return E.export_image(star.orders)
+
+
+@_star_query
+def export_roundtrip(star):
+    """All five tables exported and read back, with blanks around texts, quotes, line
+    breaks and large amounts: ``name``, and the cells of a row as one text."""
+    tables = star.tables()
+    odd = F.concat(F.lit("  "), "content", F.lit(' "q", \n end '))
+    large = F.floor("income") * F.lit(1e6) + 0.5
+    tables["orders"] = tables["orders"].withColumns({"content": odd, "income": large})
+    tables["contacts"] = tables["contacts"].withColumn("full_name", F.concat(F.lit("\t"), "full_name", F.lit(" ")))
+    folder = f"{shared_folder(star.spark)}/tallywright-export-{uuid.uuid4().hex}"
+    read = None
+    for name, path in E.export_tables(tables, folder).items():
+        rows = I.read_upload(star.spark, path, multiline=True).drop(I.ROW_ORDER)
+        cells = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in rows.columns])
+        rows = rows.select(F.lit(name).alias("name"), cells.alias("cells"))
+        read = rows if read is None else read.unionByName(rows)
+    return read
 
 
 @_star_query

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallywright.functions import append_ids
 from tallywright.operators import catalog as C
 from tallywright.operators import reports as R
 from tallywright.operators.present import freshness_text
 from tallywright.plans import tabs
 from tallywright.plans.imports import ImportResult, import_upload
 from tallywright.schemas import UPLOADS
-from tallywright.session import stored
+from tallywright.session import scratch, stored
 from tallywright.sources import exports
 from tallywright.sources.tables import TableStore
 from tallywright.sources.uploads import read_upload
@@ -71,22 +73,27 @@ class Workspace:
 
     def sync_products(self) -> int:
         """Add products that occur in orders only; returns how many."""
-        products = self._table("products")
-        before = products.count()
-        version = stored(C.sync_products(self.orders, products), "products")
-        added = version.count() - before
-        if added:
-            self.store.publish("products", version)
-        return added
-
-    def create_categories(self, names: Sequence[str]) -> DataFrame:
-        """Create all of the names, or raise if one is missing, known or repeated."""
+        with scratch(self.spark):
+            products = self._table("products")
+            names = stored(C.new_product_names(self.orders, products), "new-names")
+            added = names.count()
+            if added:
+                self.store.publish("products", products.unionByName(append_ids(names, products)))
+            return added
+
+    def create_categories(self, names: Sequence[str] | DataFrame) -> DataFrame:
+        """Create all of the names, or raise if one is missing, known or repeated.
+
+        ``names`` is a list, or a frame whose first column holds them.
+        """
         categories = self._table("product_categories")
-        asked = self.spark.createDataFrame([(n,) for n in names], "name string")
-        conflicts = C.category_conflicts(categories, asked).collect()
+        asked = names.select(F.col(names.columns[0]).alias("name")) if isinstance(names, DataFrame) \
+            else self.spark.createDataFrame([(n,) for n in names], "name string")
+        conflicts = C.category_conflicts(categories, asked).take(5)
         if conflicts:
             raise ValueError(f"cannot create: {[(r['name'], r['reason']) for r in conflicts]}")
-        self.store.publish("product_categories", stored(C.create_categories(categories, asked), "categories"))
+        with scratch(self.spark):
+            self.store.publish("product_categories", stored(C.create_categories(categories, asked), "categories"))
         return self._table("product_categories").join(asked, "name", "left_semi").select("id", "name")
 
     def delete_categories(self, ids: Iterable[int]) -> None:
@@ -97,19 +104,30 @@ class Workspace:
         after = C.delete_categories(catalog, doomed)
         # Links first: if the second write is lost, what remains is a category
         # without products and the call can be repeated.
-        self.store.publish("product_category_association", stored(after.links, "links"))
-        self.store.publish("product_categories", stored(after.categories, "categories"))
-
-    def assign_categories(self, changes: Mapping[int, Sequence[int]]) -> None:
-        """Replace the categories of each given product, or raise if one is unknown."""
-        rows = self.spark.createDataFrame(
+        with scratch(self.spark):
+            self.store.publish("product_category_association", stored(after.links, "links"))
+            self.store.publish("product_categories", stored(after.categories, "categories"))
+
+    def assign_categories(self, changes: Mapping[int, Sequence[int]] | DataFrame) -> None:
+        """Replace the categories of each given product, or raise if one is unknown.
+
+        ``changes`` maps a product id to category ids, or is a frame with
+        ``product_id``, ``category_ids`` and, where a product may have several
+        changes, ``position``: the last one counts.
+        """
+        rows = changes if isinstance(changes, DataFrame) else self.spark.createDataFrame(
             [(p, list(c or [])) for p, c in changes.items()],
             "product_id long, category_ids array<long>",
         )
         catalog = self.catalog
         self._require_known(catalog.products, rows, "product", "product_id")
+        if "position" not in rows.columns:
+            twice = rows.groupBy("product_id").count().filter("count > 1").take(5)
+            if twice:
+                raise ValueError(f"several changes without a position: {sorted(r.product_id for r in twice)}")
         links = C.assign_categories(catalog, rows)
-        self.store.publish("product_category_association", stored(links, "links"))
+        with scratch(self.spark):
+            self.store.publish("product_category_association", stored(links, "links"))
 
     def _require_known(self, table, asked, what: str, column: str = "id") -> None:
         unknown = C.unknown_ids(table, asked, column).take(5)

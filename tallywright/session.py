@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tallywright"
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the folders that ``stored`` writes inside, when the job ends.
+
+    For jobs that publish their result elsewhere. Outside of it a stored table lives
+    as long as the frames over it may be used, and the folder's owner expires it.
+    """
+    folders: list[str] = []
+    token = _owned.set(folders)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(frame: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """``frame`` written to the shared folder and read back.
 
@@ -45,6 +68,8 @@ def stored(frame: DataFrame, name: str, partition_by: str | None = None) -> Data
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/tallywright-{name}-{uuid.uuid4().hex}"
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
     if partition_by:
         frame.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
     else:

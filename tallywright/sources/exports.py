@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import time_text
@@ -28,11 +28,29 @@ def export_image(table: DataFrame) -> DataFrame:
     return table.select(*shown)
 
 
+def plain_digits(value: Column) -> Column:
+    """A double as text without an exponent: ``12345678.5``, ``0.00004``."""
+    text = value.cast("string")
+    digits = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    whole = F.concat(text.try_cast("decimal(38,0)").cast("string"), F.lit(".0"))
+    return F.when(~text.contains("E"), text).otherwise(F.coalesce(digits, whole, text))
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
-    """CSV with a header; a folder of part files, written in parallel."""
+    """CSV with a header; a folder of part files, written in parallel.
+
+    Texts are written as they are, surrounding blanks included, and doubles as
+    plain digits. Cells with line breaks are quoted; ``read_upload`` reads them with
+    ``multiline``.
+    """
+    shown = [
+        plain_digits(F.col(name)).alias(name) if kind in ("double", "float") else F.col(name)
+        for name, kind in frame.dtypes
+    ]
     (
-        frame.write.option("header", True).option("nullValue", "").option("emptyValue", "")
-        .option("escape", '"').csv(path)
+        frame.select(*shown).write.option("header", True).option("nullValue", "").option("emptyValue", "")
+        .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallywright.functions import finite
 from tallywright.schemas import MISSING_MARKERS, UploadSpec
 
 # Position of a row in its upload. Later rows win over earlier ones.
@@ -14,8 +17,8 @@ ROW_ORDER = "__row"
 
 # Date layouts besides ISO, as a pattern and its ISO form. A time may follow.
 DATE_LAYOUTS = (
-    (r"^(\d{2})\.(\d{2})\.(\d{4})", "$3-$2-$1"),  # 31.12.2023, day first
-    (r"^(\d{2})/(\d{2})/(\d{4})", "$3-$1-$2"),  # 12/31/2023, month first
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})", "$3-$2-$1"),  # 31.12.2023, day first
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),  # 12/31/2023, month first
 )
 
 # Fields that hold ids of this or another table.
@@ -35,15 +38,48 @@ def read_upload(
 ) -> DataFrame:
     """Read one upload, all CSV cells as text; ``options`` go to the reader (``sep=";"``).
 
+    Every CSV file's own header names its columns; files may have them in
+    different orders, but not different ones. A row with more or fewer cells than
+    its header makes any job that reads it fail (see ``refusing_malformed``), which
+    a line break in a cell does too unless ``multiline`` is set: that allows line
+    breaks inside quoted cells, at the price that a file can no longer be split
+    between tasks.
+
     The row position is (file, block offset, order within the block): Spark may
     pack blocks into tasks in any order, so a plain increasing id would not do.
-    ``multiline`` allows line breaks inside quoted cells, at the price that a
-    file can no longer be split between tasks.
     """
-    reader = spark.read
     if fmt == "csv":
-        reader = reader.options(header=True, inferSchema=False, escape='"', multiLine=multiline)
-    rows = reader.format(fmt).options(**options).load(path)
+        rows = _read_csv(spark, path, multiline, options)
+    else:
+        rows = _positioned(spark.read.format(fmt).options(**options).load(path))
+    return rows
+
+
+def _read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool, options: dict) -> DataFrame:
+    def reader():
+        return spark.read.options(header=True, inferSchema=False, escape='"', multiLine=multiline, **options)
+
+    files: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(reader().csv(path).inputFiles()):
+        files.setdefault(tuple(reader().csv(file).columns), []).append(file)
+    if not files:
+        return _positioned(reader().csv(path))
+    first, *others = files
+    for header in others:
+        if odd := set(first) ^ set(header):
+            raise UploadRejected(f"files of one upload differ in their headers: {sorted(odd)}")
+    parts = []
+    for header, group in files.items():  # one for each order of the columns
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+        strict = reader().options(mode="FAILFAST", columnPruning=False, enforceSchema=False).schema(schema)
+        parts.append(_positioned(strict.csv(group)))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+def _positioned(rows: DataFrame) -> DataFrame:
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("offset"),
@@ -52,6 +88,18 @@ def read_upload(
     return rows.select("*", position.alias(ROW_ORDER))
 
 
+@contextmanager
+def refusing_malformed():
+    """Turns the failure of a job over a malformed upload into a refusal."""
+    try:
+        yield
+    except Exception as error:
+        told = str(error)
+        if any(name in told for name in ("MALFORMED_RECORD_IN_PARSING", "MALFORMED_CSV_RECORD")):
+            raise UploadRejected("a row of the upload does not have the cells of its header") from error
+        raise
+
+
 def header_problems(columns: Iterable[str], headers: Mapping[str, str]) -> list[tuple[str, str]]:
     """(``missing``|``extra``, header) for every deviation from the expected set."""
     given = [c for c in columns if c != ROW_ORDER]
@@ -117,17 +165,20 @@ def parse_dates(
         if kinds[name] != "string":
             return F.col(name).cast("timestamp_ntz")
         text = F.trim(F.col(name))
+        other = text
         for pattern, iso in layouts:
-            text = F.regexp_replace(text, pattern, iso)
-        return text.try_cast("timestamp_ntz")
+            other = F.regexp_replace(other, pattern, iso)
+        # ISO texts are most; they are spared the patterns
+        iso_first = F.substring(text, 5, 1) == "-"
+        return F.when(iso_first, text).otherwise(other).try_cast("timestamp_ntz")
 
     return rows.withColumns({c: parsed(c) for c in columns if c in kinds})
 
 
 def cast_money(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Amount texts to doubles; what is not a number becomes null."""
+    """Amount texts to doubles; what is not a finite number becomes null."""
     present = rows.columns
-    return rows.withColumns({c: F.col(c).try_cast("double") for c in columns if c in present})
+    return rows.withColumns({c: finite(F.col(c).try_cast("double")) for c in columns if c in present})
 
 
 def normalize_ids(rows: DataFrame, columns: Sequence[str] = ID_FIELDS) -> DataFrame:
@@ -148,8 +199,8 @@ def _text(name: str, kind: str) -> Column:
     col = F.col(name)
     if kind not in ("double", "float"):
         return col.cast("string")
-    whole = (col == F.floor(col)) & (F.abs(col) < 1e15)
-    return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+    digits = F.when(col == F.rint(col), col.try_cast("decimal(38,0)").cast("string"))
+    return F.coalesce(digits, col.cast("string"))
 
 
 def drop_empty_keys(rows: DataFrame, key: str = "id") -> DataFrame:

@@ -7,9 +7,11 @@ import pytest
 from conftest import plan, rows
 
 import __spark_entry__ as entry
+from tallywright.plans.oracle import oracle_queries
+from tallywright.plans.registry import all_queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +32,10 @@ def test_query(spark, con, name):
         assert node not in shown, f"{node} in the plan of {name}"
 
 
+def test_all_are_registered():
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == [
         "month", "category", "total_sales", "total_orders", "paid_orders"

@@ -227,6 +227,45 @@ def test_sums_are_exact_in_any_order(spark):
     assert frame.filter("x IS NULL").agg(exact_sum(F.col("x"))).first()[0] is None
 
 
+def test_odd_amounts_break_no_sum(spark):
+    def total(*values):
+        return spark.createDataFrame([(float(v),) for v in values], "x double").agg(exact_sum(F.col("x"))).first()[0]
+
+    assert total("inf", "nan", "-inf") is None
+    assert total("inf", 2.5, "nan") == D("2.5")
+    assert total(1e15, 0.5) == D("1000000000000000.5")
+    assert total(0.00004, 0.00004) == D("0.00008")
+    assert total(1e25, 1) == D("10000000000000000000000001")
+    assert total(1e300, 1) is None and total(-3e18, 3e18, -0.25) == D("-0.25")
+
+
+def test_odd_amounts_are_not_paid(make_orders):
+    from tallywright.operators.filters import filter_paid
+
+    orders = make_orders(*[("p", v, "2023-01-01 00:00:00") for v in (float("inf"), float("nan"), 1.0, 0.0, None, -1.0)])
+    assert [r.income for r in filter_paid(orders).collect()] == [1.0]
+
+
+def test_widest_periods(make_orders):
+    from tallywright.operators.filters import MONTH_SLOT, filter_period, month_slot
+
+    orders = make_orders(("p", 1.0, "2023-01-01 23:59:59.999999"), ("p", 1.0, "9999-12-31 23:59:59"))
+    stored = orders.withColumn(MONTH_SLOT, month_slot())
+    for rows_ in (orders, stored):
+        assert filter_period(rows_, "0001-01-01", "9999-12-31").count() == 2
+        assert filter_period(rows_, "0900-01-01", "2023-01-01").count() == 1
+
+
+def test_long_product_lists_as_frames(spark, make_orders):
+    from tallywright.operators.filters import filter_products
+
+    orders = make_orders(*[(c, 1.0, "2023-01-01 00:00:00") for c in ("a", "b", "c", None)])
+    names = spark.createDataFrame([("a",), ("b",), (None,)], "name string")
+    for given in (names, ["a", "b"]):
+        assert sorted(r.content for r in filter_products(orders, include=given).collect()) == ["a", "b"]
+        assert [r.content for r in filter_products(orders, exclude=given).collect()] == ["c"]
+
+
 def test_newest_month_only(star_like):
     plan_text = plan(R.freshness(*star_like))
     assert "PartitionFilters: [isnotnull(creation_month" in plan_text

@@ -9,18 +9,18 @@ from tallywright.operators import upsert as U
 from tallywright.schemas import CONTACT_UPLOAD, ORDER_HEADERS, ORDER_UPLOAD
 from tallywright.sources import uploads as I
 
-# Four orders as in a hand-made sample: a gap in a number column, missing dates.
+# A gap in the number column, missing dates, quotes and commas.
 SAMPLE = {
     "id": ["1", "2", "3", "4"],
-    "content": ["Товар 1", "Товар 2", "Товар 3", "Товар 4"],
-    "total_amount": ["1000.0", "2500.5", "500.0", "1200.75"],
-    "creation_date": ["2023-01-10", "2023-01-11", "2023-01-12", "2023-01-13"],
-    "payment_date": ["2023-01-11", "2023-01-12", "2023-01-13", ""],
-    "income": ["800", "2000", "400", "0"],
-    "tags": ["#vip", "two\"quotes", "", "a, b"],
-    "contact_id": ["123.0", "456.0", "", "789.0"],
-    "utm_source": ["google", "newsletter", "yandex", "google"],
-    "gc_order_date": ["2023-01-10", "2023-01-11", "", "2023-01-13"],
+    "content": ["Teapot, blue", "Lamp", "Rug 2x3", "Vase"],
+    "total_amount": ["199.9", "945.0", "77.25", "12"],
+    "creation_date": ["2021-06-07", "2021-06-08", "2021-06-09", "2021-06-12"],
+    "payment_date": ["2021-06-10", "", "2021-06-11", "2021-06-12"],
+    "income": ["150", "900", "70", "0"],
+    "tags": ["#new", "it\"s", "", "red, round"],
+    "contact_id": ["9.0", "", "12.0", "15.0"],
+    "utm_source": ["mail", "shop", "search", "mail"],
+    "gc_order_date": ["", "2021-06-08", "2021-06-09", "2021-06-12"],
 }
 
 
@@ -40,12 +40,12 @@ def test_sample_upload(spark, tmp_path):
     got = clean.orderBy("id").select(
         "id", "total_amount", "creation_date", "payment_date", "income", "tags", "contact_id", "gc_order_date"
     )
-    day = [dt.datetime(2023, 1, d) for d in (10, 11, 12, 13)]
+    day = [dt.datetime(2021, 6, d) for d in range(13)[1:]]
     assert rows(got) == [
-        ("1", 1000.0, day[0], day[1], 800.0, "#vip", "123", day[0]),
-        ("2", 2500.5, day[1], day[2], 2000.0, 'two"quotes', "456", day[1]),
-        ("3", 500.0, day[2], day[3], 400.0, None, None, None),
-        ("4", 1200.75, day[3], None, 0.0, "a, b", "789", day[3]),
+        ("1", 199.9, day[6], day[9], 150.0, "#new", "9", None),
+        ("2", 945.0, day[7], None, 900.0, 'it"s', None, day[7]),
+        ("3", 77.25, day[8], day[10], 70.0, None, "12", day[8]),
+        ("4", 12.0, day[11], day[11], 0.0, "red, round", "15", day[11]),
     ]
     assert set(clean.columns) == set(ORDER_HEADERS.values()) | {I.ROW_ORDER}
 
@@ -114,7 +114,7 @@ def test_typed_uploads(spark, tmp_path):
     typed.write.parquet(str(tmp_path / "typed"))
     clean = I.clean_upload(I.read_upload(spark, str(tmp_path / "typed"), "parquet"), ORDER_UPLOAD)
     got = clean.orderBy("id").select("id", "contact_phone", "income", "creation_date").first()
-    assert tuple(got) == ("10000000", "79991112233", None, dt.datetime(2023, 1, 10))
+    assert tuple(got) == ("10000000", "79991112233", None, dt.datetime(2021, 6, 7))
 
 
 def test_separator_and_byte_order_mark(spark, tmp_path):
@@ -150,7 +150,8 @@ def batch(spark, *pairs):
 
 
 def test_nulls_overwrite_and_other_fields_stay(spark, current):
-    out = U.upsert(current, batch(spark, ("1", None), ("3", 3.0)))
+    last = U.last_rows(batch(spark, ("1", None), ("3", 3.0)))
+    out = U.merged(current, U.mark_stored(last, U.stored_keys(current, last)))
     assert sorted(rows(out)) == [("1", None, "keep"), ("2", 8.0, "keep"), ("3", 3.0, None)]
 
 
@@ -171,7 +172,6 @@ def test_one_key_with_a_third_of_all_rows(spark, current):
     marked = U.mark_stored(last, U.stored_keys(current, last))
     assert rows(U.upsert_counts(marked)) == [(20000, 10000)]
     assert U.merged(current, marked).filter("id = '1'").first().total_amount == 29997
-    assert sorted(rows(U.upsert(current, rows_))) == sorted(rows(U.merged(current, marked)))
 
 
 def test_empty_batch_changes_nothing(spark, current):
@@ -179,3 +179,43 @@ def test_empty_batch_changes_nothing(spark, current):
     marked = U.mark_stored(last, U.stored_keys(current, last))
     assert rows(U.upsert_counts(marked)) == [(0, 0)]
     assert sorted(rows(U.merged(current, marked))) == sorted(rows(current))
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    """Columns in another order in a second file are mapped by name; others refuse."""
+    turned = dict(reversed(ORDER_HEADERS.items()))
+    write_orders(tmp_path / "a.csv")
+    write_orders(tmp_path / "b.csv", headers=turned)
+    upload = I.clean_upload(I.read_upload(spark, str(tmp_path)), ORDER_UPLOAD)
+    kept = upload.drop(I.ROW_ORDER)
+    assert kept.count() == 8 and kept.distinct().count() == 4
+    headers = {h: f for h, f in ORDER_HEADERS.items() if h != "Валюта"} | {"More": "more"}
+    write_orders(tmp_path / "c.csv", headers=headers)
+    with pytest.raises(I.UploadRejected, match="More"):
+        I.read_upload(spark, str(tmp_path))
+
+
+def test_line_breaks_in_cells_refuse_unless_asked_for(spark, tmp_path):
+    broken = SAMPLE | {"tags": ["#new", "line one\nline two", "", ""]}
+    path = write_orders(tmp_path / "broken.csv", broken)
+    with pytest.raises(I.UploadRejected), I.refusing_malformed():
+        I.clean_upload(I.read_upload(spark, path), ORDER_UPLOAD).collect()
+    whole = I.clean_upload(I.read_upload(spark, path, multiline=True), ORDER_UPLOAD)
+    assert sorted(r.tags or "" for r in whole.collect()) == ["", "", "#new", "line one\nline two"]
+
+
+def test_cells_that_are_no_amounts(spark):
+    frame = spark.createDataFrame([(t,) for t in ("inf", "NAN", "Infinity", "-Infinity", "x", "1e15", "0.00004")], "income string")
+    assert [r.income for r in I.cast_money(frame, ["income"]).collect()] == [None] * 5 + [1e15, 0.00004]
+
+
+def test_long_numeric_ids_are_digits(spark):
+    frame = spark.createDataFrame([(1234567890123456.0,), (123456789012345.0,), (9007199254740992.0,), (7.0,), (1.5,)], "id double")
+    assert [r.id for r in I.normalize_ids(frame).collect()] == [
+        "1234567890123456", "123456789012345", "9007199254740992", "7", "1.5"]
+
+
+def test_one_digit_days_and_months(spark):
+    frame = spark.createDataFrame([("1.2.2023",), ("3/14/2023",), ("2023-02-01 10:00:00",), ("1.2.23",)], "d string")
+    assert [r.d for r in I.parse_dates(frame, ["d"]).collect()] == [
+        dt.datetime(2023, 2, 1), dt.datetime(2023, 3, 14), dt.datetime(2023, 2, 1, 10), None]

@@ -11,7 +11,7 @@ from tallywright.schemas import CONTACT_HEADERS, SHARED_SOURCE, TOTAL_LABEL
 from tallywright.sources.uploads import UploadRejected
 from tallywright.streaming.drops import watch_uploads
 
-PERIOD = {"start": "2023-01-01", "end": "2023-12-31"}
+PERIOD = {"start": "2021-01-01", "end": "2021-12-31"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def filled(spark, tmp_path_factory):
     with open(path, "w", newline="", encoding="utf-8") as out:
         writer = csv.writer(out)
         writer.writerow(CONTACT_HEADERS)
-        for key, name in (("google", "Search"), ("newsletter", "NA"), ("", "nobody")):
+        for key, name in (("mail", "Search"), ("shop", "NA"), ("", "nobody")):
             cells = {"id": key, "full_name": name, "creation_date": "2023-05-01 22:30:00"}
             writer.writerow([cells.get(f, "1") for f in CONTACT_HEADERS.values()])
     assert space.import_contacts(str(path)) == ImportResult(2, 0)
@@ -33,45 +33,45 @@ def filled(spark, tmp_path_factory):
     made = {r.name: r.id for r in space.create_categories(["Books", "Toys"]).collect()}
     assert sorted(made.values()) == [1, 2]
     ids = {r.name: r.id for r in space.catalog.products.collect()}
-    space.assign_categories({ids["Товар 1"]: [1, 2], ids["Товар 2"]: [1]})
+    space.assign_categories({ids["Teapot, blue"]: [1, 2], ids["Lamp"]: [1]})
     return space
 
 
 def test_tables_are_cut_into_slots(filled):
-    assert set(filled.store.state("orders")[1]) == {"2023-01"}
+    assert set(filled.store.state("orders")[1]) == {"2021-06"}
     assert filled.contacts.count() == 2
     assert filled.orders.columns[-1] == "creation_month"
 
 
 def test_general_tab(filled):
     days = rows(filled.general_tab(**PERIOD)["daily"])
-    assert [(d.day, float(v)) for d, v in days] == [(10, 800), (11, 2000), (12, 400), (13, 0)]
+    assert [(d.day, float(v)) for d, v in days] == [(7, 150), (8, 900), (9, 70), (12, 0)]
 
 
 def test_product_tab(filled):
     tab = filled.product_tab(**PERIOD, category=1, base=2000)
     assert [tuple(map(str, r)) for r in tab["daily"].collect()] == [
-        ("2023-01-10", "1", "800.00", "800.00", "40.00%", "40.00%"),
-        ("2023-01-11", "1", "2000.00", "2800.00", "140.00%", "100.00%"),
+        ("2021-06-07", "1", "150.00", "150.00", "7.50%", "7.50%"),
+        ("2021-06-08", "1", "900.00", "1050.00", "52.50%", "45.00%"),
     ]
     assert [(r[0], r[1], float(r[2]), float(r[3])) for r in tab["summary"].collect()] == [
-        ("Товар 1", 1, 800, 800), ("Товар 2", 1, 2000, 2000), (TOTAL_LABEL, 2, 2800, 1400)
+        ("Lamp", 1, 900, 900), ("Teapot, blue", 1, 150, 150), (TOTAL_LABEL, 2, 1050, 525)
     ]
-    assert tab["latest"].first()[0].day == 11
+    assert tab["latest"].first()[0].day == 8
     nothing = filled.product_tab(**PERIOD)
     assert [nothing[n].count() for n in ("daily", "summary", "totals")] == [0, 0, 0]
 
 
 def test_period_tab(filled):
     table = filled.period_tab(**PERIOD)["table"].collect()
-    assert [(r[0], r[1], float(r[2])) for r in table][-1] == (TOTAL_LABEL, 3, 3200)
+    assert [(r[0], r[1], float(r[2])) for r in table][-1] == (TOTAL_LABEL, 3, 1120)
     assert len(table) == 4
 
 
 def test_category_tab(filled):
     tab = filled.category_tab()
     assert [(r[0], float(r[1])) for r in tab["table"].collect()] == [
-        ("Books", 2800), ("Toys", 800), (TOTAL_LABEL, 3600)
+        ("Books", 1050), ("Toys", 150), (TOTAL_LABEL, 1200)
     ]
     assert sum(r.share for r in tab["shares"].collect()) == pytest.approx(1)
     assert filled.category_tab(exclude=[1])["table"].first()[0] == "Toys"
@@ -80,7 +80,7 @@ def test_category_tab(filled):
 def test_partner_tab(filled):
     tab = filled.partner_tab(**PERIOD, exclude_common=False, show_income=True)
     assert [(r[0], r[1], r[2], float(r[3])) for r in tab["table"].collect()] == [
-        (SHARED_SOURCE, "newsletter", 1, 2000), ("Search", "google", 2, 800), (SHARED_SOURCE, "yandex", 1, 400)
+        (SHARED_SOURCE, "shop", 1, 900), ("Search", "mail", 2, 150), (SHARED_SOURCE, "search", 1, 70)
     ]
     assert tab["by_registrations"].first().partner == "Search"
     assert filled.partner_tab(**PERIOD)["table"].columns == ["Партнер", "UTM Source", "Количество регистраций"]
@@ -88,20 +88,20 @@ def test_partner_tab(filled):
 
 def test_monthly_tab(filled):
     tab = filled.monthly_tab(**PERIOD)
-    assert rows(tab["monthly"]) == [("2023-01", "3 200.00", 3), (TOTAL_LABEL, "3 200.00", 3)]
-    assert rows(tab["by_product"])[-1] == (TOTAL_LABEL, "", "3 200.00", 3)
+    assert rows(tab["monthly"]) == [("2021-06", "1 120.00", 3), (TOTAL_LABEL, "1 120.00", 3)]
+    assert rows(tab["by_product"])[-1] == (TOTAL_LABEL, "", "1 120.00", 3)
     assert rows(tab["by_category"]) == [
-        ("2023-01", "Books", "2 800.00", 2), ("2023-01", "Toys", "800.00", 1), (TOTAL_LABEL, "", "3 600.00", 3)
+        ("2021-06", "Books", "1 050.00", 2), ("2021-06", "Toys", "150.00", 1), (TOTAL_LABEL, "", "1 200.00", 3)
     ]
     line = tab["by_category_summary"].first()
-    assert (float(line.total_sales), line.paid_orders, line.average_check) == (3600, 3, 1200)
-    chosen = filled.monthly_tab(**PERIOD, categories=[1], exclude_products=["Товар 2"])
-    assert rows(chosen["by_product"])[0] == ("2023-01", "Товар 1", "800.00", 1)
+    assert (float(line.total_sales), line.paid_orders, line.average_check) == (1200, 3, 400)
+    chosen = filled.monthly_tab(**PERIOD, categories=[1], exclude_products=["Lamp"])
+    assert rows(chosen["by_product"])[0] == ("2021-06", "Teapot, blue", "150.00", 1)
 
 
 def test_freshness(filled):
     shown = filled.freshness().first()
-    assert shown.latest_order_text == "13-01-2023 03:00"
+    assert shown.latest_order_text == "12-06-2021 03:00"
     assert shown.latest_contact_text == "02-05-2023 01:30"
 
 
@@ -112,9 +112,25 @@ def test_export(filled, tmp_path):
     text = "".join(
         open(os.path.join(folder, f), encoding="utf-8").read() for f in sorted(os.listdir(folder)) if f.endswith(".csv")
     )
-    assert "2023-01-10 00:00:00" in text
+    assert "2021-06-07 00:00:00" in text
     assert text.startswith("id,number,contact_name,contact_surname,recipient_last_name,")
-    assert '"two""quotes"' in text and '""' not in text.replace('"two""quotes"', "")
+    assert '"it""s"' in text and '""' not in text.replace('"it""s"', "")
+
+
+def test_jobs_leave_no_scratch_folders(filled, spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    filled.assign_categories({})
+    filled.sync_products()
+    assert set(os.listdir(shared)) == before
+
+
+def test_malformed_upload_stores_nothing(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "tables"))
+    broken = SAMPLE | {"tags": ["#new", "one\ntwo", "", ""]}
+    with pytest.raises(UploadRejected, match="cells of its header"):
+        space.import_orders(write_orders(tmp_path / "broken.csv", broken))
+    assert space.store.state("orders") == (0, {})
 
 
 def test_refused_uploads_change_nothing(spark, tmp_path):
@@ -159,8 +175,13 @@ def test_delete_category(spark, tmp_path):
     space.assign_categories({1: [ids["A"], ids["B"]], 2: [ids["A"]]})
     space.delete_categories([ids["A"]])
     assert [list(r.categories) for r in space.products_with_categories().orderBy("id").collect()] == [["B"], [], [], []]
-    space.assign_categories({1: []})
-    assert space.catalog.links.count() == 0
+    changes = spark.createDataFrame(
+        [(1, [ids["B"]], 1), (1, [], 2), (2, [], 1), (2, [ids["B"]], 2)],
+        "product_id long, category_ids array<long>, position int")
+    with pytest.raises(ValueError, match="without a position"):
+        space.assign_categories(changes.drop("position"))
+    space.assign_categories(changes)
+    assert [r.product_id for r in space.catalog.links.collect()] == [2]
 
 
 def test_dropped_files(spark, tmp_path):
