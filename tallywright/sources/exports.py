@@ -43,12 +43,12 @@ def write_csv(frame: DataFrame, path: str) -> None:
     plain digits. Cells with line breaks are quoted; ``read_upload`` reads them with
     ``multiline``.
     """
-    shown = [
-        plain_digits(F.col(name)).alias(name) if kind in ("double", "float") else F.col(name)
-        for name, kind in frame.dtypes
-    ]
+    def shown(name: str, kind: str) -> Column:
+        cell = F.col("`" + name.replace("`", "``") + "`")  # titles may hold dots
+        return (plain_digits(cell) if kind in ("double", "float") else cell).alias(name)
+
     (
-        frame.select(*shown).write.option("header", True).option("nullValue", "").option("emptyValue", "")
+        frame.select(*[shown(*c) for c in frame.dtypes]).write.option("header", True).option("nullValue", "").option("emptyValue", "")
         .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).csv(path)
     )
