@@ -93,6 +93,17 @@ def freshness_text(latest: DataFrame, zone: str = DISPLAY_ZONE, no_data: str = N
     return latest.select("*", shown("latest_order"), shown("latest_contact"))
 
 
+def summary_texts(line: DataFrame) -> DataFrame:
+    """A summary line as it is read: amounts with spaced thousands, counts as they are."""
+    amounts = ("total_sales", "average_check", "average_monthly_income")
+    return money_columns(line, [c for c in amounts if c in line.columns])
+
+
+def fund_texts(fund: DataFrame) -> DataFrame:
+    """Fund figures as texts; those that are not shown stay null."""
+    return money_columns(fund, ["total_income", "fund_income", "fund_after_tax", "employee_income"])
+
+
 def fund_allocation(
     summary_with_total: DataFrame,
     latest: DataFrame,
@@ -109,17 +120,38 @@ def fund_allocation(
     ``summary_with_total`` comes from ``product_summary_totals``, ``latest`` from
     ``max_creation_date``. The figures are null, and ``visible`` false, unless
     the chosen category's name contains ``marker``. The title gets the local
-    time of the latest order, if there is one.
+    time of the latest order, if there is one. An empty report has income 0.
     """
+    one = summary_with_total.filter("is_total").agg(F.max("total_income").alias("total_income"))
+    one = one.withColumn("latest", latest.select("max_creation_date").scalar())
+    return _fund_figures(one, category_name, marker, title, headcount, fund_rate, after_tax_rate, zone)
+
+
+def fund_of_pieces(
+    pieces: DataFrame,
+    category_name: str | None,
+    marker: str,
+    title: str,
+    headcount: int | None = DEFAULT_HEADCOUNT,
+    fund_rate: str = DEFAULT_FUND_RATE,
+    after_tax_rate: str = DEFAULT_AFTER_TAX_RATE,
+    zone: str = DISPLAY_ZONE,
+) -> DataFrame:
+    """``fund_allocation`` where only it is wanted: one pass over ``product_pieces``."""
+    one = pieces.agg(round_half_even(F.sum("income")).alias("total_income"), F.max("latest").alias("latest"))
+    return _fund_figures(one, category_name, marker, title, headcount, fund_rate, after_tax_rate, zone)
+
+
+def _fund_figures(one, category_name, marker, title, headcount, fund_rate, after_tax_rate, zone) -> DataFrame:
     visible = F.lit(marker in (category_name or ""))
-    income = F.col("total_income")
+    income = F.coalesce("total_income", F.lit(0).cast("decimal(30,2)"))
     fund = income * F.lit(fund_rate).cast("decimal(6,4)")
     after_tax = fund * F.lit(after_tax_rate).cast("decimal(6,4)")
     people = F.lit(headcount if headcount and headcount > 0 else 0)
-    when = local_text(latest.select("max_creation_date").scalar(), zone, ".")
+    when = local_text(F.col("latest"), zone, ".")
     stamped = F.concat(F.lit(title), F.coalesce(F.concat(F.lit(" на "), when), F.lit("")))
-    return summary_with_total.filter("is_total").select(
-        F.col("total_income").alias("total_income"),
+    return one.select(
+        income.alias("total_income"),
         visible.alias("visible"),
         F.when(visible, stamped).otherwise(F.lit(title)).alias("title"),
         F.when(visible, fund).alias("fund_income"),

@@ -123,6 +123,10 @@ def _kpis(report: str) -> str:
     )
 
 
+def _money(column: str) -> str:
+    return f"replace(format('{{:,.2f}}', CAST({column} AS DOUBLE)), ',', ' ') AS {column}"
+
+
 def _partners(where: str) -> str:
     return (
         f"SELECT coalesce(c.full_name, '{SHARED_SOURCE}') AS partner, s.utm_source, "
@@ -454,6 +458,16 @@ def oracle_queries() -> dict[str, str]:
             FROM ({_partners(f"{_PARTNER_YEAR} AND {_NAMED_ONLY}")}) p"""),
         "fund_allocation": _with(_LINKED, _fund(True)),
         "fund_allocation_hidden": _with(_LINKED, _fund(False)),
+        "fund_texts": _with(_LINKED, f"""SELECT {_money('total_income')}, visible, title,
+            {_money('fund_income')}, {_money('fund_after_tax')}, {_money('employee_income')}
+            FROM ({_fund(True)}) f"""),
+        "fund_of_nothing": f"""SELECT CAST(0 AS DOUBLE) AS total_income, false AS visible, '{Q.FUND_TITLE}' AS title,
+            CAST(NULL AS DOUBLE) AS fund_income, CAST(NULL AS DOUBLE) AS fund_after_tax,
+            CAST(NULL AS DOUBLE) AS employee_income""",
+        "monthly_kpi_texts": _with(["sales"], f"""SELECT {_money('total_sales')}, paid_orders,
+            {_money('average_check')}, {_money('average_monthly_income')} FROM ({_kpis(month_ever)}) k"""),
+        "filter_products_listed": _with(_LINKED[:4], f"""SELECT id, content, {_num('income', 'income')} FROM sales
+            WHERE content IN (SELECT name FROM products WHERE id IN (SELECT product_id FROM links))"""),
         # --- catalog maintenance
         "sync_products": _with(["sales", "products"], """SELECT id, name FROM products WHERE name NOT LIKE 'small%'
             UNION ALL SELECT (SELECT max(id) FROM products WHERE name NOT LIKE 'small%')

@@ -18,7 +18,6 @@ from tallywright.operators import totals as X
 from tallywright.operators import upsert as U
 from tallywright.operators.filters import SalesFilter
 from tallywright.plans import star as S
-from tallywright.plans.tabs import product_tab
 from tallywright.schemas import CONTACT_UPLOAD, ORDER_UPLOAD, UploadSpec
 from tallywright.session import shared_folder, stored
 from tallywright.sources import exports as E
@@ -633,10 +632,8 @@ def partner_display(star):
 
 
 def _fund(star: S.Star, category_name: str) -> DataFrame:
-    tab = product_tab(star.orders, star.catalog, START, END, category=ONE_CATEGORY)
-    return V.fund_allocation(
-        tab["totals"], tab["latest"], category_name, FUND_MARKER, FUND_TITLE, headcount=3
-    )
+    pieces = R.product_pieces(star.orders, SalesFilter(**PERIOD, categories=ONE_CATEGORY), star.catalog)
+    return V.fund_of_pieces(pieces, category_name, FUND_MARKER, FUND_TITLE, headcount=3)
 
 
 @_star_query
@@ -649,6 +646,31 @@ def fund_allocation_hidden(star):
     return _fund(star, "Spring")
 
 
+@_star_query
+def fund_texts(star):
+    return V.fund_texts(_fund(star, "Spring PROMO"))
+
+
+@_star_query
+def fund_of_nothing(star):
+    """The block of an empty report: income 0 and hidden."""
+    nothing = SalesFilter("1900-01-01", "1900-01-31", categories=ONE_CATEGORY)
+    pieces = R.product_pieces(star.orders, nothing, star.catalog)
+    return V.fund_of_pieces(pieces, "Spring", FUND_MARKER, FUND_TITLE, headcount=3)
+
+
+@_star_query
+def monthly_kpi_texts(star):
+    return V.summary_texts(X.summary_line(R.monthly_sales(star.orders, star.catalog, **EVER)))
+
+
+@_star_query
+def filter_products_listed(star):
+    """A long list of product texts as a frame: the products of one category."""
+    names = C.products_with_categories(star.catalog).where(F.size("categories") > 0).select("name")
+    return L.filter_products(star.orders, include=names).select(*_ROW)
+
+
 # --- catalog maintenance -----------------------------------------------------
 
 

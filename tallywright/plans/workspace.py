@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import append_ids
 from tallywright.operators import catalog as C
 from tallywright.operators import reports as R
+from tallywright.operators.filters import NO_MONTH
 from tallywright.operators.present import freshness_text
 from tallywright.plans import tabs
 from tallywright.plans.imports import ImportResult, import_upload
@@ -143,7 +144,10 @@ class Workspace:
     # --- reports ---------------------------------------------------------
 
     def freshness(self) -> DataFrame:
-        return freshness_text(R.freshness(self.orders, self.contacts))
+        """Of the orders only the newest month is opened; the store knows which it is."""
+        months = [m for m in self.store.state("orders")[1] if m != NO_MONTH]
+        orders = self.store.read("orders", {max(months, default=NO_MONTH)})
+        return freshness_text(R.freshness(orders, self.contacts))
 
     def general_tab(self, start, end, category=None):
         return tabs.general_tab(self.orders, self.catalog, start, end, category)

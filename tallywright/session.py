@@ -37,6 +37,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tallywright"
 
 
+def subfolders(spark: SparkSession, path: str, marker: str | None = None) -> list[str]:
+    """Names of the folders in a folder, only those that hold a file ``marker`` if one
+    is given; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    found = [s.getPath() for s in system.listStatus(folder) if s.isDirectory()]
+    if marker:
+        found = [p for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, marker))]
+    return sorted(p.getName() for p in found)
+
+
 _owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 

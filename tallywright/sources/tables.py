@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.operators.filters import MONTH_SLOT, month_slot
 from tallywright.schemas import CONTACTS_SCHEMA, LINKS_SCHEMA, NAMED_SCHEMA, ORDERS_SCHEMA
+from tallywright.session import subfolders
 
 CONTACT_SLOTS = 16
 _LOG = "slot string, slot_version long"
@@ -60,19 +60,19 @@ class TableStore:
     def state(self, name: str) -> tuple[int, dict[str, int]]:
         """The latest version and the version of each slot.
 
-        Every log file lists all slots, so this collects one row per slot.
+        Each log entry lists all slots, so the newest one is found by listing the
+        log's folder, and only that one is read: one row per slot.
         """
-        try:
-            log = self.spark.read.schema(f"{_LOG}, version long").parquet(f"{self.root}/{name}/log")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0, {}
-        newest = log.agg(F.max("version").alias("version")).scalar()
-        rows = log.filter(F.col("version") == newest).collect()
-        if not rows:
+        log = f"{self.root}/{name}/log"
+        versions = [
+            int(entry.removeprefix("version=")) for entry in subfolders(self.spark, log, marker="_SUCCESS")
+            if entry.startswith("version=")
+        ]
+        if not versions:
             return 0, {}
-        return rows[0].version, {r.slot: r.slot_version for r in rows if r.slot is not None}
+        newest = max(versions)
+        rows = self.spark.read.schema(_LOG).parquet(f"{log}/version={newest}").collect()
+        return newest, {r.slot: r.slot_version for r in rows if r.slot is not None}
 
     def read(self, name: str, slots: set[str] | None = None) -> DataFrame:
         """The current rows; the slot column comes last. ``slots`` limits the read."""
@@ -114,10 +114,8 @@ class TableStore:
             slotted.hint("rebalance", spec.slot)
             .write.mode("overwrite").partitionBy(spec.slot).parquet(folder)
         )
-        written = {
-            r[0] for r in self.spark.read.schema(self._stored_schema(name)).parquet(folder)
-            .select(spec.slot).distinct().collect()
-        }
+        prefix = f"{spec.slot}="
+        written = {f.removeprefix(prefix) for f in subfolders(self.spark, folder) if f.startswith(prefix)}
         kept = {} if touched is None else {s: v for s, v in current.items() if s not in touched}
         stray = written & kept.keys()
         if stray:
