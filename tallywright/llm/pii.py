@@ -185,13 +185,16 @@ def disclosure(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
         .groupBy("x.term", "x.kind", "x.window").agg(F.count("*").alias("n")) \
         .groupBy("term", "kind").agg(F.sum("n").alias("n_near"), F.count("*").alias("contexts"))
     near = stored(near, "pii-near")
-    places = near.groupBy("kind").agg(F.sum("n_near").alias("n_kind"))  # a row per kind
-    corpus = scanned.where("counts is not null").select(F.explode("counts.n").alias("n")) \
-        .agg(F.sum("n").alias("n_all"))  # one row
-    pmi = F.log2(F.col("n_near") * F.col("n_all").cast("double") / F.col("n") / F.col("n_kind"))
+    # a number for each kind, and one for the corpus
+    places = dict(near.groupBy("kind").agg(F.sum("n_near")).collect())
+    words = scanned.where("counts is not null").select(F.explode("counts.n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    if not places:
+        return near.select("term", "kind", F.lit(0.0).alias("disclosure"))
+    shares = [F.lit(x) for kind, n in places.items() for x in (kind, n / words)]
+    share = F.element_at(F.create_map(*shares), F.col("kind"))
+    pmi = F.log2(F.col("n_near") / F.col("n") / share)
     return near.where(F.col("contexts") >= support).join(totals, "term") \
-        .join(F.broadcast(places), "kind").join(F.broadcast(corpus)) \
-        .select("term", "kind", (pmi / F.log2(F.col("n_all") / F.col("n_kind"))).alias("disclosure"))
+        .select("term", "kind", F.when(share < 1, pmi / -F.log2(share)).otherwise(0.0).alias("disclosure"))
 
 
 def find(
