@@ -30,6 +30,9 @@ def pages_of(spark, rows):
     ("<article><header><h1>T</h1></header><p>b</p></article><div id=cookie-notice>ok</div>", "T\n\nb"),
     ("<p>a<!-- <p>no -->b</p><p>c < d &lt; &#101;</p>", "ab\n\nc < d < e"),
     ("<article><ul><li>1<li>2</ul><table><tr><td>x<td>y</table></article>", "1\n\n2\n\nx\n\ny"),
+    ("<div class='content-sidebar-wrap has-comments'><article class='post no-sidebar'>a</article></div>", "a"),
+    ("<article>a</article><article class='comment'>b</article><div id='footerWrap'>c</div>", "a"),
+    ("<article><p>a <span class='ad'>x</span>b <button>go</button></p></article>", "a b"),
     ("<ARTICLE><P STYLE='display: none'>h</P><p>v</p></ARTICLE>", "v"),
     (None, ""), ("", ""), ("<style>p{}</style>", ""), ("<", "<"), ("<article><p>" + "w " * 50_000, ("w " * 50_000).strip()),
 ])
