@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def _read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool, o
         return spark.read.options(header=True, inferSchema=False, escape='"', multiLine=multiline, **options)
 
     files: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(reader().csv(path).inputFiles()):
+    for file in sorted(map(unquote, reader().csv(path).inputFiles())):  # given as encoded URLs
         files.setdefault(tuple(reader().csv(file).columns), []).append(file)
     if not files:
         return _positioned(reader().csv(path))

@@ -184,7 +184,7 @@ def test_empty_batch_changes_nothing(spark, current):
 def test_each_file_has_its_own_header(spark, tmp_path):
     """Columns in another order in a second file are mapped by name; others refuse."""
     turned = dict(reversed(ORDER_HEADERS.items()))
-    write_orders(tmp_path / "a.csv")
+    write_orders(tmp_path / "a file, 100%25.csv")
     write_orders(tmp_path / "b.csv", headers=turned)
     upload = I.clean_upload(I.read_upload(spark, str(tmp_path)), ORDER_UPLOAD)
     kept = upload.drop(I.ROW_ORDER)
