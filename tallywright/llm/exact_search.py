@@ -124,3 +124,23 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth embedding against all others."""
     rows = stored(as_terms(sound(table(spark, sf_dir, "embeddings"))), "exact-rows")
     return search(rows, rows.where(F.col("key") % 20 == 0))
+
+
+#: The same for DuckDB. Sums of whole doubles are exact here.
+OP1_SQL = """
+WITH sound AS (
+    SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.w, v.w) AS BIGINT) AS score
+    FROM sound q JOIN sound v ON q.vec_id <> v.vec_id
+    WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT query_id, vec_id, score,
+           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

@@ -29,4 +29,4 @@ LLM_QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {"op1_exact_topk": exact_search.OP1_SQL}

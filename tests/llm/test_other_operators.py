@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tallywright.llm import exact_search, langid, page_text, tree_search, urls
-from tallywright.llm.queries import LLM_QUERIES
+from tallywright.llm.queries import LLM_QUERIES, LLM_SQL
 
 PAGES = "page_id long, url string, html string, key int, path int, host int, blocks int, rule int, verdict int"
 
@@ -177,6 +177,13 @@ def test_searches_of_a_table(spark, folder):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("name", sorted(LLM_SQL))
+def test_queries_equal_their_sql(spark, folder, name):
+    import compare
+
+    assert compare.differences(LLM_QUERIES[name](spark, folder), compare.connect(folder), LLM_SQL[name]) == ""
+
+
 def test_blocks_of_rows_and_queries(spark):
     """Several blocks on both sides give what one block gives."""
     rows = spark.range(300).selectExpr("id AS key", "array(0, 1, int(2 + id % 3)) AS terms", "array(id % 7, -(id % 5), 3L) AS weights")
