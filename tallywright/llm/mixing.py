@@ -176,7 +176,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     taken = stored(mix(docs, key, text, source, **options).groupBy(F.col(key).alias("__key")).agg(
         F.sum("copies").alias("__copies"), F.count("*").alias("__n")).where("__copies > 0"), "mix-taken")
     same = docs[key].eqNullSafe(F.col("__key"))
-    single = docs.join(taken.where("__n = 1"), same)
+    # the keys grow with the documents, so they are shuffled and merged at any size
+    single = docs.join(taken.where("__n = 1").hint("merge"), same)
     several = docs.join(taken.where("__n > 1"), same).dropDuplicates(["__key"])
     return single.unionByName(several) \
         .select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__i")) \
