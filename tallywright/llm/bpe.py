@@ -41,7 +41,7 @@ SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
 
 #: Slices in one generation of a worker's cache; it keeps two.
-CACHE_SLICES = 250_000
+CACHE_SLICES = 150_000
 #: Slices of more bytes are merged with a heap and are not remembered.
 LONG_SLICE = 96
 
