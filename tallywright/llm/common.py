@@ -13,7 +13,7 @@ from tallywright.session import stored
 #: A word of the documents: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "column_or_null", "let", "pieces", "small_side", "stored", "table", "words_in"]
+__all__ = ["WORD", "let", "pieces", "small_side", "stored", "table", "words_in"]
 
 
 def small_side(frame: DataFrame, rows: int = 2_000_000) -> DataFrame:
@@ -29,11 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def column_or_null(frame: DataFrame, name: str, kind: str = "string"):
-    """The column, or a null of its type where the table has none."""
-    return F.col(name) if name in frame.columns else F.lit(None).cast(kind)
-
-
 def let(value, then) -> F.Column:
     """``then(value)`` with the value computed once.
 
