@@ -1,15 +1,16 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by runs of lines, found from every window of lines.
 
-A text is a list of lines. A rolling hash covers each line and the one before it;
-a chunk ends at a line whose rolling hash is smaller than its two neighbours'. So
-boundaries depend on a few lines around them and not on what stands before: a
-passage that is shifted in another document is cut in the same places. Chunks
-have two lines at least, if the text has.
+A text is a list of lines. Each place of it begins a window of two lines. A run of
+two or more lines stands elsewhere exactly if each of its windows does, so the lines
+of all repeated windows are those of all maximal repeated runs, whatever stands
+around them and wherever in a text they begin.
 
-Chunks that occur more than once in the corpus are compared byte by byte, and all
-but the first occurrence are removed. First is the smallest key, then the place.
+Windows that occur more than once in the corpus are compared byte by byte. Of each,
+all but the first occurrence are removed with their lines. First is the smallest key,
+then the place; an occurrence that overlaps the first one of its own text stays. Each
+line that goes has an equal one before it that stays.
 
-Only DataFrame functions are used. What is shuffled is hashes of all chunks, the
+Only DataFrame functions are used. What is shuffled is hashes of all windows, the
 texts of the repeated ones, and the documents once, to be put together again.
 """
 
@@ -20,100 +21,81 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import let, small_side, stored, table
 
-#: Lines that a chunk has at least to be removed.
+#: Lines that a run has at least to be removed.
 MIN_LINES = 2
 
 
-def _ends(rolling: F.Column) -> F.Column:
-    """Lines before each boundary: ``rolling[j]`` covers the lines j and j + 1 (from
-    0); a chunk ends with line j + 1 where it is a strict minimum and at least two
-    lines follow."""
-    m = F.size(rolling) - 3
-    falls = F.zip_with(F.slice(rolling, 1, m), F.slice(rolling, 2, m), lambda a, b: b < a)
-    rises = F.zip_with(F.slice(rolling, 2, m), F.slice(rolling, 3, m), lambda a, b: a < b)
-    low = F.zip_with(falls, rises, lambda x, y: x & y)
-    found = F.filter(F.transform(low, lambda x, k: F.when(x, k + 3).otherwise(0)), lambda x: x > 0)
-    return F.when(m > 0, found).otherwise(F.array().cast("array<int>"))
+def lines_of(text: F.Column) -> F.Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def chunks_of(text: F.Column) -> F.Column:
-    """Array of structs ``n`` (lines) and ``text``; joined by line breaks they give
-    the text."""
+def windows_of(text: F.Column, size: int, of_lines) -> F.Column:
+    """Array of ``of_lines(lines)`` of each ``size`` neighbouring lines, by place."""
 
-    def of_lines(lines):
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        n = F.size(lines)
+    def of(lines):
+        places = F.sequence(F.lit(1), F.size(lines) - (size - 1))
+        return F.when(F.size(lines) >= size, F.transform(places, lambda i: of_lines(F.slice(lines, i, size))))
 
-        def of_hashes(h):
-            rolling = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-            at = let(rolling, lambda r: F.concat(F.array(F.lit(0)), _ends(r), F.array(n)))
-            return let(at, of_bounds)
-
-        def of_bounds(at):
-            k = F.size(at) - 1
-            return F.zip_with(F.slice(at, 1, k), F.slice(at, 2, k), lambda a, b: F.struct(
-                (b - a).alias("n"), F.array_join(F.slice(lines, a + 1, b - a), "\n").alias("text")))
-
-        return let(hashes, of_hashes)
-
-    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), of_lines)
-
-
-def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__rid``, a hash of the text that tells rows of one key apart,
-    and ``__chunks``."""
-    return docs.select("*", F.xxhash64(text).alias("__rid"), chunks_of(F.col(text)).alias("__chunks"))
+    return let(lines_of(text), of)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``key, rid, place, n, chunk``: occurrences of chunks to be removed."""
-    pieces = with_chunks(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))) \
-        .select("key", F.col("__rid").alias("rid"), F.posexplode("__chunks").alias("place", "c")) \
-        .where(F.col("c.n") >= min_lines) \
-        .select("key", "rid", "place", "c.n", F.col("c.text").alias("chunk"),
-                F.xxhash64("c.text").alias("hash"))
-    twice = pieces.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    """``key, rid, place``: windows of ``min_lines`` lines to be removed. ``rid`` is a
+    hash of the text that tells rows of one key apart."""
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    twice = docs.select(F.explode(windows_of(F.col("text"), min_lines, F.xxhash64)).alias("hash")) \
+        .groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
     twice = small_side(stored(twice, "lines-twice"))  # a long for each; texts need not move for few of them
-    found = stored(pieces.join(twice, "hash", "left_semi"), "lines-found")
-    # grouping by the text itself compares the bytes
-    owners = found.groupBy("hash", "chunk").agg(F.min("key").alias("owner"), F.count("*").alias("times")) \
+    windows = windows_of(F.col("text"), min_lines, lambda w: F.struct(
+        F.xxhash64(w).alias("hash"), F.array_join(w, "\n").alias("window")))
+    found = docs.select("key", F.xxhash64("text").alias("rid"), F.posexplode(windows).alias("place", "w")) \
+        .select("key", "rid", "place", "w.hash", "w.window").join(twice, "hash", "left_semi")
+    found = stored(found, "lines-found")
+    # grouping by the text itself compares the bytes; in a struct a null key is the smallest
+    owners = found.groupBy("hash", "window").agg(F.min(F.struct("key")).alias("owner"), F.count("*").alias("times")) \
         .where("times > 1").drop("times")
     owners = stored(owners, "lines-owners")
-    placed = found.join(owners, ["hash", "chunk"])
-    others = placed.where(~F.col("key").eqNullSafe(F.col("owner")))
-    # in the owner itself all but the first place go
-    own = placed.where(F.col("key").eqNullSafe(F.col("owner"))) \
-        .groupBy("key", "rid", "hash", "chunk", "n").agg(F.sort_array(F.collect_set("place")).alias("places")) \
-        .where(F.size("places") > 1) \
-        .select("key", "rid", F.explode(F.expr("slice(places, 2, size(places) - 1)")).alias("place"), "n", "chunk")
-    return others.select("key", "rid", "place", "n", "chunk").unionByName(own)
+    placed = found.join(owners, ["hash", "window"]).withColumn("own", F.col("key").eqNullSafe(F.col("owner.key")))
+    others = placed.where("not own").select("key", "rid", "place")
+    # in the owner itself those go that do not overlap the first
+    own = placed.where("own").groupBy("key", "rid", "hash", "window") \
+        .agg(F.sort_array(F.collect_set("place")).alias("places")).where(F.size("places") > 1) \
+        .select("key", "rid", F.explode(F.filter("places", lambda p: p >= F.col("places")[0] + min_lines)).alias("place"))
+    return others.unionByName(own)
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and ``removed_lines``, the
-    number of lines that went (a column of that name is replaced).
+    """``docs`` with repeated runs of lines taken out of ``text``, and ``removed_lines``,
+    the number of lines that went (a column of that name is replaced).
 
-    The first occurrence of a chunk, by key and place, stays. Rows of one key count
+    The first occurrence of a run, by key and place, stays. Rows of one key count
     as one document: repeated rows keep what one of them keeps. A null text stays
-    null, an empty one empty; a text of one line has no chunk of several lines and
-    never changes. A text that is nothing but repeated chunks becomes empty. Null
-    keys come first. An empty table gives an empty one; other columns stay as they are.
+    null, an empty one empty; a text of one line has no run of several lines and
+    never changes; blank lines are lines. A text that is nothing but repeated runs
+    becomes empty. Null keys come first. An empty table gives an empty one; other
+    columns stay as they are.
     """
-    gone = repeated(docs, key, text, min_lines).groupBy("key", "rid") \
-        .agg(F.collect_set("place").alias("__gone"), F.sum("n").alias("__lines"))
-    gone = gone.select(F.col("key").alias("__key"), F.col("rid").alias("__rid"), "__gone", "__lines")
+    gone = repeated(docs, key, text, min_lines) \
+        .select("key", "rid", F.explode(F.sequence("place", F.col("place") + (min_lines - 1))).alias("line")) \
+        .groupBy("key", "rid").agg(F.collect_set("line").alias("__gone"))
+    gone = gone.select(F.col("key").alias("__key"), F.col("rid").alias("__rid"), "__gone")
     columns = [c for c in docs.columns if c != "removed_lines"]
-    rows = with_chunks(docs.select(columns), text).withColumn("__null", F.col(text).isNull()).drop(text)
-    joined = rows.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (rows["__rid"] == gone["__rid"]), "left")
-    kept = F.filter("__chunks", lambda c, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
-    texts = F.when(~F.col("__null"), F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).alias(text)
+    rows = docs.select(*columns, F.xxhash64(text).alias("__text_rid"))
+    joined = rows.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_rid") == F.col("__rid")), "left")
+
+    def rest(lines):
+        # by a set: in linear time however many go
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    texts = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(let(lines_of(F.col(text)), rest)).alias(text)
     return joined.select(
         *[texts if c == text else F.col(c) for c in columns],
-        F.coalesce("__lines", F.lit(0)).cast("long").alias("removed_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_lines"),
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the chunks of lines that occur elsewhere before it."""
+    """Every document without the runs of lines that occur elsewhere before it."""
     docs = dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "text", "removed_lines", F.length("text").cast("long").alias("n_chars"))
