@@ -7,13 +7,14 @@ window are its context. Over the whole corpus, a term t and a kind of entity k h
 
 with p(t, k) the share of word positions that are t and in a context of k. PMI
 never exceeds IC, and equals it where t occurs only near k, so that t reveals k
-completely. Their ratio is the disclosure. A term above the first threshold is
-generalised in the contexts of k, above the second it is removed.
+completely. Their ratio is the disclosure. A term above the first threshold for some
+kind is generalised wherever it stands in the corpus, above the second it is removed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,6 +47,8 @@ GENERALISE, REMOVE = 0.6, 0.8
 SUPPORT = 5
 #: Distinct terms a task counts before it passes its sums on.
 FLUSH = 100_000
+#: Disclosing terms up to which every task holds them; more are joined by a shuffle.
+HELD = 200_000
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -112,6 +115,22 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     return [out[k] for k in sorted(out)]
 
 
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Every term of a text that overlaps no span, with its place."""
+    begins, ends = [], []  # of the spans' union
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        i = bisect_left(begins, b) - 1  # the last span that begins before the term's end
+        if i < 0 or ends[i] <= a:
+            yield m[0].lower(), a, b
+
+
 def hash_of(text: str) -> int:
     import xxhash
 
@@ -197,6 +216,36 @@ def disclosure(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
         .select("term", "kind", F.when(share < 1, pmi / -F.log2(share)).otherwise(0.0).alias("disclosure"))
 
 
+def occurrences(docs: DataFrame, key: str, text: str, kinds: dict[str, int] | None) -> DataFrame:
+    """A second pass over the texts: ``key, rid, found`` with the terms that overlap no
+    base span, all of them or those of ``kinds`` with their kind."""
+    out = T.StructType([
+        T.StructField("key", docs.schema[key].dataType), T.StructField("rid", T.LongType()),
+        T.StructField("found", T.ArrayType(T.StructType([
+            T.StructField("term", T.StringType()), T.StructField("kind", T.IntegerType()),
+            T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+    ])
+    kind = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 64):
+            found = []
+            for t in batch.column(2).to_pylist():
+                t = t or ""
+                if kinds is not None and not any(m.lower() in kinds for m in TERM.findall(t)):
+                    found.append([])
+                    continue
+                found.append([
+                    {"term": w, "kind": kinds and kinds[w], "start": a, "end": b}
+                    for w, a, b in free_terms(t, base_spans(t)) if kinds is None or w in kinds])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, kind)], names=["key", "rid", "found"])
+
+    return docs.select(
+        F.col(key).alias("key"), F.xxhash64(text).alias("rid"), F.col(text).alias("text"),
+    ).mapInArrow(run, out)
+
+
 def find(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
     generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT,
@@ -204,21 +253,27 @@ def find(
     """``key, rid, spans``: all spans of each row, as structs of kind (an index of
     KINDS), start and end, by kind and start. ``rid`` tells rows of one key apart.
 
-    Base spans are all kept. The method's spans are terms in a base span's context
-    and never overlap a base span. Null and empty texts have no spans. Rows that
+    Base spans are all kept. The method's spans are all occurrences of the disclosing
+    terms, in every text, and never overlap a base span. Null and empty texts have no spans. Rows that
     repeat key and text have equal spans each. A corpus without spans gives no
     terms; an empty table gives an empty one. Other columns are not read.
     """
     scanned = stored(scan(docs, key, text), "pii-scan")
-    revealing = stored(disclosure(scanned, support).where(F.col("disclosure") >= generalise), "pii-terms")
-    rows = scanned.where("spans is not null")
-    added = rows.where("size(near) > 0").select("key", "rid", F.explode("near").alias("x")) \
-        .select("key", "rid", "x.*").join(revealing, ["term", "kind"]) \
-        .groupBy("key", "rid", "start", "end").agg(F.max("disclosure").alias("disclosure")) \
-        .select("key", "rid", F.struct(
-            F.when(F.col("disclosure") >= remove, F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("kind"),
-            "start", "end",
-        ).alias("s")).groupBy("key", "rid").agg(F.array_sort(F.collect_set("s")).alias("added"))
+    revealing = stored(
+        disclosure(scanned, support).where(F.col("disclosure") >= generalise)
+        .groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+        .select("term", F.when(F.col("disclosure") >= remove, REMOVED).otherwise(GENERALISED).alias("kind")),
+        "pii-terms")
+    rows, terms = scanned.where("spans is not null"), revealing.count()
+    if not terms:
+        return rows.select(F.col("key").alias(key), "rid", "spans")
+    if terms <= HELD:
+        added = occurrences(docs, key, text, {r.term: r.kind for r in revealing.collect()}) \
+            .select("key", "rid", F.explode("found").alias("x")).select("key", "rid", "x.kind", "x.start", "x.end")
+    else:
+        added = occurrences(docs, key, text, None).select("key", "rid", F.explode("found").alias("x")) \
+            .select("key", "rid", "x.term", "x.start", "x.end").join(revealing, "term")
+    added = added.groupBy("key", "rid").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     added = added.select(F.col("key").alias("key2"), F.col("rid").alias("rid2"), "added")
     return rows.join(added, F.col("key").eqNullSafe(F.col("key2")) & (F.col("rid") == F.col("rid2")), "left") \
         .select(
