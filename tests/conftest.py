@@ -52,13 +52,3 @@ def make_catalog(spark):
         )
 
     return make
-
-
-def rows(frame):
-    return [tuple(r) for r in frame.collect()]
-
-
-def plan(frame, mode="formatted"):
-    return frame._jdf.queryExecution().explainString(
-        frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode)
-    )

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tallywright.functions import append_ids
 from tallywright.operators import catalog as C

@@ -4,7 +4,7 @@ import os
 
 import compare
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 
 import __spark_entry__ as entry
 from tallywright.plans.oracle import oracle_queries

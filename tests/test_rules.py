@@ -4,7 +4,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from tallywright.functions import exact_sum, money_text, percent_of, percent_text, round_half_even

@@ -2,7 +2,7 @@ import csv
 import datetime as dt
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tallywright.operators import upsert as U

@@ -2,7 +2,7 @@ import csv
 import os
 
 import pytest
-from conftest import rows
+from helpers import rows
 from test_uploads import SAMPLE, write_orders
 
 from tallywright.plans.imports import ImportResult
