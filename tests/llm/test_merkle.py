@@ -1,0 +1,135 @@
+"""The manifest against plain trees, and against SQL."""
+
+import binascii
+from hashlib import sha256
+
+import compare
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallywright.llm import merkle as M
+from tallywright.llm.queries import LLM_QUERIES, LLM_SQL
+
+
+def digest(text):
+    return sha256(text.encode()).hexdigest()
+
+
+def levels_over(leaves):
+    out = [leaves]
+    while len(out[-1]) > 1:
+        row = out[-1]
+        out.append([digest("".join(row[i:i + 3])) for i in range(0, len(row), 3)])
+    return out
+
+
+def way(levels, i):
+    out = []
+    for row in levels[:-1]:
+        first = i - i % 3
+        out.append((i % 3, "".join(row[j] for j in range(first, min(first + 3, len(row))) if j != i)))
+        i //= 3
+    return out
+
+
+def leaf(*fields):
+    return digest("".join("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def plain(rows):
+    """op12's rows of ``(doc_id, source, lang, n_chars, text)``."""
+    sources = {}
+    for r in rows:
+        sources.setdefault(r[1], []).append(r)
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees, out = {}, []
+    for s in order:
+        mine = sorted(sources[s], key=lambda r: (r[0] is not None, r[0] or 0, leaf(*r)))
+        trees[s] = mine, levels_over([leaf(*r) for r in mine])
+    top = levels_over([trees[s][1][-1][0] for s in order])
+    root = top[-1][0] if order else None
+    for k, s in enumerate(order):
+        mine, levels = trees[s]
+        for i, r in enumerate(mine):
+            path = way(levels, i) + way(top, k)
+            shown = levels[0][i]
+            if r[0] is not None and binascii.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None:
+                shown = leaf(*r[:4], r[4].replace("\n", ""))
+            for slot, others in path:
+                shown = digest(others[:64 * slot] + shown + others[64 * slot:])
+            out.append((r[0], levels[0][i], levels[-1][0], root, digest("".join(o for _, o in path)), shown, shown == root))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("levels", range(1, 8))
+def test_places_are_the_recursive_layout(levels):
+    """Each node has a place of its own, subtrees are contiguous, upper half first."""
+
+    def laid(levels, depth, index):  # nodes in the order in which they are stored
+        if levels == 1:
+            return [(depth, index)]
+        upper = levels // 2
+        out = laid(upper, depth, index)
+        for i in range(index * 3 ** upper, (index + 1) * 3 ** upper):
+            out += laid(levels - upper, depth + upper, i)
+        return out
+
+    want = {node: at for at, node in enumerate(laid(levels, 0, 0))}
+    for depth in range(levels):
+        found = M.places(levels, depth, np.arange(3 ** depth))
+        assert found.tolist() == [want[depth, i] for i in range(3 ** depth)]
+    assert len(want) == M.nodes_in(levels)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 26, 27])
+def test_a_block_is_the_plain_tree(n):
+    leaves = [digest(str(i)) for i in range(n)]
+    block, levels = M.Block.over(leaves, M.height_of(n)), levels_over(leaves)
+    assert block.root == levels[-1][0]
+    assert block.siblings(np.arange(n)) == [way(levels, i) for i in range(n)]
+
+
+@pytest.mark.parametrize("sizes, height", [([9, 10, 1, 28], 1), ([100, 81, 82, 3, 1, 1, 1, 1, 1, 1, 250], 2), ([2, 1], 6)])
+def test_stages_equal_plain_trees(spark, sizes, height):
+    """Groups of less than a block and of several stages."""
+    leaves = {f"s{g:02}": [digest(f"{g} {i}") for i in range(n)] for g, n in enumerate(sizes)}
+    frame = spark.createDataFrame([(g, i, bytearray.fromhex(x)) for g, row in leaves.items() for i, x in enumerate(row)],
+                                  "group string, key long, leaf binary").orderBy(F.rand(1))
+    manifest = M.build(frame, height)
+    trees = {g: levels_over(row) for g, row in leaves.items()}
+    top = levels_over([trees[g][-1][0] for g in sorted(trees)])
+    assert manifest.root == top[-1][0]
+    rows = M.prove(manifest).collect()
+    assert len(rows) == sum(sizes)
+    for r in rows:
+        path = [(x.slot, bytes(x.others).hex()) for x in r.way]
+        assert path == way(trees[r.group], r.pos) + way(top, sorted(trees).index(r.group))
+        assert r.key == r.pos and bytes(r.subroot).hex() == trees[r.group][-1][0]
+    few = M.prove(manifest, manifest.members.where("key = 0"))
+    assert few.count() == len(sizes)
+
+
+def documents_in(spark, path, rows):
+    schema = "doc_id long, source string, lang string, n_chars long, text string, `group` int, leaf int, pos int, n int"
+    spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], schema).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_op12_of_awkward_rows(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], "en", 5, f"a\nb{i}") for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "", 0, ""), (None, "a", "en", 1, "x\n"), (None, None, "en", 1, "y\n")]
+    rows += [(7, "b", "en", 5, "a\nb7")] * 3 + [(8, "é\U0001f600", "de", 9, "ü\n" * 50_000), (-4, "a", "en", 2, "\n\n")]
+    got = M.op12_merkle(spark, documents_in(spark, tmp_path, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows)
+    assert {r.verified for r in got} == {True, False}
+
+
+def test_op12_of_nothing_and_of_one(spark, tmp_path):
+    assert M.op12_merkle(spark, documents_in(spark, tmp_path / "none", [])).count() == 0
+    one = M.op12_merkle(spark, documents_in(spark, tmp_path / "one", [(1, "s", "en", 1, "t")])).collect()
+    assert [tuple(r) for r in one] == plain([(1, "s", "en", 1, "t")])
+
+
+def test_op12_equals_its_sql(spark, folder):
+    assert compare.differences(LLM_QUERIES["op12_merkle"](spark, folder), compare.connect(folder), LLM_SQL["op12_merkle"]) == ""
