@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tallywright.session import stored
 #: A word of the documents: a run of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "let", "pieces", "small_side", "stored", "table", "words_in"]
+__all__ = ["WORD", "by_size", "let", "pieces", "small_side", "stored", "table", "words_in"]
 
 
 def small_side(frame: DataFrame, rows: int = 2_000_000) -> DataFrame:
@@ -53,3 +55,23 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def by_size(
+    batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20, rows: int = 512,
+) -> Iterator[pa.RecordBatch]:
+    """Arrow batches whose texts have at most so many bytes together, without copying.
+
+    A longer text is a batch of its own, so what a worker holds of Python objects depends
+    on its longest text and not on how many rows Spark sends at once.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, before + most, side="right"))
+            to = min(max(to, at + 1), at + rows)
+            yield batch.slice(at, to - at)
+            at = to

@@ -7,13 +7,16 @@ from tallywright.llm import (
     bpe,
     exact_search,
     langid,
+    licenses,
     line_dedup,
+    merkle,
     mixing,
     page_text,
     pii,
     simhash,
     tree_search,
     urls,
+    vector_codes,
 )
 
 LLM_QUERIES = {
@@ -27,6 +30,14 @@ LLM_QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
     "op10_simhash": simhash.op10_simhash,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_license_scan": licenses.op13_license_scan,
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL: dict[str, str] = {"op1_exact_topk": exact_search.OP1_SQL}
+LLM_SQL: dict[str, str] = {
+    "op1_exact_topk": exact_search.OP1_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_merkle": merkle.OP12_SQL,
+    "op13_license_scan": licenses.OP13_SQL,
+}
