@@ -14,9 +14,10 @@ from tallywright.functions.scalars import (
     round_half_even,
     time_text,
 )
+from tallywright.functions.skew import heavy_keys, spread_join
 
 __all__ = [
-    "append_ids", "day_of", "exact_sum", "finite", "is_paid", "local_text", "money_text", "month_start",
+    "append_ids", "day_of", "exact_sum", "finite", "heavy_keys", "is_paid", "local_text", "money_text", "month_start",
     "month_text", "percent_of", "percent_text", "ratio", "round_half_even",
-    "time_text",
+    "spread_join", "time_text",
 ]

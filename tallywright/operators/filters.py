@@ -97,11 +97,14 @@ class SalesFilter:
 def filter_period(
     orders: DataFrame, start: Day, end: Day, *, optional: bool = False
 ) -> DataFrame:
-    """Keep the orders created on the days ``start`` to ``end``."""
-    wanted = in_period(F.col("creation_date"), start, end, optional=optional)
+    """Keep the orders created on the days ``start`` to ``end`` (or their sums by day)."""
+    first, last = as_day(start), as_day(end)
+    if dict(orders.dtypes)["creation_date"] == "date" and first and last:
+        wanted = F.col("creation_date").between(F.lit(first), F.lit(last))
+    else:
+        wanted = in_period(F.col("creation_date"), start, end, optional=optional)
     if wanted is None:
         return orders
-    first, last = as_day(start), as_day(end)
     if MONTH_SLOT in orders.columns and first and last:
         # Months outside the period are not even listed for reading.
         months = F.col(MONTH_SLOT).between(first.isoformat()[:7], last.isoformat()[:7])
@@ -111,9 +114,17 @@ def filter_period(
 
 def filter_paid(orders: DataFrame) -> DataFrame:
     """Paid means a positive income, whatever the status says."""
+    if is_summed(orders):
+        paid = orders.filter(F.col("paid_orders") > 0)
+        return paid.withColumns({"income": F.col("paid_income"), "total_orders": F.col("paid_orders")})
     return orders.filter(is_paid(F.col("income")))
 
 
+def is_summed(orders: DataFrame) -> bool:
+    """Whether the rows are sums of orders by day (``operators.days``) and not orders."""
+    return "total_orders" in orders.columns
+
+
 def filter_products(
     orders: DataFrame,
     include: Sequence[str] | DataFrame = (),

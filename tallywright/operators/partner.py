@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import exact_sum
-from tallywright.operators.filters import filter_period
+from tallywright.operators.filters import filter_period, is_summed
 from tallywright.schemas import SHARED_SOURCE
 
 
@@ -27,13 +27,13 @@ def partner_report(
     third of all orders (often the empty one) reaches the join as one row, and
     since a contact id is unique the joined rows are already the final groups.
     """
+    counted, summed = F.count(F.lit(1)), exact_sum(F.col("income"))
+    if is_summed(orders):
+        counted, summed = F.sum("total_orders"), F.sum("income")
     by_source = (
         filter_period(orders, start, end)
         .groupBy("utm_source")
-        .agg(
-            F.count(F.lit(1)).alias("order_count"),
-            exact_sum(F.col("income")).alias("total_income"),
-        )
+        .agg(counted.alias("order_count"), summed.alias("total_income"))
     )
     names = contacts.select(F.col("id").alias("utm_source"), "full_name")
     report = by_source.join(names, "utm_source", "left").select(

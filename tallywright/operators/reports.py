@@ -7,6 +7,9 @@ once, after map-side aggregation, whatever share of it one product holds; the
 one-to-many step to categories multiplies groups instead of orders.
 
 Amounts come out as decimals, see ``tallywright.functions.exact_sum``.
+
+All reports take orders, or their sums by day and product (``operators.days``), with the
+same result: sums and counts are exact, and a period is whole days.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions import day_of, exact_sum, is_paid, month_start, month_text
+from tallywright.functions import day_of, exact_sum, is_paid, month_start, month_text, spread_join
 from tallywright.operators.catalog import Catalog
-from tallywright.operators.filters import MONTH_SLOT, NO_MONTH, SalesFilter
+from tallywright.operators.filters import MONTH_SLOT, NO_MONTH, SalesFilter, is_summed
 
 
 MEASURES = ("total_orders", "paid_orders", "income", "paid_income", "latest")
@@ -41,6 +44,15 @@ def _measure(name: str) -> Column:
     return measure.alias(name)
 
 
+def measured(rows: DataFrame, wanted: Sequence[str]) -> list[Column]:
+    """The measures over orders, or over sums of them."""
+    return [_again(m) for m in wanted] if is_summed(rows) else [_measure(m) for m in wanted]
+
+
+def _again(name: str) -> Column:
+    return (F.max(name) if name == "latest" else F.sum(name)).alias(name)
+
+
 def totals(
     orders: DataFrame,
     flt: SalesFilter,
@@ -57,12 +69,10 @@ def totals(
     columns = [expr.alias(name) for name, expr in keys.items()]
     rows = flt.rows(orders)
     if not (flt.by_category or category_name):
-        return rows.groupBy(*columns).agg(*[_measure(m) for m in wanted])
+        return rows.groupBy(*columns).agg(*measured(rows, wanted))
     if catalog is None:
         raise ValueError("a category choice needs the catalog")
-    pieces = rows.groupBy(*columns, F.col("content").alias("__content")).agg(
-        *[_measure(m) for m in wanted]
-    )
+    pieces = rows.groupBy(*columns, F.col("content").alias("__content")).agg(*measured(rows, wanted))
     return link(pieces, flt, catalog, list(keys), wanted, category_name=category_name)
 
 
@@ -91,20 +101,19 @@ def link(
             "category_id",
         )
         keys.append("category")
-    again = {m: F.max(m) if m == "latest" else F.sum(m) for m in wanted}
-    return spread.groupBy(*keys).agg(*[again[m].alias(m) for m in wanted])
+    return spread.groupBy(*keys).agg(*[_again(m) for m in wanted])
 
 
-def linked_orders(orders: DataFrame, flt: SalesFilter, catalog: Catalog) -> DataFrame:
+def linked_orders(orders: DataFrame, flt: SalesFilter, catalog: Catalog, heavy: Sequence[str] = ()) -> DataFrame:
     """Single orders with the category links that pass: one row per order and link.
 
-    Reports do not need this (see above); it lists the orders behind a figure.
+    Reports do not need this (see above); it lists the orders behind a figure. Products and
+    links meet first, so the orders are joined once. ``heavy`` names product texts with
+    many orders (``functions.heavy_keys`` finds them), which are then dealt over many tasks.
     """
-    return (
-        flt.rows(orders)
-        .join(catalog.products.select(F.col("name").alias("content"), F.col("id").alias("product_id")), "content")
+    linked = catalog.products.select(F.col("name").alias("content"), F.col("id").alias("product_id")) \
         .join(flt.links(catalog.links).select("product_id", "category_id"), "product_id")
-    )
+    return spread_join(flt.rows(orders), linked, "content", heavy, F.col("id"))
 
 
 def _sorted(report: DataFrame, ordered: bool, *by) -> DataFrame:
@@ -247,9 +256,10 @@ def monthly_pieces(orders: DataFrame, flt: SalesFilter) -> DataFrame:
     A caller who wants all three can checkpoint this one small frame and read
     the orders once.
     """
-    return flt.rows(orders).groupBy(
+    rows = flt.rows(orders)
+    return rows.groupBy(
         month_start(F.col("creation_date")).alias("month"), F.col("content").alias("__content")
-    ).agg(*[_measure(m) for m in _MONTHLY])
+    ).agg(*measured(rows, _MONTHLY))
 
 
 def monthly_sales(orders, catalog=None, start=None, end=None, *, ordered=True, **choices) -> DataFrame:
@@ -309,6 +319,8 @@ def _monthly(rows: DataFrame, *extra: str, ordered: bool) -> DataFrame:
 
 
 def order_count(orders: DataFrame) -> DataFrame:
+    if is_summed(orders):
+        return orders.agg(F.coalesce(F.sum("total_orders"), F.lit(0)).alias("order_count"))
     return orders.agg(F.count(F.lit(1)).alias("order_count"))
 
 
@@ -318,7 +330,8 @@ def freshness(orders: DataFrame, contacts: DataFrame) -> DataFrame:
     Of stored orders only the newest month is read.
     """
     nothing = F.lit(None).cast("timestamp_ntz")
-    both = newest_month(orders).agg(F.max("creation_date").alias("latest_order")).select(
+    time = "latest" if is_summed(orders) else "creation_date"
+    both = newest_month(orders).agg(F.max(time).alias("latest_order")).select(
         "latest_order", nothing.alias("latest_contact")
     ).unionByName(
         contacts.agg(F.max("creation_date").alias("latest_contact")).select(

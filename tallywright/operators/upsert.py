@@ -7,7 +7,7 @@ whole batch is refused.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.sources.uploads import ROW_ORDER
@@ -48,19 +48,31 @@ def mark_stored(last: DataFrame, stored: DataFrame, key: str = "id") -> DataFram
     return last.join(flags, key, "left").withColumn(_FOUND, F.coalesce(_FOUND, F.lit(False)))
 
 
+def _rows_where(wanted) -> Column:
+    return F.coalesce(F.sum(F.when(wanted, F.col(COPIES))), F.lit(0))
+
+
+def _refused() -> Column:
+    return ~F.col(_FOUND) & (F.col(COPIES) > 1)
+
+
 def upsert_counts(marked: DataFrame) -> DataFrame:
     """Rows created and updated, in one row."""
-    return marked.agg(
-        F.coalesce(F.sum(F.when(~F.col(_FOUND), F.col(COPIES))), F.lit(0)).alias("created"),
-        F.coalesce(F.sum(F.when(F.col(_FOUND), F.col(COPIES))), F.lit(0)).alias("updated"),
-    )
+    return marked.agg(*tally()[:2])
+
+
+def tally() -> list[Column]:
+    """Aggregates over a marked batch: rows created and updated, new keys that it has more
+    than once, and the rows of those."""
+    return [
+        _rows_where(~F.col(_FOUND)).alias("created"), _rows_where(F.col(_FOUND)).alias("updated"),
+        F.count(F.when(_refused(), 1)).alias("conflicts"), _rows_where(_refused()).alias("refused"),
+    ]
 
 
 def upsert_conflicts(marked: DataFrame, key: str = "id") -> DataFrame:
     """New keys that the batch has more than once."""
-    return marked.filter(~F.col(_FOUND) & (F.col(COPIES) > 1)).select(
-        key, F.col(COPIES).alias("copies")
-    )
+    return marked.filter(_refused()).select(key, F.col(COPIES).alias("copies"))
 
 
 def merged(current: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:

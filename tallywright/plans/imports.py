@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallywright.operators import upsert as U
+from tallywright.plans.derived import MONTH, OrderKeys
 from tallywright.schemas import UploadSpec
 from tallywright.session import scratch, stored
 from tallywright.sources.tables import TableStore
@@ -28,40 +29,43 @@ def import_upload(store: TableStore, spec: UploadSpec, upload: DataFrame) -> Imp
     """
     if ROW_ORDER not in upload.columns:
         upload = upload.withColumn(ROW_ORDER, F.monotonically_increasing_id())
-    with scratch(store.spark):
-        return _import(store, spec, upload)
-
+    return merge_rows(store, spec, clean_upload(upload, spec))
 
-def _import(store: TableStore, spec: UploadSpec, upload: DataFrame) -> ImportResult:
-    with refusing_malformed():
-        batch = stored(U.last_rows(clean_upload(upload, spec), spec.key), f"upload-{spec.table}")
 
-    slot = store.tables[spec.table].slot
-    candidates = store.read(spec.table, _possible_slots(store, spec, batch))
-    found = U.stored_keys(candidates, batch, spec.key, slot)
-    marked = stored(U.mark_stored(batch, found, spec.key), f"marked-{spec.table}")
+def merge_rows(store: TableStore, spec: UploadSpec, rows: DataFrame) -> ImportResult:
+    """Merge typed rows with their position into the table; as ``import_upload``.
 
-    conflicts = U.upsert_conflicts(marked, spec.key).take(5)
-    if conflicts:
-        keys = ", ".join(str(r[spec.key]) for r in conflicts)
-        raise UploadRejected(f"new keys occur more than once in the {spec.table} upload: {keys}")
-    counts = U.upsert_counts(marked).first()
-    result = ImportResult(counts.created, counts.updated)
-    if result.created + result.updated == 0:
+    Stored orders are found through the index of their ids, contacts in the slots that
+    follow from theirs. What the batch counts and touches is counted by the job that writes
+    the marked batch, in its last stage, where each row is counted once.
+    """
+    with scratch(store.spark):
+        with refusing_malformed():
+            batch = stored(U.last_rows(rows, spec.key), f"upload-{spec.table}")
+        slot, now = store.tables[spec.table].slot, "__now"
+        if spec.table == "orders":
+            found = OrderKeys(store).find(batch).withColumnRenamed(MONTH, now)
+        else:
+            then = store.with_slot(spec.table, batch).select(slot).distinct()
+            candidates = store.read(spec.table, {r[0] for r in then.collect()})
+            found = U.stored_keys(candidates, batch, spec.key, slot).withColumnRenamed(slot, now)
+        told = Observation(f"import-{spec.table}")
+        marked = store.with_slot(spec.table, U.mark_stored(batch, found, spec.key)).observe(
+            told, *U.tally(), F.collect_set(now).alias("now"), F.collect_set(slot).alias("then"))
+        marked = stored(marked, f"marked-{spec.table}")
+        counts = told.get
+        if counts["conflicts"]:
+            keys = ", ".join(str(r[spec.key]) for r in U.upsert_conflicts(marked, spec.key).take(5))
+            raise UploadRejected(
+                f"new keys occur more than once in the {spec.table} upload ({counts['refused']} rows): {keys}")
+        result = ImportResult(counts["created"], counts["updated"])
+        if result.created + result.updated == 0:
+            return result
+
+        # Where updated rows are now and where all rows of the batch belong.
+        touched = {*counts["now"], *counts["then"]}
+        current = store.read(spec.table, touched).drop(slot)
+        version = store.publish(spec.table, U.merged(current, marked.drop(slot, now), spec.key), touched)
+        if spec.table == "orders":
+            OrderKeys(store).extend(marked.withColumnRenamed(now, MONTH), version)
         return result
-
-    # Where updated rows are now and where all rows of the batch belong.
-    now = marked.select(F.col(slot).alias("slot")).filter("slot IS NOT NULL")
-    then = store.with_slot(spec.table, marked.drop(slot)).select(F.col(slot).alias("slot"))
-    touched = {r.slot for r in now.unionByName(then).distinct().collect()}
-    current = store.read(spec.table, touched).drop(slot)
-    store.publish(spec.table, U.merged(current, marked.drop(slot), spec.key), touched)
-    return result
-
-
-def _possible_slots(store: TableStore, spec: UploadSpec, batch: DataFrame) -> set[str] | None:
-    """Slots that can hold keys of the batch, where the slot follows from the key alone."""
-    if spec.table != "contacts":
-        return None
-    slot = store.tables[spec.table].slot
-    return {r[0] for r in store.with_slot(spec.table, batch).select(slot).distinct().collect()}

@@ -33,6 +33,13 @@ _CTES = {
     "rep_orders": _sql(S.REPEATED_ORDERS),
     "cur_contacts": _sql(S.CURRENT_CONTACTS),
     "in_contacts": _sql(S.INCOMING_CONTACTS),
+    "before": _sql(S.SALES_BEFORE),
+    "batch": _sql(S.SALES_BATCH),
+    "after": """SELECT id, content, status, creation_date, utm_source, income FROM before WHERE id NOT IN (SELECT id FROM batch)
+        UNION ALL SELECT id, content, status, creation_date, utm_source, income FROM batch""",
+    "after_linked": """SELECT s.*, l.category_id, c.name AS category
+        FROM after s JOIN products p ON s.content = p.name
+        JOIN links l ON l.product_id = p.id JOIN cats c ON c.id = l.category_id""",
     "order_text": _sql(S.ORDER_UPLOAD_TEXT),
     "contact_text": _sql(S.CONTACT_UPLOAD_TEXT),
     "linked": """SELECT s.*, l.category_id, c.name AS category
@@ -41,6 +48,8 @@ _CTES = {
 }
 _CATALOG = ("products", "cats", "links")
 _LINKED = ("sales", *_CATALOG, "linked")
+_AFTER = ("before", "batch", "after")
+_AFTER_LINKED = (*_AFTER, *_CATALOG, "after_linked")
 
 
 def _with(names, body: str) -> str:
@@ -349,6 +358,12 @@ def oracle_queries() -> dict[str, str]:
         # --- joins
         "join_category_bridge": _with(_LINKED, f"""SELECT id, content, {_num('income', 'income')}, category_id
             FROM linked WHERE {_YEAR} AND category_id IN ({_ids(Q.SOME_CATEGORIES)})"""),
+        "join_category_bridge_spread": _with(_LINKED,
+            f"SELECT id, content, {_num('income', 'income')}, category_id FROM linked WHERE {_EVER}"),
+        "filter_typed": _with(["sales"], f"""SELECT * FROM ({summary_ever}) s WHERE position('widget' IN lower(product)) > 0
+            AND paid_orders > 10 AND total_income >= 1000 AND total_orders >= 12"""),
+        "filter_typed_dates": _with(["intraday"], """SELECT id, content, utm_source FROM intraday
+            WHERE creation_date >= TIMESTAMP '2024-01-13 00:00:00' AND content <> 'view' AND income IS NULL"""),
         "products_with_categories": _with(_CATALOG, """SELECT p.id, p.name,
             CAST(to_json(list_sort(coalesce(list(c.name) FILTER (WHERE c.name IS NOT NULL), []))) AS VARCHAR) AS categories
             FROM products p LEFT JOIN links l ON l.product_id = p.id LEFT JOIN cats c ON c.id = l.category_id
@@ -408,6 +423,38 @@ def oracle_queries() -> dict[str, str]:
         "category_share": _with(_LINKED, f"""SELECT category_name, {_num('total_revenue', 'total_revenue')},
             CAST(total_revenue AS DOUBLE) / CAST(sum(total_revenue) OVER () AS DOUBLE) AS share
             FROM ({revenue} AND {_YEAR} GROUP BY category) r"""),
+        # --- what imports keep
+        "upsert_by_index": _with(["before", "batch"], f"""SELECT id, content, status, {_time('creation_date', 'creation_date')},
+            utm_source, {_num('income', 'income')} FROM before WHERE id NOT IN (SELECT id FROM batch)
+            UNION ALL SELECT id, content, status, {_time('creation_date', 'creation_date')}, utm_source,
+            {_num('income', 'income')} FROM batch"""),
+        "orders_by_index": _with(_AFTER, f"""SELECT id, content, {_time('creation_date', 'creation_date')}
+            FROM after WHERE split_part(id, '-', 2) = '2'"""),
+        "orders_by_source_kept": _with(_AFTER, f"""SELECT id, {_time('creation_date', 'creation_date')}, content,
+            {_num('income', 'income')} FROM after WHERE utm_source = '{Q.SOURCE}'"""),
+        "sync_after_import": _with(_AFTER, """SELECT id, name FROM (
+                SELECT row_number() OVER (ORDER BY substr(md5(name), 1, 2), name) AS id, name
+                FROM (SELECT DISTINCT content AS name FROM before WHERE content IS NOT NULL) n) a
+            UNION ALL SELECT (SELECT count(DISTINCT content) FROM before)
+                + row_number() OVER (ORDER BY substr(md5(name), 1, 2), name), name
+            FROM (SELECT DISTINCT content AS name FROM batch
+                  WHERE content NOT IN (SELECT content FROM before WHERE content IS NOT NULL)) m"""),
+        "sales_by_day_kept": _with(_AFTER, f"""SELECT CAST(CAST(creation_date AS DATE) AS VARCHAR) AS date,
+            {_num('sum(income)', 'total_sales')} FROM after WHERE {_EVER} GROUP BY 1"""),
+        "monthly_by_product_kept": _with(_AFTER, _as_double(_monthly("after", _EVER, "content AS product"))),
+        "monthly_by_category_kept": _with(_AFTER_LINKED, _as_double(_monthly("after_linked", chosen, "category"))),
+        "category_revenue_kept": _with(_AFTER_LINKED, _as_double(
+            f"{revenue.replace('linked', 'after_linked')} AND {_YEAR} AND category_id NOT IN ({_ids(Q.BAD_CATEGORIES)}) GROUP BY category",
+            "total_revenue")),
+        "product_summary_kept": _with(_AFTER, f"""SELECT {_SUMMARY}, {_CHECK} AS average_check FROM after
+            WHERE {_YEAR} GROUP BY content"""),
+        "product_daily_kept": _with(_AFTER, f"""SELECT CAST(CAST(creation_date AS DATE) AS VARCHAR) AS date,
+            {_num('sum(income)', 'daily_sales')}, {_COUNTS} FROM after WHERE {_PICKED_EVER} GROUP BY 1"""),
+        "max_creation_date_kept": _with(_AFTER_LINKED,
+            f"SELECT {_time('max(creation_date)', 'max_creation_date')} FROM after_linked WHERE {_ONE} AND {_YEAR}"),
+        "partner_report_kept": _with([*_AFTER, "contacts"],
+            _as_double(_partners(_PARTNER_YEAR).replace("FROM sales s", "FROM after s"), "total_income")),
+        "order_count_kept": _with(_AFTER, "SELECT count(*) AS order_count FROM after"),
         # --- totals and summary lines
         "product_summary_totals": _with(["sales"], f"""
             SELECT content AS product, {_COUNTS}, {_num(_r2('sum(income)'), 'total_income')},
@@ -461,9 +508,8 @@ def oracle_queries() -> dict[str, str]:
         "fund_texts": _with(_LINKED, f"""SELECT {_money('total_income')}, visible, title,
             {_money('fund_income')}, {_money('fund_after_tax')}, {_money('employee_income')}
             FROM ({_fund(True)}) f"""),
-        "fund_of_nothing": f"""SELECT CAST(0 AS DOUBLE) AS total_income, false AS visible, '{Q.FUND_TITLE}' AS title,
-            CAST(NULL AS DOUBLE) AS fund_income, CAST(NULL AS DOUBLE) AS fund_after_tax,
-            CAST(NULL AS DOUBLE) AS employee_income""",
+        "fund_of_nothing": _with(_LINKED, f"""SELECT 'none' AS orders, CAST(0 AS DOUBLE) AS total_income, false AS visible
+            UNION ALL SELECT 'some', {_num(_r2('sum(income)'), 'total_income')}, false FROM linked WHERE {_ONE} AND {_YEAR}"""),
         "monthly_kpi_texts": _with(["sales"], f"""SELECT {_money('total_sales')}, paid_orders,
             {_money('average_check')}, {_money('average_monthly_income')} FROM ({_kpis(month_ever)}) k"""),
         "filter_products_listed": _with(_LINKED[:4], f"""SELECT id, content, {_num('income', 'income')} FROM sales

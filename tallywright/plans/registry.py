@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.functions import time_text
+from tallywright.functions import heavy_keys, time_text
 from tallywright.operators import catalog as C
 from tallywright.operators import filters as L
 from tallywright.operators import partner as P
@@ -17,7 +17,10 @@ from tallywright.operators import reports as R
 from tallywright.operators import totals as X
 from tallywright.operators import upsert as U
 from tallywright.operators.filters import SalesFilter
+from tallywright.operators.typed_filters import filtered
+from tallywright.plans import kept as K
 from tallywright.plans import star as S
+from tallywright.plans.imports import merge_rows
 from tallywright.schemas import CONTACT_UPLOAD, ORDER_UPLOAD, UploadSpec
 from tallywright.session import shared_folder, stored
 from tallywright.sources import exports as E
@@ -356,6 +359,28 @@ def join_category_bridge(star):
     )
 
 
+@_star_query
+def join_category_bridge_spread(star):
+    """All orders with their links, products with many orders dealt over many tasks."""
+    flt = SalesFilter(**EVER)
+    heavy = heavy_keys(star.orders, "content", 0.005)
+    return R.linked_orders(star.orders, flt, star.catalog, heavy).select("id", "content", "income", "category_id")
+
+
+@_star_query
+def filter_typed(star):
+    """What is typed above the columns of the product summary, sorted by two of them."""
+    summary = R.product_summary(star.orders, star.catalog, (), **EVER)
+    cells = {"product": "icontains WIDGET", "paid_orders": "> 10", "total_income": ">= 1 000", "average_check": "", "total_orders": "ge 12"}
+    return filtered(summary, cells, ["-paid_orders", "product"])
+
+
+@query
+def filter_typed_dates(spark, sf_dir):
+    cells = {"creation_date": "> 2024-01-12", "content": "!= view", "income": "is nil"}
+    return filtered(_events(spark, sf_dir), cells).select("id", "content", "utm_source")
+
+
 @_star_query
 def products_with_categories(star):
     return _lists_as_json(C.products_with_categories(star.catalog))
@@ -528,6 +553,83 @@ def category_share(star):
     )
 
 
+# --- what imports keep: the index of ids, sums by day, products in step ---------
+
+
+@_star_query
+def upsert_by_index(star):
+    """The orders after two imports; the second finds its orders by their buckets."""
+    space = K.empty_space(star)
+    for sql in (S.SALES_BEFORE, S.SALES_BATCH):
+        merge_rows(space.store, ORDER_UPLOAD, K.sales(star, sql))
+    rows = space.orders.select("id", "content", "status", "creation_date", "utm_source", "income")
+    return _dates_as_text(rows, ["creation_date"])
+
+
+@_star_query
+def orders_by_index(star):
+    """Every order of one line, found by the index and read from the months that have them."""
+    numbers = S.raw(star.spark, star.sf_dir, "lineitem").filter("l_linenumber = 2")
+    asked = numbers.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id")).distinct()
+    return _dates_as_text(K.kept(star).orders_by_ids(asked).select("id", "content", "creation_date"), ["creation_date"])
+
+
+@_star_query
+def orders_by_source_kept(star):
+    return _dates_as_text(K.kept(star).orders_by_source(SOURCE).select("id", "creation_date", "content", "income"), ["creation_date"])
+
+
+@_star_query
+def sync_after_import(star):
+    return K.kept(star).catalog.products
+
+
+@_star_query
+def sales_by_day_kept(star):
+    return R.sales_by_day(K.kept(star).product_days, star.catalog, **EVER)
+
+
+@_star_query
+def monthly_by_product_kept(star):
+    return R.monthly_by_product(K.kept(star).product_days, star.catalog, **EVER)
+
+
+@_star_query
+def monthly_by_category_kept(star):
+    return R.monthly_by_category(K.kept(star).product_days, star.catalog, **PERIOD, **_CHOICES)
+
+
+@_star_query
+def category_revenue_kept(star):
+    return R.category_revenue(K.kept(star).product_days, star.catalog, START, END, BAD_CATEGORIES)
+
+
+@_star_query
+def product_summary_kept(star):
+    return R.product_summary(K.kept(star).product_days, star.catalog, (), START, END)
+
+
+@_star_query
+def product_daily_kept(star):
+    return R.product_daily(K.kept(star).product_days, star.catalog, PICKED, **EVER)
+
+
+@_star_query
+def max_creation_date_kept(star):
+    latest = R.max_creation_date(K.kept(star).product_days, star.catalog, (), START, END, ONE_CATEGORY)
+    return _dates_as_text(latest, ["max_creation_date"])
+
+
+@_star_query
+def partner_report_kept(star):
+    return P.partner_report(K.kept(star).source_days, star.contacts, START, END)
+
+
+@_star_query
+def order_count_kept(star):
+    return K.kept(star).order_count()
+
+
 # --- total rows and summary lines -------------------------------------------
 
 
@@ -653,10 +755,12 @@ def fund_texts(star):
 
 @_star_query
 def fund_of_nothing(star):
-    """The block of an empty report: income 0 and hidden."""
-    nothing = SalesFilter("1900-01-01", "1900-01-31", categories=ONE_CATEGORY)
-    pieces = R.product_pieces(star.orders, nothing, star.catalog)
-    return V.fund_of_pieces(pieces, "Spring", FUND_MARKER, FUND_TITLE, headcount=3)
+    """The block of a report without orders (income 0) beside that of one with some."""
+    pieces = R.product_pieces(star.orders, SalesFilter(**PERIOD, categories=ONE_CATEGORY), star.catalog)
+    none = pieces.filter("total_orders < 0")
+    both = [(k, V.fund_of_pieces(p, "Spring", FUND_MARKER, FUND_TITLE, headcount=3)) for k, p in (("none", none), ("some", pieces))]
+    rows = [block.select(F.lit(k).alias("orders"), "total_income", "visible") for k, block in both]
+    return rows[0].unionByName(rows[1])
 
 
 @_star_query

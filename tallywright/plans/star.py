@@ -86,6 +86,28 @@ SELECT CAST(o_orderkey AS {STR}) AS id, 'Y' AS status, o_totalprice AS total_amo
 FROM {orders} WHERE o_orderkey % 14 = 0
 """
 
+# Sales before and in a later upload, by the order's number: a part of them stays, others are
+# updated (doubled or without income, some 40 days later and some under a new product
+# text), and others are new. Lines that share an id are one.
+_LINES = """
+SELECT id, number, content, status, creation_date, utm_source, CAST(sum(income) AS DECIMAL(18,4)) AS income
+FROM (""" + SALES + """) t GROUP BY id, number, content, status, creation_date, utm_source
+"""
+
+SALES_BEFORE = "SELECT * FROM (" + _LINES + """) s WHERE CAST(substr(number, 3) AS BIGINT) % 3 <> 0
+"""
+
+SALES_BATCH = """
+SELECT id, number,
+       CASE WHEN k % 7 = 0 THEN 'new ' || content ELSE content END AS content,
+       'X' AS status,
+       CASE WHEN k % 4 = 0 THEN creation_date + INTERVAL '40' DAY ELSE creation_date END AS creation_date,
+       utm_source,
+       CASE WHEN k % 5 = 0 THEN NULL ELSE CAST(income * 2 AS DECIMAL(18,4)) END AS income
+FROM (SELECT *, CAST(substr(number, 3) AS BIGINT) AS k FROM (""" + _LINES + """) s) b
+WHERE k % 2 = 0 OR k % 3 = 0
+"""
+
 CURRENT_CONTACTS = """
 SELECT CAST(c_custkey AS {STR}) AS id, c_name AS full_name, c_mktsegment AS groups,
        c_acctbal AS total_paid

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tallywright.functions import append_ids
 from tallywright.operators import catalog as C
 from tallywright.operators import reports as R
-from tallywright.operators.filters import NO_MONTH
+from tallywright.operators.filters import MONTH_SLOT, NO_MONTH, orders_by_source
 from tallywright.operators.present import freshness_text
 from tallywright.plans import tabs
+from tallywright.plans.derived import MONTH, OrderKeys, refresh
 from tallywright.plans.imports import ImportResult, import_upload
 from tallywright.schemas import UPLOADS
 from tallywright.session import scratch, stored
@@ -32,10 +33,38 @@ class Workspace:
     def orders(self) -> DataFrame:
         return self.store.read("orders")
 
+    @property
+    def product_days(self) -> DataFrame:
+        """The orders summed by day and product, up to date: what income reports start from."""
+        return refresh(self.store, "product_days")
+
+    @property
+    def source_days(self) -> DataFrame:
+        """The orders summed by day and UTM source, up to date."""
+        return refresh(self.store, "source_days")
+
     @property
     def contacts(self) -> DataFrame:
         return self._table("contacts")
 
+    def order(self, key: str) -> DataFrame:
+        """One order by its id: a bucket of the index is read, and one month."""
+        return C.by_id(self._orders_near(self.spark.createDataFrame([(key,)], "id string")), key)
+
+    def orders_by_ids(self, asked: DataFrame) -> DataFrame:
+        """The orders whose ids a frame lists, from the months that the index names."""
+        return self._orders_near(asked).join(asked.select("id").distinct(), "id", "left_semi")
+
+    def _orders_near(self, asked: DataFrame) -> DataFrame:
+        months = OrderKeys(self.store).find(asked).select(MONTH).distinct()
+        return self.store.read("orders", {r[MONTH] for r in months.collect()})
+
+    def orders_by_source(self, utm_source: str) -> DataFrame:
+        """The orders of one source, from the months that have some."""
+        of_source = self.source_days.filter(F.col("utm_source") == utm_source)
+        months = {r[0] for r in of_source.select(MONTH_SLOT).distinct().collect()}
+        return orders_by_source(self.store.read("orders", months), utm_source)
+
     @property
     def catalog(self) -> C.Catalog:
         return C.Catalog(
@@ -45,7 +74,7 @@ class Workspace:
         )
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self._table(name) for name in self.store.tables}
+        return {name: self._table(name) for name in self.store.own}
 
     def _table(self, name: str) -> DataFrame:
         return self.store.read(name).drop(self.store.tables[name].slot)
@@ -73,13 +102,24 @@ class Workspace:
     # --- catalog ---------------------------------------------------------
 
     def sync_products(self) -> int:
-        """Add products that occur in orders only; returns how many."""
+        """Add products that occur in orders only; returns how many.
+
+        Only the months written since the last sync are read: names of all others are
+        products already.
+        """
+        version, _ = self.store.state("orders")
+        covers = self.store.covers("products")
+        if version == (covers or 0):
+            return 0
         with scratch(self.spark):
             products = self._table("products")
-            names = stored(C.new_product_names(self.orders, products), "new-names")
+            fresh = self.store.read("orders", self.store.changed("orders", covers))
+            names = stored(C.new_product_names(fresh, products), "new-names")
             added = names.count()
             if added:
-                self.store.publish("products", products.unionByName(append_ids(names, products)))
+                self.store.publish("products", products.unionByName(append_ids(names, products)), covers=version)
+            else:
+                self.store.cover("products", version)
             return added
 
     def create_categories(self, names: Sequence[str] | DataFrame) -> DataFrame:
@@ -144,25 +184,32 @@ class Workspace:
     # --- reports ---------------------------------------------------------
 
     def freshness(self) -> DataFrame:
-        """Of the orders only the newest month is opened; the store knows which it is."""
-        months = [m for m in self.store.state("orders")[1] if m != NO_MONTH]
-        orders = self.store.read("orders", {max(months, default=NO_MONTH)})
-        return freshness_text(R.freshness(orders, self.contacts))
+        """Of the sums by day only the newest month is opened; the store knows which it is."""
+        refresh(self.store, "product_days")
+        months = [m for m in self.store.state("product_days")[1] if m != NO_MONTH]
+        newest = self.store.read("product_days", {max(months, default=NO_MONTH)})
+        return freshness_text(R.freshness(newest, self.contacts))
+
+    def order_count(self) -> DataFrame:
+        return R.order_count(self.product_days)
+
+    def unique_products(self, categories=None) -> DataFrame:
+        return C.unique_products(self.product_days, self.catalog, categories)
 
     def general_tab(self, start, end, category=None):
-        return tabs.general_tab(self.orders, self.catalog, start, end, category)
+        return tabs.general_tab(self.product_days, self.catalog, start, end, category)
 
     def product_tab(self, start, end, products=(), category=None, **options):
-        return tabs.product_tab(self.orders, self.catalog, start, end, products, category, **options)
+        return tabs.product_tab(self.product_days, self.catalog, start, end, products, category, **options)
 
     def period_tab(self, start, end, category=None):
-        return tabs.period_tab(self.orders, self.catalog, start, end, category)
+        return tabs.period_tab(self.product_days, self.catalog, start, end, category)
 
     def category_tab(self, start=None, end=None, exclude=None, include=None):
-        return tabs.category_tab(self.orders, self.catalog, start, end, exclude, include)
+        return tabs.category_tab(self.product_days, self.catalog, start, end, exclude, include)
 
     def partner_tab(self, start, end, exclude_common=True, show_income=False):
-        return tabs.partner_tab(self.orders, self.contacts, start, end, exclude_common, show_income)
+        return tabs.partner_tab(self.source_days, self.contacts, start, end, exclude_common, show_income)
 
     def monthly_tab(self, start, end, **choices):
-        return tabs.monthly_tab(self.orders, self.catalog, start, end, **choices)
+        return tabs.monthly_tab(self.product_days, self.catalog, start, end, **choices)

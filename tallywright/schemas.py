@@ -161,6 +161,22 @@ LINKS_SCHEMA = T.StructType(
     [T.StructField("product_id", T.LongType()), T.StructField("category_id", T.LongType())]
 )
 
+# Tables that follow from the orders: where each id is stored since which version, and sums
+# by day. ``creation_date`` is a day there; sums are exact.
+_AMOUNT = T.DecimalType(38, 6)
+KEYS_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("stored_month", T.StringType()), T.StructField("at", T.LongType()),
+])
+PRODUCT_DAYS_SCHEMA = T.StructType([
+    T.StructField("creation_date", T.DateType()), T.StructField("content", T.StringType()),
+    T.StructField("total_orders", T.LongType()), T.StructField("paid_orders", T.LongType()),
+    T.StructField("income", _AMOUNT), T.StructField("paid_income", _AMOUNT), T.StructField("latest", T.TimestampNTZType()),
+])
+SOURCE_DAYS_SCHEMA = T.StructType([
+    T.StructField("creation_date", T.DateType()), T.StructField("utm_source", T.StringType()),
+    T.StructField("total_orders", T.LongType()), T.StructField("income", _AMOUNT),
+])
+
 
 @dataclass(frozen=True)
 class UploadSpec:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -29,12 +30,16 @@ def build_session(app: str = "tallywright", master: str | None = None, **conf) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors can reach, from ``spark.checkpoint.dir``.
 
-    Without the setting it is a folder in the warehouse, which executors share too.
+    Without the setting it is a folder in the warehouse, which executors share too, unless
+    that is a local folder and executors are other machines: then there is none, and this raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tallywright"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match(r"file:|/", warehouse):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_tallywright"
 
 
 def subfolders(spark: SparkSession, path: str, marker: str | None = None) -> list[str]:

@@ -40,7 +40,7 @@ def read_upload(
     """Read one upload, all CSV cells as text; ``options`` go to the reader (``sep=";"``).
 
     Every CSV file's own header names its columns; files may have them in
-    different orders, but not different ones. A row with more or fewer cells than
+    different orders, but not different ones. One job reads the headers of all files. A row with more or fewer cells than
     its header makes any job that reads it fail (see ``refusing_malformed``), which
     a line break in a cell does too unless ``multiline`` is set: that allows line
     breaks inside quoted cells, at the price that a file can no longer be split
@@ -60,9 +60,7 @@ def _read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool, o
     def reader():
         return spark.read.options(header=True, inferSchema=False, escape='"', multiLine=multiline, **options)
 
-    files: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(map(unquote, reader().csv(path).inputFiles())):  # given as encoded URLs
-        files.setdefault(tuple(reader().csv(file).columns), []).append(file)
+    files = _headers(reader, spark, path, options)
     if not files:
         return _positioned(reader().csv(path))
     first, *others = files
@@ -80,6 +78,37 @@ def _read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool, o
     return rows
 
 
+#: Options of the reader that also say which files there are, and those under which the
+#: first line of a file as text need not be its header.
+_LISTING = ("pathGlobFilter", "recursiveFileLookup", "modifiedBefore", "modifiedAfter")
+_UNLIKE_TEXT = frozenset(["encoding", "charset", "lineSep", "comment"])
+
+
+def _headers(reader, spark: SparkSession, path, options: Mapping) -> dict[tuple[str, ...], list[str]]:
+    """Files by the columns that their headers name.
+
+    One job finds the first line of every file, however many there are. Files with the
+    same line have the same header, so the reader opens one of them to split it.
+    """
+    lines = spark.read.options(**{k: v for k, v in options.items() if k in _LISTING}).text(path)
+    files = sorted(map(unquote, lines.inputFiles()))  # given as encoded URLs
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    firsts = (
+        lines.select(F.input_file_name().alias("file"), "value", place.alias("place")).filter(F.trim("value") != "")
+        .groupBy("file").agg(F.min_by("value", "place").alias("line"))
+        .groupBy("line").agg(F.collect_list("file").alias("files"))
+    )
+    alike = [] if _UNLIKE_TEXT & options.keys() else [sorted(map(unquote, r.files)) for r in firsts.collect()]
+    known = {file for group in alike for file in group}
+    if not known <= set(files):  # under names that cannot be matched
+        alike, known = [], set()
+    alike += [[file] for file in files if file not in known]
+    found: dict[tuple[str, ...], list[str]] = {}
+    for group in sorted(alike):
+        found.setdefault(tuple(reader().csv(group[0]).columns), []).extend(group)
+    return {header: sorted(group) for header, group in found.items()}
+
+
 def _positioned(rows: DataFrame) -> DataFrame:
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),

@@ -219,3 +219,24 @@ def test_one_digit_days_and_months(spark):
     frame = spark.createDataFrame([("1.2.2023",), ("3/14/2023",), ("2023-02-01 10:00:00",), ("1.2.23",)], "d string")
     assert [r.d for r in I.parse_dates(frame, ["d"]).collect()] == [
         dt.datetime(2023, 2, 1), dt.datetime(2023, 3, 14), dt.datetime(2023, 2, 1, 10), None]
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    """120 files in three orders of their columns, under odd names: as many jobs as orders and one."""
+    folder = tmp_path / "many %41 ü"
+    folder.mkdir()
+    names = ["id", "content", "income"]
+    for i in range(120):
+        turned = names[i % 3:] + names[:i % 3]
+        cells = {"id": str(i), "content": f"c {i}", "income": str(i)}
+        lead = "\n" if i % 40 == 7 else ""
+        (folder / f"part {i}%20+.csv").write_text(f"{lead}{','.join(turned)}\n{','.join(cells[c] for c in turned)}\n", encoding="utf-8")
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "headers")
+    upload = I.read_upload(spark, str(folder))
+    assert len(sc.statusTracker().getJobIdsForGroup("headers")) <= 12  # stages and listings of the three orders
+    sc.setJobGroup("other", "other")
+    assert sorted(rows(upload.select("id", "content", "income"))) == sorted((str(i), f"c {i}", str(i)) for i in range(120))
+    (folder / "odd.csv").write_text("id,content,price\n1,2,3\n", encoding="utf-8")
+    with pytest.raises(I.UploadRejected, match="income.*price"):
+        I.read_upload(spark, str(folder))
