@@ -1,7 +1,6 @@
 """The operators' results by plain loops."""
 
 import re
-from struct import pack
 
 import numpy as np
 import xxhash
@@ -32,37 +31,31 @@ def near_components(prints, bits=3):
     return root
 
 
-def _of_longs(*values):
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64_intdigest(pack("<Q", v), seed)
-    return seed
-
-
-def _signed(v):
-    return v - (1 << 64) if v >= 1 << 63 else v
-
-
-def chunks(text):
-    lines = text.split("\n")
-    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
-    rolling = [None] + [_signed(_of_longs(hashes[i - 1], hashes[i])) for i in range(1, len(lines))]
-    out, begin = [], 0
-    for i in range(2, len(lines) - 2):
-        if rolling[i] < rolling[i - 1] and rolling[i] < rolling[i + 1]:
-            out.append(lines[begin:i + 1])
-            begin = i + 1
-    return ["\n".join(c) for c in [*out, lines[begin:]]]
-
-
-def deduped(docs):
-    """``{key: text}`` without later occurrences of chunks of several lines."""
-    first, out = {}, {}
-    for key in sorted(docs):
-        for place, c in enumerate(chunks(docs[key])):
-            first.setdefault(c, (key, place))
-    for key, text in docs.items():
-        out[key] = "\n".join(c for p, c in enumerate(chunks(text)) if "\n" not in c or first[c] == (key, p))
+def without_chunks(docs):
+    """``{(key, place in docs): (text, removed lines)}`` of ``[(key, text)]``: pairs of lines
+    that are not blank, their first occurrences, and of those the ones that lose no line."""
+    rid = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted({(k is not None, k or 0, rid(t or ""), t) for k, t in docs})
+    solid = {d: [i for i, x in enumerate((d[3] or "").split("\n")) if x.strip(" \t\r\v\f")] for d in order}
+    lines = {d: (d[3] or "").split("\n") for d in order}
+    pair = lambda d, p: (lines[d][solid[d][p]], lines[d][solid[d][p + 1]])
+    first, others = {}, []
+    for d in order:
+        for p in range(len(solid[d]) - 1):
+            e, q = first.setdefault(pair(d, p), (d, p))
+            if e != d or p >= q + 2:
+                others.append((d, p))
+    lost = {(d, i) for d, p in others for i in (p, p + 1)}
+    whole = {w for w, (d, p) in first.items() if not {(d, p), (d, p + 1)} & lost}
+    gone = {d: set() for d in order}
+    for d, p in others:
+        if pair(d, p) in whole:
+            gone[d].update(range(solid[d][p], solid[d][p + 1] + 1))
+    out = {}
+    for n, (k, t) in enumerate(docs):
+        d = (k is not None, k or 0, rid(t or ""), t)
+        kept = "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d])
+        out[k, n] = (t if t is None else kept, len(gone[d]))
     return out
 
 

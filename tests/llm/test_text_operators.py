@@ -8,7 +8,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, langid, line_dedup, mixing, pii, simhash
+from tallywright.llm import bpe, langid, mixing, pii, simhash
 
 
 @pytest.fixture(scope="module")
@@ -211,25 +211,6 @@ def test_op2(spark, folder, documents):
         assert got.spans.startswith(joined)
 
 
-# -- line dedup -------------------------------------------------------------------
-
-
-def test_line_dedup_of_awkward_rows(awkward, nothing):
-    out = line_dedup.dedupe(awkward)
-    assert out.columns == [*awkward.columns, "removed_lines"]
-    rows = {r.doc_id: r for r in out.collect()}
-    texts = {r.doc_id: r.text for r in awkward.where("text is not null and doc_id is not null").collect()}
-    assert {k: rows[k].text for k in texts} == brute.deduped(texts)
-    assert rows[2].text is None and rows[3].text == "" and out.count() == awkward.count()
-    assert rows[7].removed_lines > 0 and rows[6].removed_lines == 0
-    assert line_dedup.dedupe(nothing).count() == 0
-
-
-def test_op6(spark, folder, documents):
-    got = {r.doc_id: r.text for r in line_dedup.op6_line_dedup(spark, folder).collect()}
-    assert got == brute.deduped({r.doc_id: r.text for r in documents.collect()})
-
-
 # -- mixing -----------------------------------------------------------------------
 
 
