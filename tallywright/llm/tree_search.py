@@ -77,19 +77,29 @@ class Tree:
             node = new
         return node
 
-    def order(self, query: np.ndarray, most: int) -> list[int]:
+    def order(self, query: np.ndarray) -> Iterator[int]:
         """Leaves best bin first."""
-        queue, out = [(0.0, 0, 0)], []
-        while queue and len(out) < most:
+        queue = [(0.0, 0, 0)]
+        while queue:
             _, level, node = heapq.heappop(queue)
             if level == len(self.centres):
-                out.append(node)
+                yield node
                 continue
             first = node * self.branches
             away = ((self.centres[level][first:first + self.branches] - query) ** 2).sum(axis=1)
             for i, d in enumerate(away.tolist()):
                 if d < np.inf:
                     heapq.heappush(queue, (d, level + 1, first + i))
+
+    def visits(self, query: np.ndarray, least: int, rows: int, held: dict[int, int]) -> list[int]:
+        """The first ``least`` leaves best bin first, and further ones while those visited
+        hold fewer than so many rows and one is left."""
+        out, seen = [], 0
+        for leaf in self.order(query):
+            if len(out) >= least and seen >= rows:
+                break
+            out.append(leaf)
+            seen += held.get(leaf, 0)
         return out
 
 
@@ -195,7 +205,7 @@ def search(
     if not tried:
         return best(spark.createDataFrame([], out), k)
     keys, points = np.array([r[0] for r in tried]), np.array([r[1] for r in tried], np.float64)
-    orders = [tree.order(_as_query(p, longest), tree.leaves) for p in points]
+    orders = [list(tree.order(_as_query(p, longest))) for p in points]
 
     def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8192):
@@ -210,6 +220,8 @@ def search(
     visits = int(late[max(0, int(np.ceil(recall * len(late))) - 1)]) + 1 if len(late) else tree.leaves
 
     blocks = {leaf: blocks_for(n, row_block) for leaf, n in in_leaf.items()}
+    # a query's own key is no candidate, however many rows have it
+    own = index.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     query_blocks = blocks_for(asked.count(), query_block)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +229,7 @@ def search(
             points = _matrix(batch.column(1), width)
             taken, leaves, parts = [], [], []
             for i, point in enumerate(points):
-                for leaf in tree.order(_as_query(point, longest), visits):
+                for leaf in tree.visits(_as_query(point, longest), visits, k + own, in_leaf):
                     for part in range(blocks.get(leaf, 0)):
                         taken.append(i), leaves.append(leaf), parts.append(part)
             chosen = batch.take(pa.array(taken, pa.int64()))
