@@ -99,8 +99,8 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Terms around the spans, once for each place and kind; ``window`` names the
     words around, so that copies of a passage count as one context."""
     out: dict[tuple[int, int], dict] = {}
+    covered = _covering(spans)
     for kind, start, end in spans:
-        near = []
         low = max(0, start - REACH)
         left = [m for m in TERM.finditer(text, low, start) if m.start() > low or low == 0]
         high = min(len(text), end + REACH)
@@ -109,26 +109,35 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         window = hash_of(" ".join(m[0] for m in near))
         for m in near:
             a, b = m.span()
-            if any(a < e and s < b for _, s, e in spans):
+            if covered(a, b):
                 continue
             out.setdefault((a, kind), {"term": m[0].lower(), "kind": kind, "start": a, "end": b, "window": window})
     return [out[k] for k in sorted(out)]
 
 
-def free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """Every term of a text that overlaps no span, with its place."""
-    begins, ends = [], []  # of the spans' union
+def _covering(spans: list[tuple[int, int, int]]):
+    """A test whether a stretch overlaps any of the spans, by their union."""
+    begins, ends = [], []
     for _, a, b in sorted(spans, key=lambda s: s[1]):
         if ends and a <= ends[-1]:
             ends[-1] = max(ends[-1], b)
         else:
             begins.append(a)
             ends.append(b)
+
+    def covered(a: int, b: int) -> bool:
+        i = bisect_left(begins, b) - 1  # the last one that begins before the stretch's end
+        return i >= 0 and ends[i] > a
+
+    return covered
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Every term of a text that overlaps no span, with its place."""
+    covered = _covering(spans)
     for m in TERM.finditer(text):
-        a, b = m.span()
-        i = bisect_left(begins, b) - 1  # the last span that begins before the term's end
-        if i < 0 or ends[i] <= a:
-            yield m[0].lower(), a, b
+        if not covered(*m.span()):
+            yield m[0].lower(), *m.span()
 
 
 def hash_of(text: str) -> int:
