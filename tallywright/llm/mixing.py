@@ -29,6 +29,8 @@ MOST = 3.0
 #: Mean number of documents in a block.
 BLOCK = 96
 EPSILON = 1e-9
+#: What tells documents apart: key, hash of the text, and a number within equal rows.
+_IDENTITY = ("key", "rid", "salt")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -62,10 +64,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> D
 
 def _uniform(seed: int, level: int):
     """A number in [0, 1) that depends on the document and the level alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), "key", "size"), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), *_IDENTITY), 11) / F.lit(float(1 << 53))
 
 
-_UNIT = "struct<size:bigint,u:double,key:{key},whole:bigint,p:double>"
+_UNIT = "struct<size:bigint,u:double,key:{key},rid:bigint,salt:bigint,whole:bigint,p:double>"
 
 
 def _round_block(units, key: str):
@@ -73,8 +75,7 @@ def _round_block(units, key: str):
     unit = _UNIT.format(key=key)
 
     def set_p(x, p):
-        return F.struct(x["size"].alias("size"), x["u"].alias("u"), x["key"].alias("key"),
-                        x["whole"].alias("whole"), p.cast("double").alias("p"))
+        return F.struct(*[x[c].alias(c) for c in ("size", "u", *_IDENTITY, "whole")], p.cast("double").alias("p"))
 
     def meet(state, x):
         old = state["old"]
@@ -97,12 +98,16 @@ def _round_block(units, key: str):
 
 
 def rounded(units: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """``key, source, size, copies`` from ``key, source, size, rate``."""
+    """``key, rid, source, size, copies`` from ``key, rid, salt, source, size, rate``.
+
+    A document's block depends on ``key, rid, salt``, so rows that share none of them meet
+    as others do; ``_round_block`` copies its array for each row, and blocks stay small.
+    """
     kind = units.schema["key"].dataType.simpleString()
     whole = F.floor(F.col("rate") + EPSILON)
     rest = F.greatest(F.lit(0.0), F.col("rate") - whole)
     open_rows = units.select(
-        "key", "source", "size", whole.cast("long").alias("whole"),
+        *_IDENTITY, "source", "size", whole.cast("long").alias("whole"),
         F.when(rest > EPSILON, rest).otherwise(0.0).alias("p"),
         # classes of an eighth of an octave
         F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int").alias("class"),
@@ -116,26 +121,26 @@ def rounded(units: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
             groups.select(F.col("source").alias("s"), F.col("class").alias("c"), "n"),
             F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")),
         ).select(
-            "key", "source", "size", "whole", "p", "class", _uniform(seed, level).alias("u"),
+            *_IDENTITY, "source", "size", "whole", "p", "class", _uniform(seed, level).alias("u"),
             F.when(F.lit(last), F.lit(0)).otherwise(F.pmod(
-                F.xxhash64(F.lit(seed + 1), F.lit(level), "key", "size"), F.ceil(F.col("n") / block))).alias("block"),
+                F.xxhash64(F.lit(seed + 1), F.lit(level), *_IDENTITY), F.ceil(F.col("n") / block))).alias("block"),
         )
-        unit = F.struct("size", "u", "key", "whole", "p")
+        unit = F.struct("size", "u", *_IDENTITY, "whole", "p")
         met = dealt.groupBy("source", "class", "block").agg(F.sort_array(F.collect_list(unit)).alias("units")) \
             .select("source", _round_block(F.col("units"), kind).alias("b"))
         met = met.select("source", F.explode(F.concat(
             F.transform("b.done", lambda x: F.struct(x.alias("x"), F.lit(True).alias("settled"))),
             F.array(F.struct(F.col("b.old").alias("x"), F.lit(False).alias("settled"))),
-        )).alias("e")).select("e.x.key", "source", "e.x.size", "e.x.whole", "e.x.p", "e.settled")
+        )).alias("e")).select(*[f"e.x.{c}" for c in _IDENTITY], "source", "e.x.size", "e.x.whole", "e.x.p", "e.settled")
         met = stored(met, f"mix-level-{level}")
-        settled.append(met.where("settled").select("key", "source", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies")))
-        open_rows = met.where("not settled").select("key", "source", "size", "whole", "p", F.lit(0).alias("class"))
+        settled.append(met.where("settled").select("key", "rid", "source", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies")))
+        open_rows = met.where("not settled").select(*_IDENTITY, "source", "size", "whole", "p", F.lit(0).alias("class"))
         level += 1
         if last or most == 0:
             break
     one = F.when(F.col("p") <= EPSILON, 0).when(F.col("p") >= 1 - EPSILON, 1) \
         .when(_uniform(seed + 2, level) < F.col("p"), 1).otherwise(0)
-    out = open_rows.select("key", "source", "size", (F.col("whole") + one).cast("long").alias("copies"))
+    out = open_rows.select("key", "rid", "source", "size", (F.col("whole") + one).cast("long").alias("copies"))
     for rows in settled:
         out = out.unionByName(rows)
     return out
@@ -145,40 +150,46 @@ def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple = WEIGHTS, most: float = MOST, seed: int = 7,
 ) -> DataFrame:
-    """``key, source, size, source_size, target, copies``: for each row how often the
-    mix takes it.
+    """``key, rid, source, size, source_size, target, copies``: for each row how often the
+    mix takes it; ``rid`` is a hash of the text.
 
     Size is the number of words, 0 for null and empty texts. A null source is a
     source of its own, last in order. Sources without words have target 0 and no
     copies. Copies never exceed ``most``, rounded up. Repeated rows are rows of their
-    own. The result depends on keys, sizes, sources and ``seed`` alone, so reruns agree.
+    own, also a third of all rows that share key and text. The result depends on keys, texts,
+    sources and ``seed``, and on how equal rows are spread over the files, so reruns agree.
     An empty table gives an empty one; other columns are not read.
     """
     sizes = stored(docs.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), words_in(F.col(text)).alias("size")), "mix-sizes")
+        F.col(key).alias("key"), F.xxhash64(text).alias("rid"), F.col(source).alias("source"),
+        words_in(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("at")), "mix-sizes")
+    # equal rows get a number each, so that they do not all meet in one block
+    twins = sizes.groupBy(F.struct("key", "rid").alias("same")).agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stored(sizes.join(twins, F.struct("key", "rid") == F.col("same"), "left").select(
+        "key", "rid", "source", "size", F.when(F.col("same").isNull(), F.lit(0)).otherwise(F.col("at")).alias("salt")), "mix-rows")
     aims = stored(targets(sizes, weights, most), "mix-targets")
     aim = aims.select(F.col("source").alias("s"), "source_size", "target")
     same = F.col("source").eqNullSafe(F.col("s"))
     units = sizes.join(aim, same).select(
-        "key", "source", "size",
+        *_IDENTITY, "source", "size",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
     )
     return rounded(units, seed).join(aim, same).select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies")
+        F.col("key").alias(key), "rid", F.col("source").alias(source), "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows that share a key are copies of a document: one of them is repeated, as often
-    as all of them are taken.
+    Rows that share key and text are copies of a document: one of them is repeated, as
+    often as all of them are taken. Rows of one key, null too, with other texts are others.
     """
-    taken = stored(mix(docs, key, text, source, **options).groupBy(F.col(key).alias("__key")).agg(
+    taken = stored(mix(docs, key, text, source, **options).groupBy(F.struct(F.col(key).alias("key"), "rid").alias("__same")).agg(
         F.sum("copies").alias("__copies"), F.count("*").alias("__n")).where("__copies > 0"), "mix-taken")
-    same = docs[key].eqNullSafe(F.col("__key"))
+    same = F.struct(docs[key].alias("key"), F.xxhash64(docs[text]).alias("rid")) == F.col("__same")
     # the keys grow with the documents, so they are shuffled and merged at any size
     single = docs.join(taken.where("__n = 1").hint("merge"), same)
-    several = docs.join(taken.where("__n > 1"), same).dropDuplicates(["__key"])
+    several = docs.join(taken.where("__n > 1"), same).dropDuplicates(["__same"])
     return single.unionByName(several) \
         .select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__i")) \
         .drop("__i")
