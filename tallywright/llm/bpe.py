@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import pieces
+from tallywright.llm.common import by_size
 
 OTHER, LETTER, NUMBER, BLANK, WHITE, GAP = range(6)
 OPEN, SHUT, ONE, TWO = range(4)
@@ -42,6 +42,8 @@ LONG_ENDINGS = ("re", "ve", "ll")
 
 #: Slices in one generation of a worker's cache; it keeps two.
 CACHE_SLICES = 150_000
+#: Bytes of text that a worker encodes at a time, and code points from which a text is cut.
+BATCH_BYTES, STRETCH = 1 << 20, 1 << 20
 #: Slices of more bytes are merged with a heap and are not remembered.
 LONG_SLICE = 96
 
@@ -281,11 +283,47 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
 
 
+_ASCII_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def stretches(text: str, size: int = STRETCH) -> list[str]:
+    """A long text cut where a slice begins whatever stands around: before a space between
+    two letters. Nothing looks past such a place, so stretches are encoded one by one. A text
+    without any stays whole."""
+    out, at = [], 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        while cut > 0 and not (cut + 1 < len(text) and text[cut - 1] in _ASCII_LETTERS and text[cut + 1] in _ASCII_LETTERS):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def _encoded(encoder: Encoder, texts: list[str], size: int):
+    """As the encoder, with long texts a stretch at a time."""
+    if max(map(len, texts), default=0) <= size:
+        return encoder(texts)
+    out = ([], [], [])
+    for text in texts:
+        parts, points, ids = [], 0, 0
+        for stretch in stretches(text, size):
+            found, starts, ends = (x[0] for x in encoder([stretch]))
+            parts.append((found, starts + np.int32(points), ends + np.int32(ids)))
+            points, ids = points + len(stretch), ids + len(found)
+        for column, values in zip(out, zip(*parts)):
+            column.append(np.concatenate(values))
+    return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", rows: int = 256,
+    docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text",
+    batch_bytes: int = BATCH_BYTES, stretch: int = STRETCH,
 ) -> DataFrame:
     """Ids of every text: ``key, ids, starts, ends``.
 
@@ -295,7 +333,8 @@ def encode(
 
     ``ranks_path`` is a rank file the driver can read; the table (one entry per
     id, 50 thousand here) and the class table go to the executors as a broadcast
-    of fixed size. Each worker encodes at most ``rows`` texts at a time.
+    of fixed size. Each worker encodes texts of ``batch_bytes`` at a time, and longer ones by
+    stretches, so the arrays that it holds do not grow with the texts.
 
     Nulls and empty texts give empty arrays. Repeated rows stay repeated rows.
     An empty table gives an empty one. Only the two columns are read, so further
@@ -310,8 +349,8 @@ def encode(
             _ENCODERS.clear()
             _ENCODERS[name] = Encoder(*shared.value)
         encoder = _ENCODERS[name]
-        for batch in pieces(batches, rows):
-            ids, starts, ends = encoder([t or "" for t in batch.column(1).to_pylist()])
+        for batch in by_size(batches, 1, batch_bytes, 256):
+            ids, starts, ends = _encoded(encoder, [t or "" for t in batch.column(1).to_pylist()], stretch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _lists(ids), _lists(starts), _lists(ends)],
                 names=["key", "ids", "starts", "ends"],
