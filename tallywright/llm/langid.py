@@ -120,8 +120,9 @@ def _mixture(likely: np.ndarray, times: np.ndarray, start: np.ndarray, rounds: i
     return share, likely @ share
 
 
-def infer(buckets: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Languages of the chosen set, best first, and their proportions."""
+def infer(buckets: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Languages of the chosen set, best first, and their proportions; mean and standard
+    deviation of the trigrams' log-likelihood under that mixture."""
     found, times = np.unique(buckets, return_counts=True) if len(buckets) < 3000 else (None, None)
     if found is None:
         times = np.bincount(buckets, minlength=BUCKETS)
@@ -134,7 +135,7 @@ def infer(buckets: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n, k = len(buckets), logs.shape[1]
     share, _ = _mixture(likely, times, np.full(k, 1.0 / k), ROUNDS)
     order = np.lexsort((np.arange(k), -share))
-    best, kept, chosen = -np.inf, order[:1], np.ones(1)
+    best, kept, chosen, fitted = -np.inf, order[:1], np.ones(1), likely[:, order[0]]
     for size in range(1, k + 1):
         part = order[:size]
         if size == 1:
@@ -144,9 +145,11 @@ def infer(buckets: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         score = base + float(times @ np.log(np.maximum(under, 1e-300))) - 0.5 * (size - 1) * np.log(n)
         if score <= best:
             break
-        best, kept, chosen = score, part, some
+        best, kept, chosen, fitted = score, part, some, under
     rank = np.lexsort((kept, -chosen))
-    return kept[rank], chosen[rank]
+    each = np.log(np.maximum(fitted, 1e-300)) + top[:, 0]
+    mean = float(times @ each) / n
+    return kept[rank], chosen[rank], mean, float(np.sqrt(max(0.0, float(times @ each ** 2) / n - mean ** 2)))
 
 
 _MODELS: dict[str, tuple[list[str], np.ndarray]] = {}
@@ -156,11 +159,15 @@ def identify(
     docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text",
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """``key, lang_pred, score, langs, shares``: the language with the largest share,
-    that share (0 to 1), and the whole set with its proportions, largest first.
+    """``key, lang_pred, score, langs, shares, grams, fit, spread``: the language with the
+    largest share, that share (0 to 1), and the whole set with its proportions, largest
+    first; the number of trigrams, and the mean and standard deviation of their log-likelihood.
+
+    A share is one among the learned languages, so it says nothing of a text in another one;
+    the log-likelihood does (see ``expected`` and ``plausible``).
 
     Null, empty and letterless texts, and all texts if nothing was learned, are
-    ``und`` with score 0 and no languages. Equal shares go to the language first in
+    ``und`` with score 0, no languages and a null fit. Equal shares go to the language first in
     order. Whole texts are read, whatever their length. Repeated rows stay repeated;
     an empty table gives an empty one. Columns in ``carry`` come along in a struct
     ``row``, so that their names cannot clash; others are not read.
@@ -174,26 +181,31 @@ def identify(
             _MODELS[name] = shared.value
         langs, logs = _MODELS[name]
         for batch in pieces(batches):
-            best, score, sets, shares = [], [], [], []
+            best, score, sets, shares, grams, fits, spreads = [], [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 buckets = trigrams(t)
+                grams.append(len(buckets))
                 if not len(buckets) or not langs:
                     best.append(UNDECIDED), score.append(0.0), sets.append([]), shares.append([])
+                    fits.append(None), spreads.append(None)
                     continue
-                which, part = infer(buckets, logs)
+                which, part, fit, spread = infer(buckets, logs)
+                fits.append(fit), spreads.append(spread)
                 best.append(langs[which[0]]), score.append(min(1.0, float(part[0])))
                 sets.append([langs[i] for i in which]), shares.append(part.tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()),
                  pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())),
+                 pa.array(grams, pa.int64()), pa.array(fits, pa.float64()), pa.array(spreads, pa.float64()),
                  *batch.columns[2:]],
-                names=["key", "lang_pred", "score", "langs", "shares", "row"][:3 + batch.num_columns],
+                names=["key", "lang_pred", "score", "langs", "shares", "grams", "fit", "spread", "row"][:6 + batch.num_columns],
             )
 
     out = T.StructType([
         T.StructField("key", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()), T.StructField("langs", T.ArrayType(T.StringType())),
-        T.StructField("shares", T.ArrayType(T.DoubleType())),
+        T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("grams", T.LongType()),
+        T.StructField("fit", T.DoubleType()), T.StructField("spread", T.DoubleType()),
     ])
     columns = [F.col(key).alias("key"), F.col(text).alias("text")]
     if carry:
@@ -202,6 +214,27 @@ def identify(
     return rows.mapInArrow(run, T.StructType([*out.fields, *rows.schema.fields[2:]])).withColumnRenamed("key", key)
 
 
+def expected(found: DataFrame) -> tuple[float, float] | None:
+    """Mean and standard deviation of a trigram's log-likelihood over all trigrams of
+    identified texts, in one pass; nothing if there are none. Taken over labelled texts that
+    the model has not seen, it tells what a text in these languages is like."""
+    n, square = F.sum("grams"), F.col("spread") * F.col("spread") + F.col("fit") * F.col("fit")
+    row = found.where("fit is not null").agg(
+        (F.sum(F.col("grams") * F.col("fit")) / n).alias("mean"), (F.sum(F.col("grams") * square) / n).alias("square")).first()
+    return None if row.mean is None else (row.mean, max(0.0, row.square - row.mean ** 2) ** 0.5)
+
+
+#: Standard deviations below the mean at which a text is no longer plausible, and further ones
+#: for the chance in the mean of few trigrams.
+AWAY, CHANCE = 3.0, 6.0
+
+
+def plausible(usual: tuple[float, float]) -> F.Column:
+    """Whether a text's fit is that of the languages learned, whatever their shares."""
+    mean, deviation = usual
+    return F.col("fit") >= F.lit(mean) - F.lit(deviation) * (AWAY + CHANCE / F.sqrt("grams"))
+
+
 def fold(key: str = "doc_id"):
     """The fold of a row, 0 to 3; those in fold 2 are never learned from."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))

@@ -163,6 +163,19 @@ def test_tree_search_of_awkward_rows(spark, awkward_folder):
     assert tree_search.op7_tree_search(spark, f"{path}/none").count() == 0
 
 
+def test_lists_are_full(spark):
+    """Few rows, small clusters, and rows that repeat a query's key."""
+    random = np.random.default_rng(4)
+    few = [(i, random.normal(size=6).tolist()) for i in range(45)]
+    centres = random.normal(size=(40, 6)) * 20
+    clustered = [(i, (centres[i % 40] + random.normal(size=6) * 0.01).tolist()) for i in range(600)]
+    for rows in (few, clustered, clustered + [(0, clustered[0][1])] * 30):
+        frame = spark.createDataFrame(rows, "key long, vector array<double>")
+        got = table_of(tree_search.search(frame, frame.where("key % 20 = 0"), recall=0.5))
+        others = lambda q: sum(k != q for k, _ in rows)
+        assert {q: len(found) for q, found in got.items()} == {q: min(20, others(q)) for q, _ in rows if q % 20 == 0}
+
+
 def test_searches_of_a_table(spark, folder):
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
     ids, vectors = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
@@ -201,14 +214,15 @@ def test_pipeline_stages(spark, folder, documents):
 
     texts = lambda frame: {r.doc_id: r.text for r in frame.collect()}
     stages = dict(corpus_pipeline.STAGES)
-    odd = [(10**6, None, "en", "src0", 0), (10**6 + 1, "123 !!", "en", "src0", 6)]
+    odd = [(10**6, None, "en", "src0", 0), (10**6 + 1, "123 !!", "en", "src0", 6), (10**6 + 2, "xqzv kjwq zxcv", None, "src0", 14),
+           (10**6 + 3, "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", None, "src0", 10)]
     docs = spark.createDataFrame([*documents.orderBy("doc_id").take(120), *odd], documents.schema)
     known = stages["language_id"](spark, docs, folder)
     assert known.columns == docs.columns
-    assert set(texts(known)) == {k for k, t in texts(docs).items() if t and any(c.isalpha() for c in t)}
+    assert set(texts(known)) == set(texts(docs)) - {r[0] for r in odd}  # the learned languages stay, all of them
     known = spark.createDataFrame(known.collect(), docs.schema)
     lined = stages["line_dedup"](spark, known, folder)
-    want = {k: t for k, t in brute.deduped(texts(known)).items() if t}
+    want = {k: t for (k, _), (t, _) in brute.without_chunks(list(texts(known).items())).items() if t}
     assert texts(lined) == want and {r.n_chars for r in lined.collect()} == {len(t) for t in want.values()}
     lined = spark.createDataFrame(lined.collect(), docs.schema)
     single = stages["simhash_near_dedup"](spark, lined, folder)

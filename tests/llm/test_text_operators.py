@@ -53,6 +53,33 @@ def test_long_merges_equal_short_ones(ranks):
             assert bpe._merge_long(piece, table) == bpe.merge(piece, table)
 
 
+def test_long_texts_are_encoded_by_stretches(spark, ranks, reference):
+    random.seed(9)
+    words = ["don't", "we'll", "it's", "caf\u00e9", "a", "1234", "\n\n", "  ", "x!", "'s", "o'", "\u4e2d", " the", "end."]
+    text = " ".join(random.choice(words) for _ in range(3000))
+    for size in (1, 7, 50, 10**6):
+        cut = bpe.stretches(text, size)
+        assert "".join(cut) == text and (len(cut) > 1) == (size < len(text))
+    assert bpe.stretches("x" * 5000, 10) == ["x" * 5000] and bpe.stretches("", 10) == [""]
+    frame = spark.createDataFrame([(1, text), (2, "short one"), (3, None), (4, text[::-1])], "doc_id long, text string")
+    want = {r.doc_id: r for r in bpe.encode(frame, ranks).collect()}
+    for r in bpe.encode(frame, ranks, batch_bytes=100, stretch=40).collect():
+        assert r == want[r.doc_id] and list(r.ids) == reference.encode_ordinary({1: text, 2: "short one", 4: text[::-1]}.get(r.doc_id, ""))
+
+
+def test_batches_by_size():
+    import pyarrow as pa
+
+    from tallywright.llm.common import by_size
+
+    texts = ["a" * 5, None, "", "b" * 12, "c", "d" * 4, "e" * 4, "f" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["k", "t"])
+    for slice_of in (batch, batch.slice(1, 6)):
+        parts = [p.column(1).to_pylist() for p in by_size([slice_of], 1, 10, 3)]
+        assert sum(parts, []) == slice_of.column(1).to_pylist()
+        assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts)
+
+
 def test_encode_and_decode(awkward, nothing, ranks, reference):
     coded = bpe.decode(bpe.encode(awkward, ranks), ranks)
     assert coded.columns == ["doc_id", "ids", "starts", "ends", "decoded"]
@@ -87,11 +114,21 @@ def test_simhash_of_awkward_rows(awkward, nothing):
     assert kept.columns == awkward.columns
     root = brute.near_components({k: v for k, v in prints.items() if k is not None})
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [k for k in sorted(root) if root[k] == k]
-    assert kept.where("doc_id = 11").count() == 1 and kept.where("doc_id is null").count() == (len(set(prints.values())) > len(set(prints[k] for k in root)))
+    alone = all((prints[None] ^ prints[k]).bit_count() > 3 for k in root)
+    assert kept.where("doc_id = 11").count() == 1 and kept.where("doc_id is null").count() == alone
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.keep_one(nothing).columns == nothing.columns
 
 
+def test_rows_without_key_are_told_apart(spark):
+    """Of each component one row stays, though all share the null key."""
+    texts = [" ".join(f"{w}{i}" for w in "alpha beta gamma delta eps zeta eta theta".split()) for i in range(4)]
+    rows = [(None, t, n) for n, t in enumerate([*texts, texts[0], texts[0], texts[1].upper()])] + [(5, texts[2], 9), (5, texts[3], 8), (5, texts[3], 7)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert len(kept) == 4 and {r.text.lower() for r in kept} == set(texts)
+    assert [r.n for r in kept if r.text == texts[3]] == [7]  # of equal rows the smallest, and a key before none
+
+
 def test_links_within_hot_groups(spark):
     """Groups around a centre, chains of links, and far ones; against all pairs."""
     random.seed(6)
@@ -144,6 +181,24 @@ def test_mixtures_are_found(spark, documents):
     assert {"en", "de"} <= set(found.langs) and abs(found.score - 0.5) < 0.15
 
 
+def test_texts_in_no_learned_language_are_not_plausible(spark, documents):
+    model = langid.learn(langid.training(documents))
+    usual = langid.expected(langid.identify(documents.where("lang is not null").where(langid.fold() == 2), model))
+    odd = ["\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8\u306f\u3053\u3053", "xqzv kjwq", "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440, \u044d\u0442\u043e \u0442\u0435\u043a\u0441\u0442", "hdfjkg sdfkjg hsdkfjg " * 50, "123", None]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert langid.identify(frame, model).where(langid.plausible(usual)).count() == 0
+    known = langid.identify(documents, model)
+    assert known.where(langid.plausible(usual)).count() >= 0.99 * known.where("grams > 0").count()
+    assert langid.expected(known.limit(0)) is None
+    row = known.where("grams > 50").first()  # the mixture's likelihood, trigram by trigram
+    text = documents.where(f"doc_id = {row.doc_id}").first().text
+    logs = model[1][langid.trigrams(text)][:, [model[0].index(x) for x in row.langs]].astype(float)
+    import numpy as np
+
+    each = np.log(np.exp(logs) @ np.array(row.shares))
+    assert row.grams == len(each) and row.fit == pytest.approx(each.mean(), abs=1e-3) and row.spread == pytest.approx(each.std(), abs=1e-3)
+
+
 def test_op9_on_held_out_rows(spark, folder, documents):
     rows = langid.op9_language_id(spark, folder).join(documents, "doc_id").where("held_out and length(text) > 60").collect()
     assert len(rows) > 20
@@ -181,6 +236,19 @@ def test_base_spans_equal_the_patterns():
         pii.base_spans(long)  # in linear time
 
 
+def test_contexts_of_many_spans_in_linear_time():
+    import time
+
+    text = " ".join(f"word{'abcdefgh'[i % 8]} u{i}@mail.example" for i in range(20_000))
+    began = time.time()
+    spans = pii.base_spans(text)
+    near = pii.contexts(text, spans)
+    assert len(spans) == 20_000 and time.time() - began < 30
+    few = pii.base_spans(text[:2000])
+    assert pii.contexts(text[:2000], few)[:20] == near[:20]
+    assert all(not any(x["start"] < e and s < x["end"] for _, s, e in few) for x in pii.contexts(text[:2000], few))
+
+
 def test_revealing_terms(spark):
     """A word that only stands beside emails discloses them; common ones do not."""
     words = "alder birch cedar hazel larch maple rowan willow".split()
@@ -235,7 +303,7 @@ def test_mixing_of_awkward_rows(awkward, nothing):
 def test_rounding_keeps_counts_and_repeats(spark):
     """A source of many blocks: the number of further copies misses by less than one."""
     units = spark.range(5000).select(
-        F.col("id").alias("key"), F.lit("a").alias("source"), (F.col("id") % 50 + 1).alias("size"), F.lit(1.37).alias("rate"))
+        F.col("id").alias("key"), F.lit(0).cast("long").alias("rid"), F.lit(0).cast("long").alias("salt"), F.lit("a").alias("source"), (F.col("id") % 50 + 1).alias("size"), F.lit(1.37).alias("rate"))
     out = mixing.rounded(units, block=16)
     assert out.count() == 5000 and {r[0] for r in out.select("copies").distinct().collect()} == {1, 2}
     assert abs(out.agg(F.sum("copies")).first()[0] - 1.37 * 5000) < 1 + 1e-6
@@ -244,6 +312,26 @@ def test_rounding_keeps_counts_and_repeats(spark):
     assert out.exceptAll(mixing.rounded(units, block=16)).count() == 0
 
 
+def test_many_rows_without_key(spark):
+    """Equal rows meet in many blocks; other texts under the null key are other documents."""
+    import time
+
+    rows = spark.range(40_000).selectExpr(
+        "cast(null AS long) AS doc_id", "if(id < 30000, 'same text', concat('text no ', id)) AS text", "if(id % 2 = 0, 'a', 'b') AS source")
+    began = time.time()
+    out = mixing.mix(rows).collect()
+    assert time.time() - began < 100 and len(out) == 40_000
+    sizes, taken = {}, {}
+    for r in out:
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r["size"]
+    want = brute.targets(sizes)
+    assert all(abs(taken[s] - want[s]) < 0.01 * want[s] for s in sizes)
+    few = spark.createDataFrame([(None, f"text {i}", "a") for i in range(6)] + [(None, "text 0", "a"), (1, "x", "a"), (1, "y", "a")],
+                                "doc_id long, text string, source string")
+    assert sorted(r.text for r in mixing.mixed(few).collect()) == sorted([f"text {i}" for i in range(6)] + ["text 0", "x", "y"])
+
+
 def test_op8(spark, folder, documents):
     rows = mixing.op8_mixing(spark, folder).join(documents.select("doc_id", "source", "text"), "doc_id").collect()
     sizes = {}
