@@ -7,6 +7,10 @@ leaves come out in the order in which they are to be visited. How many are visit
 is calibrated: for sampled queries the true neighbours are found among all rows,
 and visits widen until the leaves visited hold the wanted part of them.
 
+Rows are compared by cells: neighbouring small leaves share one, a large leaf is
+several, so a cell's rows are bounded. A query goes once to each cell that it visits a
+leaf of, with the list of those leaves.
+
 Nearness is the inner product. Vectors get a further component that makes their
 lengths equal, so that the nearest by distance is the largest inner product.
 """
@@ -14,6 +18,7 @@ lengths equal, so that the nearest by distance is the largest inner product.
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,8 +144,27 @@ def _matrix(column, width: int) -> np.ndarray:
     return lists(column)[0].astype(np.float64).reshape(-1, width)
 
 
-def top(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, queries: np.ndarray, k: int):
-    """Per query the ids and inner products of the k best rows but its own.
+def cells_of(held: dict[int, int], leaves: int, size: int) -> tuple[list[int], list[int]]:
+    """Per leaf its first cell and its number of cells, of about ``size`` rows at most.
+
+    Leaves that follow each other in the tree share a cell while their rows fit into it;
+    an empty leaf is in whatever cell is at hand.
+    """
+    first, many, cell, filled = [], [], -1, size
+    for leaf in range(leaves):
+        n = held.get(leaf, 0)
+        if filled + n > size:
+            cell, filled = cell + 1, 0
+        first.append(cell)
+        many.append(blocks_for(n, size))
+        cell += many[-1] - 1
+        filled = size if many[-1] > 1 else filled + n
+    return first, many
+
+
+def top(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, queries: np.ndarray, k: int, visited=None):
+    """Per query the ids and inner products of the k best rows but its own; with
+    ``visited``, which gives a mask of the rows for a query's place, of those only.
 
     A matrix product narrows the rows down, with a margin for its rounding; scores
     are then computed one by one in the same order of terms, so that equal vectors
@@ -149,8 +173,10 @@ def top(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, queries: np.ndarray
     found, scores = [], []
     for at in range(0, len(keys), 256):
         block = queries[at:at + 256] @ rows.T
-        for key, query, line in zip(keys[at:at + 256].tolist(), queries[at:at + 256], block):
+        for i, (key, query, line) in enumerate(zip(keys[at:at + 256].tolist(), queries[at:at + 256], block), at):
             line[ids == key] = -np.inf
+            if visited:
+                line[~visited(i)] = -np.inf
             if len(line) > k:
                 limit = np.partition(line, len(line) - k)[len(line) - k]
                 near = np.flatnonzero(line >= limit - 1e-9 * max(1.0, abs(limit))) if limit > -np.inf else np.flatnonzero(line > -np.inf)
@@ -219,7 +245,7 @@ def search(
     late = np.sort([turn[q].get(leaf, tree.leaves) for q, leaf in true])
     visits = int(late[max(0, int(np.ceil(recall * len(late))) - 1)]) + 1 if len(late) else tree.leaves
 
-    blocks = {leaf: blocks_for(n, row_block) for leaf, n in in_leaf.items()}
+    first, many = cells_of(in_leaf, tree.leaves, row_block)
     # a query's own key is no candidate, however many rows have it
     own = index.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     query_blocks = blocks_for(asked.count(), query_block)
@@ -227,35 +253,38 @@ def search(
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             points = _matrix(batch.column(1), width)
-            taken, leaves, parts = [], [], []
+            taken, cells, leaves = [], [], []
             for i, point in enumerate(points):
+                opened = defaultdict(list)
                 for leaf in tree.visits(_as_query(point, longest), visits, k + own, in_leaf):
-                    for part in range(blocks.get(leaf, 0)):
-                        taken.append(i), leaves.append(leaf), parts.append(part)
+                    for part in range(many[leaf] if in_leaf.get(leaf) else 0):
+                        opened[first[leaf] + part].append(leaf)
+                for cell, those in opened.items():
+                    taken.append(i), cells.append(cell), leaves.append(those)
             chosen = batch.take(pa.array(taken, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*chosen.columns, pa.array(leaves, pa.int32()), pa.array(parts, pa.int32())],
-                names=["key", "vector", "q", "leaf", "part"])
+                [*chosen.columns, pa.array(cells, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                names=["key", "vector", "q", "cell", "leaves"])
 
     right = asked.select("key", "vector", block_of(F.col("key"), query_blocks, 2).alias("q")) \
-        .mapInArrow(visit, "key long, vector array<double>, q int, leaf int, part int")
-    # a leaf with many rows is several parts, each of bounded size
-    of_leaf = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
+        .mapInArrow(visit, "key long, vector array<double>, q int, cell int, leaves array<int>")
+    # an array is looked up by place, so a row's cell costs the same for any number of leaves
+    part = F.pmod(F.xxhash64(F.lit(1), "key"), F.get(F.lit(many), F.col("leaf")))
     left = index.select(
-        "key", "vector", "leaf",
-        F.pmod(F.xxhash64(F.lit(1), "key"), F.element_at(of_leaf, F.col("leaf"))).cast("int").alias("part"),
+        "key", "vector", "leaf", (F.get(F.lit(first), F.col("leaf")) + part).cast("int").alias("cell"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"),
     )
 
     def compare(of_rows: pa.Table, of_queries: pa.Table) -> pa.Table:
         if not len(of_rows) or not len(of_queries):
             return found_batch([], [], [], pa.float64())
-        keys = of_queries["key"].to_numpy()
+        keys, leaf, leaves = of_queries["key"].to_numpy(), of_rows["leaf"].to_numpy(), of_queries["leaves"].to_pylist()
         found, scores = top(
-            of_rows["key"].to_numpy(), _matrix(of_rows["vector"], width), keys, _matrix(of_queries["vector"], width), k)
+            of_rows["key"].to_numpy(), _matrix(of_rows["vector"], width), keys, _matrix(of_queries["vector"], width), k,
+            lambda i: np.isin(leaf, leaves[i]))
         return found_batch(keys.tolist(), found, scores, pa.float64())
 
-    cell = ["leaf", "part", "q"]
+    cell = ["cell", "q"]
     return best(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(compare, out), k)
 
 
