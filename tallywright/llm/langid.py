@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import pieces, table
+from tallywright.llm.common import by_size, table
 
 BUCKETS = 1 << 16
 ROUNDS = 12
@@ -73,12 +73,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
     Each task sends at most one count per language and bucket; Spark adds them up.
     The driver receives that table: languages times 65536 numbers at most, however
-    many rows there are.
+    many rows there are. ``lang`` names languages, of which there are dozens. A worker holds the
+    trigrams of a few megabytes of text at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in pieces(batches):
+        for batch in by_size(batches, 0):
             found: dict[str, list[np.ndarray]] = {}
             for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.setdefault(l, []).append(trigrams(t))
@@ -180,7 +181,7 @@ def identify(
             _MODELS.clear()
             _MODELS[name] = shared.value
         langs, logs = _MODELS[name]
-        for batch in pieces(batches):
+        for batch in by_size(batches, 1):
             best, score, sets, shares, grams, fits, spreads = [], [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 buckets = trigrams(t)
