@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import pieces, stored, table
+from tallywright.llm.common import by_size, stored, table
 
 #: Kinds in order; the last two are the method's.
 KINDS = ["email", "ip", "card", "phone", "term_generalised", "term_removed"]
@@ -181,7 +181,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = Counter(), None
-        for batch in pieces(batches, 256):
+        for batch in by_size(batches, 2, rows=256):
             kind = batch.column(0).type
             spans, near = [], []
             for t in batch.column(2).to_pylist():
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                 found = base_spans(t)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
                 near.append(contexts(t, found))
-                counts.update(TERM.findall(t.lower()))
+                counts.update(w.lower() for w in TERM.findall(t))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(spans, kinds[0]), pa.array(near, kinds[1]),
                 pa.nulls(len(spans), kinds[2]),
@@ -237,7 +237,7 @@ def occurrences(docs: DataFrame, key: str, text: str, kinds: dict[str, int] | No
     kind = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 64):
+        for batch in by_size(batches, 2, rows=64):
             found = []
             for t in batch.column(2).to_pylist():
                 t = t or ""

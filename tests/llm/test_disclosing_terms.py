@@ -28,3 +28,13 @@ def test_free_terms_overlap_no_span():
     spans = [(0, 6, 8), (1, 7, 10), (0, 17, 17 + 5)]
     assert list(pii.free_terms(text, spans)) == [("alpha", 0, 5), ("gamma", 11, 16)]
     assert len(list(pii.free_terms(text, []))) == 4
+
+
+def test_terms_that_grow_in_lower_case(spark):
+    """A lower-cased capital I with a dot is two code points; the term is still counted as one word."""
+    docs = [(i, f"the cat {w} sat {i} \u0130stanbul u{i}@mail.example the dog") for i, w in enumerate(
+        "alder birch cedar hazel larch maple rowan willow".split())]
+    docs += [(100 + i, "the cat and the dog sat on the mat " * 20) for i in range(20)] + [(200, "\u0130STANBUL only")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(frame).collect()}
+    assert rows[200] == [(pii.REMOVED, 0, 8)] and (pii.REMOVED, 20, 28) in rows[0]
