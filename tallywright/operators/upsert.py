@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallywright.sources.uploads import ROW_ORDER
 
 COPIES = "__copies"
-_FOUND = "__found"
+FOUND = "__found"
 
 
 def last_rows(batch: DataFrame, key: str = "id", order: str = ROW_ORDER) -> DataFrame:
@@ -44,8 +44,8 @@ def mark_stored(last: DataFrame, stored: DataFrame, key: str = "id") -> DataFram
 
     Other columns of ``stored`` come along, null for new keys.
     """
-    flags = stored.withColumn(_FOUND, F.lit(True))
-    return last.join(flags, key, "left").withColumn(_FOUND, F.coalesce(_FOUND, F.lit(False)))
+    flags = stored.withColumn(FOUND, F.lit(True))
+    return last.join(flags, key, "left").withColumn(FOUND, F.coalesce(FOUND, F.lit(False)))
 
 
 def _rows_where(wanted) -> Column:
@@ -53,7 +53,7 @@ def _rows_where(wanted) -> Column:
 
 
 def _refused() -> Column:
-    return ~F.col(_FOUND) & (F.col(COPIES) > 1)
+    return ~F.col(FOUND) & (F.col(COPIES) > 1)
 
 
 def upsert_counts(marked: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def tally() -> list[Column]:
     """Aggregates over a marked batch: rows created and updated, new keys that it has more
     than once, and the rows of those."""
     return [
-        _rows_where(~F.col(_FOUND)).alias("created"), _rows_where(F.col(_FOUND)).alias("updated"),
+        _rows_where(~F.col(FOUND)).alias("created"), _rows_where(F.col(FOUND)).alias("updated"),
         F.count(F.when(_refused(), 1)).alias("conflicts"), _rows_where(_refused()).alias("refused"),
     ]
 
@@ -86,7 +86,7 @@ def merged(current: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:
     types = {f.name: f.dataType for f in current.schema.fields}
     fields, given = list(types), set(marked.columns)
     carried = [f for f in fields if f in given and f != key]
-    updates = marked.filter(_FOUND).select(
+    updates = marked.filter(FOUND).select(
         key, F.struct(*carried).alias("__new"), F.lit(True).alias("__hit")
     )
     taken = [
@@ -95,7 +95,7 @@ def merged(current: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:
         for f in fields
     ]
     kept = current.join(updates, key, "left").select(*taken)
-    created = marked.filter(~F.col(_FOUND)).select(
+    created = marked.filter(~F.col(FOUND)).select(
         *[F.col(f) if f in carried or f == key else F.lit(None).cast(types[f]).alias(f)
           for f in fields]
     )

@@ -54,6 +54,14 @@ class OrderKeys:
         self.catch_up()
         return _newest(self.entries(batch).join(batch.select("id"), "id", "left_semi"))
 
+    def near(self, batch: DataFrame) -> DataFrame | None:
+        """``id, stored_month`` of the buckets that hold the batch's ids; none if no order is stored yet."""
+        if not self.catch_up():
+            return None
+        entries = self.entries(batch)
+        # In buckets of one part, an import's, an id has one row.
+        return entries.select("id", MONTH) if max(self.store.parts(KEYS).values()) == 1 else _newest(entries)
+
     def extend(self, marked: DataFrame, version: int) -> None:
         """Add the ids of a merged batch that are new or have another month. ``marked``
         has ``stored_month`` as it was and the month slot as it is now."""

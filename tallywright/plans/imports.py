@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallywright.operators import upsert as U
@@ -35,37 +36,66 @@ def import_upload(store: TableStore, spec: UploadSpec, upload: DataFrame) -> Imp
 def merge_rows(store: TableStore, spec: UploadSpec, rows: DataFrame) -> ImportResult:
     """Merge typed rows with their position into the table; as ``import_upload``.
 
-    Stored orders are found through the index of their ids, contacts in the slots that
-    follow from theirs. What the batch counts and touches is counted by the job that writes
-    the marked batch, in its last stage, where each row is counted once.
+    The rows are written once, as files of the table's next version. From there on only keys
+    are shuffled to tell how often each occurs and where it is stored: orders are found
+    through the index of their ids, contacts in the slots that follow from theirs. Stored
+    rows that the batch replaces are left out of the slots it touches, and the log entry
+    makes both readable. Only where keys occur more than once, or stored rows have
+    fields that the batch does not carry, its rows are joined with the stored ones.
     """
+    key, slot, now = spec.key, store.tables[spec.table].slot, "__now"
     with scratch(store.spark):
         with refusing_malformed():
-            batch = stored(U.last_rows(rows, spec.key), f"upload-{spec.table}")
-        slot, now = store.tables[spec.table].slot, "__now"
+            staged = store.stage(spec.table, rows, ROW_ORDER)
+        keys = staged.groupBy(key).agg(F.count(F.lit(1)).alias(U.COPIES), F.max(slot).alias(slot))
         if spec.table == "orders":
-            found = OrderKeys(store).find(batch).withColumnRenamed(MONTH, now)
+            index = OrderKeys(store)
+            known = index.near(staged)
+            known = known and known.withColumnRenamed(MONTH, now)
         else:
-            then = store.with_slot(spec.table, batch).select(slot).distinct()
-            candidates = store.read(spec.table, {r[0] for r in then.collect()})
-            found = U.stored_keys(candidates, batch, spec.key, slot).withColumnRenamed(slot, now)
-        told = Observation(f"import-{spec.table}")
-        marked = store.with_slot(spec.table, U.mark_stored(batch, found, spec.key)).observe(
-            told, *U.tally(), F.collect_set(now).alias("now"), F.collect_set(slot).alias("then"))
-        marked = stored(marked, f"marked-{spec.table}")
-        counts = told.get
+            then = {r[0] for r in staged.select(slot).distinct().collect()} & store.state(spec.table)[1].keys()
+            known = store.read(spec.table, then).select(key, F.col(slot).alias(now)) if then else None
+        tally = [*U.tally(), F.max(U.COPIES).alias("most"), F.collect_set(now).alias("now"), F.collect_set(slot).alias("then")]
+        if known is None:
+            # All keys are new, so each occurs once or the batch is refused.
+            marked = staged.select(key, slot, F.lit(None).cast("string").alias(now))
+            unknown = staged.groupBy(key).agg(F.count(F.lit(1)).alias(U.COPIES)).withColumn(U.FOUND, F.lit(False))
+            counts = unknown.agg(*tally[:-2]).first().asDict()
+            counts |= {"now": [], "then": [r[0] for r in staged.select(slot).distinct().collect()]}
+        else:
+            told = Observation(f"import-{spec.table}")
+            marked = stored(U.mark_stored(keys, known, key).observe(told, *tally), f"marked-{spec.table}")
+            unknown, counts = marked, told.get
         if counts["conflicts"]:
-            keys = ", ".join(str(r[spec.key]) for r in U.upsert_conflicts(marked, spec.key).take(5))
+            twice = ", ".join(str(r[key]) for r in U.upsert_conflicts(unknown, key).take(5))
             raise UploadRejected(
-                f"new keys occur more than once in the {spec.table} upload ({counts['refused']} rows): {keys}")
+                f"new keys occur more than once in the {spec.table} upload ({counts['refused']} rows): {twice}")
         result = ImportResult(counts["created"], counts["updated"])
         if result.created + result.updated == 0:
             return result
 
         # Where updated rows are now and where all rows of the batch belong.
         touched = {*counts["now"], *counts["then"]}
-        current = store.read(spec.table, touched).drop(slot)
-        version = store.publish(spec.table, U.merged(current, marked.drop(slot, now), spec.key), touched)
+        full = touched & store.state(spec.table)[1].keys()
+        current = store.read(spec.table, full).drop(slot)
+        if not full:
+            version = store.publish(spec.table, None, touched, staged=True)
+        elif counts["most"] == 1 and not _has_other_fields(current, staged, key):
+            carried = [f for f in current.columns if f in staged.columns]
+            kept = current.select(*carried)
+            if result.updated:
+                kept = kept.join(marked.filter(U.FOUND).select(key), key, "left_anti")
+            version = store.publish(spec.table, kept, touched, staged=True)
+        else:
+            batch, at = U.last_rows(staged.drop(slot), key), marked.filter(F.col(now).isNotNull())
+            marked = stored(store.with_slot(spec.table, U.mark_stored(batch, at.select(key, now), key)), f"whole-{spec.table}")
+            version = store.publish(spec.table, U.merged(current, marked.drop(slot, now), key), touched)
         if spec.table == "orders":
-            OrderKeys(store).extend(marked.withColumnRenamed(now, MONTH), version)
+            index.extend(marked.withColumnRenamed(now, MONTH), version)
         return result
+
+
+def _has_other_fields(current: DataFrame, batch: DataFrame, key: str) -> bool:
+    """Whether stored rows have values in fields that the batch does not carry."""
+    others = [F.col(f).isNotNull() for f in current.columns if f not in batch.columns and f != key]
+    return bool(others) and not current.filter(reduce(Column.__or__, others)).isEmpty()

@@ -25,7 +25,7 @@ def empty_space(star: S.Star) -> Workspace:
 
 def sales(star: S.Star, sql: str) -> DataFrame:
     """Typed rows as an upload has them after cleaning."""
-    rows = S.frame(star.spark, star.sf_dir, sql).withColumn("income", F.col("income").cast("double"))
+    rows = S.sales_lines(star.spark, star.sf_dir, sql).withColumn("income", F.col("income").cast("double"))
     return rows.withColumn(ROW_ORDER, F.monotonically_increasing_id())
 
 

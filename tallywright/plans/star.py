@@ -94,6 +94,16 @@ SELECT id, number, content, status, creation_date, utm_source, CAST(sum(income)
 FROM (""" + SALES + """) t GROUP BY id, number, content, status, creation_date, utm_source
 """
 
+# The same for Spark, from lines joined with their parts. The order's key is grouped by too: the
+# number tells it, so the groups are those, and the join with the orders has put them in place.
+_LINES_BY_ORDER = _LINES.replace(SALES, SALES.replace("SELECT", "SELECT l_orderkey,", 1)).replace("BY id", "BY l_orderkey, id") \
+    .replace("{lineitem}", "{lines}").replace("JOIN {part} ON l_partkey = p_partkey", "")
+_LINES_OF_PARTS = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_extendedprice, l_discount,
+       CASE WHEN p_size = 50 THEN NULL ELSE p_name END AS p_name, CAST(NULL AS INT) AS p_size
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+"""
+
 SALES_BEFORE = "SELECT * FROM (" + _LINES + """) s WHERE CAST(substr(number, 3) AS BIGINT) % 3 <> 0
 """
 
@@ -186,7 +196,23 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def frame(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
     """One of the SQL texts above as a DataFrame over the tables in ``sf_dir``."""
     used = {t: raw(spark, sf_dir, t) for t in RAW_TABLES if f"{{{t}}}" in sql}
-    return spark.sql(sql.replace("{STR}", "string"), **used, **more)
+    return spark.sql(sql.replace("{STR}", "string"), **(used | more))
+
+
+#: Bytes of the lines' files for each task that joins and groups them.
+LINES_PER_TASK = 16 << 20
+
+
+def sales_lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """``SALES_BEFORE`` or ``SALES_BATCH`` with one shuffle by the order's key, while lines are narrow.
+
+    The merge join leaves the lines of an order side by side, so that they also
+    compress well in the next shuffle.
+    """
+    size = sum(length for _, length, _ in files_of(spark, f"{sf_dir}/lineitem.parquet"))
+    lines = frame(spark, sf_dir, _LINES_OF_PARTS).repartition(max(8, size // LINES_PER_TASK), "l_orderkey")
+    orders = raw(spark, sf_dir, "orders").hint("merge")
+    return frame(spark, sf_dir, sql.replace(_LINES, _LINES_BY_ORDER), lines=lines, orders=orders)
 
 
 class Star:

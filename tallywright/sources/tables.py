@@ -83,6 +83,7 @@ class TableStore:
         self.root = root.rstrip("/")
         self.own = dict(tables or TABLES)
         self.tables = self.own | DERIVED
+        self._logs: dict[str, tuple[int, list[tuple[str, int]], int | None]] = {}
 
     # --- reading ---------------------------------------------------------
 
@@ -91,7 +92,8 @@ class TableStore:
         appended several times), and the version it covers of what it follows from.
 
         Each log entry lists all slots, so the newest one is found by listing the
-        log's folder, and only that one is read: one row per slot and part.
+        log's folder, and only that one is read: one row per slot and part. An entry
+        never changes, so it is read once.
         """
         log = f"{self.root}/{name}/log"
         versions = [
@@ -101,9 +103,12 @@ class TableStore:
         if not versions:
             return 0, [], None
         newest = max(versions)
+        if name in self._logs and self._logs[name][0] == newest:
+            return self._logs[name]
         rows = self.spark.read.schema(_LOG).parquet(f"{log}/version={newest}").collect()
         covers = next((r.covers for r in rows if r.covers is not None), None)
-        return newest, sorted((r.slot, r.slot_version) for r in rows if r.slot is not None), covers
+        self._logs[name] = newest, sorted((r.slot, r.slot_version) for r in rows if r.slot is not None), covers
+        return self._logs[name]
 
     def state(self, name: str) -> tuple[int, dict[str, int]]:
         """The latest version and the newest version of each slot."""
@@ -147,10 +152,22 @@ class TableStore:
         spec = self.tables[name]
         return rows.withColumn(spec.slot, spec.slot_of())
 
-    def publish(self, name: str, rows: DataFrame, touched: set[str] | None = None, covers: int | None = None) -> int:
-        """Make ``rows`` the content of the ``touched`` slots (of all, if not given)."""
+    def stage(self, name: str, rows: DataFrame, *more: str) -> DataFrame:
+        """``rows`` as files of the next version, for a ``publish`` that follows; until then no
+        reader sees them. Returns them with their slots; ``more``: columns to write beside
+        those of the table."""
+        version, fields = self._log(name)[0] + 1, self._fields(name, rows, *more)
+        slots = self._write(name, rows, version, more)
+        schema = T.StructType([*rows.select(*fields).schema.fields, T.StructField(self.tables[name].slot, T.StringType())])
+        if not slots:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/data/version={version}")
+
+    def publish(self, name: str, rows: DataFrame | None, touched: set[str] | None = None, covers: int | None = None, staged: bool = False) -> int:
+        """Make ``rows`` the content of the ``touched`` slots (of all, if not given), together
+        with the ``staged`` ones."""
         version, parts, _ = self._log(name)
-        written = self._write(name, rows, version + 1)
+        written = self._write(name, rows, version + 1, mode="append" if staged else "overwrite")
         kept = [] if touched is None else [(s, v) for s, v in parts if s not in touched]
         stray = written & {s for s, _ in kept}
         if stray:
@@ -168,12 +185,19 @@ class TableStore:
         version, parts, _ = self._log(name)
         return self._enter(name, version + 1, parts, covers)
 
-    def _write(self, name: str, rows: DataFrame, version: int) -> set[str]:
+    def _fields(self, name: str, rows: DataFrame, *more: str) -> list[str]:
+        return [f for f in (*self.tables[name].schema.fieldNames(), *more) if f in rows.columns]
+
+    def _write(self, name: str, rows: DataFrame | None, version: int, more: tuple[str, ...] = (), mode: str = "overwrite") -> set[str]:
         """Write a version's rows; returns the slots that have some."""
-        spec = self.tables[name]
         folder = f"{self.root}/{name}/data/version={version}"
-        fields = [f for f in spec.schema.fieldNames() if f in rows.columns]
-        slotted = self.with_slot(name, rows.select(*fields))
+        if rows is not None:
+            self._write_files(name, self.with_slot(name, rows.select(*self._fields(name, rows, *more))), folder, mode)
+        prefix = f"{self.tables[name].slot}="
+        return {f.removeprefix(prefix) for f in subfolders(self.spark, folder) if f.startswith(prefix)}
+
+    def _write_files(self, name: str, slotted: DataFrame, folder: str, mode: str) -> None:
+        spec = self.tables[name]
         # Rebalancing gathers a slot's rows into few files, and cuts a slot
         # that holds much of the table into as many tasks as its size asks for.
         spread = slotted.hint("rebalance", spec.slot)
@@ -182,9 +206,7 @@ class TableStore:
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.blooms}
         if blooms:  # as large as a file's values ask for
             blooms["parquet.bloom.filter.adaptive.enabled"] = "true"
-        spread.write.mode("overwrite").options(**blooms).partitionBy(spec.slot).parquet(folder)
-        prefix = f"{spec.slot}="
-        return {f.removeprefix(prefix) for f in subfolders(self.spark, folder) if f.startswith(prefix)}
+        spread.write.mode(mode).options(**blooms).partitionBy(spec.slot).parquet(folder)
 
     def _enter(self, name: str, version: int, parts: list[tuple[str, int]], covers: int | None) -> int:
         entries = [(s, v, covers) for s, v in sorted(parts)] or [(None, None, covers)]

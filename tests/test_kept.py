@@ -1,5 +1,6 @@
 """What imports keep: the index of ids, sums by day, products in step, files that can be skipped."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from tallywright.operators import reports as R
 from tallywright.operators.catalog import new_product_names
 from tallywright.operators.filters import SalesFilter
 from tallywright.plans import derived as D
+from tallywright.plans import star as S
 from tallywright.plans.imports import ImportResult, merge_rows
 from tallywright.plans.workspace import Workspace
 from tallywright.schemas import ORDER_UPLOAD
@@ -219,3 +221,59 @@ def test_a_heavy_product_is_spread(spark, make_catalog):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_rows_of_an_import_are_written_once(spark, tmp_path, monkeypatch):
+    """Unique keys over rows without other fields: only keys are joined, whole rows are neither reduced nor merged."""
+    space = Workspace(spark, str(tmp_path / "tables"))
+    for name in ("last_rows", "merged"):
+        monkeypatch.setattr(f"tallywright.operators.upsert.{name}", lambda *_, name=name: pytest.fail(f"{name} shuffles whole rows"))
+    first = [(str(i), "tea", f"2020-0{i % 3 + 1}-05", "a", float(i)) for i in range(9)]
+    assert merge_rows(space.store, ORDER_UPLOAD, batch(spark, first)) == ImportResult(9, 0)
+    assert merge_rows(space.store, ORDER_UPLOAD, batch(spark, [("1", "cup", "2020-05-05", None, None), ("x", None, None, "b", 2.0)])) == ImportResult(1, 1)
+    got = {o.id: (o.content, o.creation_date and str(o.creation_date)[:10], o.utm_source, o.income) for o in space.orders.collect()}
+    want = {r[0]: r[1:] for r in first} | {"1": ("cup", "2020-05-05", None, None), "x": (None, None, "b", 2.0)}
+    assert got == want
+    assert {e.id: e.stored_month for e in D._newest(space.store.read(D.KEYS)).collect()} == {k: (v[1] or "none")[:7] for k, v in want.items()}
+    assert space.store.state("orders") == (2, {"2020-01": 1, "2020-02": 2, "2020-03": 1, "2020-05": 2, "none": 2})
+
+
+def test_fields_that_a_batch_does_not_carry_stay(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "tables"))
+    old = batch(spark, [(k, "tea", "2020-01-05", "a", 1.0) for k in "123"])
+    merge_rows(space.store, ORDER_UPLOAD, old.withColumn("tags", F.concat(F.lit("t"), "id")))
+    merge_rows(space.store, ORDER_UPLOAD, batch(spark, [("2", "pot", "2020-01-06", "b", 1.0), ("4", "cup", "2020-01-06", "b", 1.0), ("2", "cup", "2020-02-07", "c", 2.0)]))
+    assert sorted(rows(space.orders.select("id", "content", "tags", "creation_month"))) == [
+        ("1", "tea", "t1", "2020-01"), ("2", "cup", "t2", "2020-02"), ("3", "tea", "t3", "2020-01"), ("4", "cup", None, "2020-01")]
+    assert rows(D._newest(space.store.read(D.KEYS)).filter("id = '2'")) == [("2", "2020-02")]
+
+
+def test_a_refused_upload_leaves_nothing_to_read(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "tables"))
+    one = batch(spark, [("1", "tea", "2020-01-05", "a", 1.0)])
+    merge_rows(space.store, ORDER_UPLOAD, one)
+    with pytest.raises(UploadRejected, match="2 rows"):
+        merge_rows(space.store, ORDER_UPLOAD, batch(spark, [("2", "tea", "2020-01-05", "a", 1.0)] * 2 + [("1", "pot", "2020-01-05", "a", 1.0)]))
+    assert rows(space.orders.select("id", "content")) == [("1", "tea")] and space.store.state("orders")[0] == 1
+    assert merge_rows(space.store, ORDER_UPLOAD, batch(spark, [("3", "tea", "2020-03-05", "a", 1.0)])) == ImportResult(1, 0)
+    assert sorted(rows(space.orders.select("id"))) == [("1",), ("3",)]
+
+
+def test_lines_are_shuffled_by_order_only(spark, tmp_path):
+    """Lines that share an id or differ by a null in it are grouped as the SQL says, without a shuffle by id."""
+    folder, tables = str(tmp_path), {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_discount double, l_returnflag string", [
+            (1, 5, 7, 1, 10.0, 0.1, "N"), (1, 5, 7, 1, 20.0, 0.0, "A"), (2, 5, None, 3, 1.0, 0.0, "N"), (2, 3, 5, None, 2.0, 0.0, "N"), (3, 5, 7, 1, 9.0, 0.5, "R"),
+            (4, 8, 7, 2, 9.0, None, None), (4, 9, 7, 2, 9.0, 0.0, "N"), (None, 5, 7, 1, 9.0, 0.0, "N"), (14, 5, 7, 1, 9.0, 0.0, "N")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz", [
+            (k, c, s, dt.datetime(1997, 1, 5)) for k, c, s in ((1, 1, "O"), (2, 1, "P"), (3, None, "P"), (4, 2, None), (14, 2, "F"), (14, 2, "F"), (None, 1, "O"))]),
+        "part": ("p_partkey long, p_name string, p_size int", [(5, "tea", 1), (3, "tea", None), (8, "cup", 50), (9, None, 2)]),
+    }
+    for name, (schema, made) in tables.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{folder}/{name}.parquet")
+    for sql in (S.SALES_BEFORE, S.SALES_BATCH):
+        plainly, by_order = S.frame(spark, folder, sql), S.sales_lines(spark, folder, sql)
+        assert sorted(map(str, rows(by_order))) == sorted(map(str, rows(plainly))) != []
+        text = plan(by_order, "simple")
+        assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(id" not in text
+        assert by_order.schema == plainly.schema
