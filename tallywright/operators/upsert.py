@@ -7,7 +7,9 @@ whole batch is refused.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.sources.uploads import ROW_ORDER
@@ -48,6 +50,33 @@ def mark_stored(last: DataFrame, stored: DataFrame, key: str = "id") -> DataFram
     return last.join(flags, key, "left").withColumn(FOUND, F.coalesce(FOUND, F.lit(False)))
 
 
+def marked_keys(batch: DataFrame, stored: DataFrame | None, key: str, at: str, now: str, place: Sequence[Column] = ()) -> DataFrame:
+    """Each key of the batch with its ``__copies``, the largest ``at`` of them, the place ``now``
+    where it is stored (null for new keys) and ``__found``.
+
+    One aggregate over the keys of both sides. ``place``: expressions of the key by which
+    rows are shuffled for it, so that what follows finds them there.
+    """
+    rows = batch.select(key, at, F.lit(None).cast("string").alias(now))
+    if stored is not None:
+        known = stored.filter(F.col(key).isNotNull()).select(key, F.lit(None).cast("string").alias(at), now)
+        rows = rows.unionByName(known)
+    extra = {f"__place{i}": p for i, p in enumerate(place)}
+    if extra:
+        rows = rows.withColumns(extra).repartition(*extra)
+    told = [F.count(at).alias(COPIES), F.max(at).alias(at), F.max(now).alias(now)]
+    return rows.groupBy(*extra, key).agg(*told).filter(F.col(COPIES) > 0).withColumn(FOUND, F.col(now).isNotNull()).drop(*extra)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, slot: str, piece: Column) -> DataFrame:
+    """``rows`` whose keys are not ``gone`` from their slot, with one shuffle, by slot and
+    ``piece`` (an expression of slot and key): they lie where their slots are written."""
+    both = rows.withColumn("__gone", F.lit(False)).unionByName(gone.select(key, slot, F.lit(True).alias("__gone")), allowMissingColumns=True)
+    both = both.withColumn("__piece", piece).repartition(slot, "__piece")
+    named = F.max("__gone").over(Window.partitionBy(slot, "__piece", key))
+    return both.withColumn("__gone", named).filter(~F.col("__gone")).drop("__gone", "__piece")
+
+
 def _rows_where(wanted) -> Column:
     return F.coalesce(F.sum(F.when(wanted, F.col(COPIES))), F.lit(0))
 

@@ -38,60 +38,56 @@ def merge_rows(store: TableStore, spec: UploadSpec, rows: DataFrame) -> ImportRe
 
     The rows are written once, as files of the table's next version. From there on only keys
     are shuffled to tell how often each occurs and where it is stored: orders are found
-    through the index of their ids, contacts in the slots that follow from theirs. Stored
-    rows that the batch replaces are left out of the slots it touches, and the log entry
-    makes both readable. Only where keys occur more than once, or stored rows have
-    fields that the batch does not carry, its rows are joined with the stored ones.
+    through the index of their ids, contacts in the slots that follow from theirs. Keys of
+    orders are shuffled to the buckets of the index, so what tells about them is also
+    what the index adds. Stored rows that the batch replaces are left out of the slots it
+    touches, and the log entry makes both readable. Only where keys occur more than once, or
+    stored rows have fields that the batch does not carry, its rows are joined with the stored ones.
     """
     key, slot, now = spec.key, store.tables[spec.table].slot, "__now"
     with scratch(store.spark):
         with refusing_malformed():
-            staged = store.stage(spec.table, rows, ROW_ORDER)
-        keys = staged.groupBy(key).agg(F.count(F.lit(1)).alias(U.COPIES), F.max(slot).alias(slot))
+            staged, then = store.stage(spec.table, rows, ROW_ORDER)
+        if not then:
+            return ImportResult(0, 0)
+        told = Observation(f"import-{spec.table}")
+        tally = [*U.tally(), F.max(U.COPIES).alias("most"), F.collect_set(now).alias("now")]
         if spec.table == "orders":
             index = OrderKeys(store)
             known = index.near(staged)
             known = known and known.withColumnRenamed(MONTH, now)
+            marked = U.marked_keys(staged, known, key, slot, now, index.place()).observe(told, *tally)
+            marked = index.stage(marked, store.state(spec.table)[0] + 1, now, U.COPIES, U.FOUND)
         else:
-            then = {r[0] for r in staged.select(slot).distinct().collect()} & store.state(spec.table)[1].keys()
-            known = store.read(spec.table, then).select(key, F.col(slot).alias(now)) if then else None
-        tally = [*U.tally(), F.max(U.COPIES).alias("most"), F.collect_set(now).alias("now"), F.collect_set(slot).alias("then")]
-        if known is None:
-            # All keys are new, so each occurs once or the batch is refused.
-            marked = staged.select(key, slot, F.lit(None).cast("string").alias(now))
-            unknown = staged.groupBy(key).agg(F.count(F.lit(1)).alias(U.COPIES)).withColumn(U.FOUND, F.lit(False))
-            counts = unknown.agg(*tally[:-2]).first().asDict()
-            counts |= {"now": [], "then": [r[0] for r in staged.select(slot).distinct().collect()]}
-        else:
-            told = Observation(f"import-{spec.table}")
-            marked = stored(U.mark_stored(keys, known, key).observe(told, *tally), f"marked-{spec.table}")
-            unknown, counts = marked, told.get
+            held = then & store.state(spec.table)[1].keys()
+            known = store.read(spec.table, held).select(key, F.col(slot).alias(now)) if held else None
+            marked = stored(U.marked_keys(staged, known, key, slot, now).observe(told, *tally), f"marked-{spec.table}")
+        counts = told.get
         if counts["conflicts"]:
-            twice = ", ".join(str(r[key]) for r in U.upsert_conflicts(unknown, key).take(5))
+            twice = ", ".join(str(r[key]) for r in U.upsert_conflicts(marked, key).take(5))
             raise UploadRejected(
                 f"new keys occur more than once in the {spec.table} upload ({counts['refused']} rows): {twice}")
         result = ImportResult(counts["created"], counts["updated"])
-        if result.created + result.updated == 0:
-            return result
 
         # Where updated rows are now and where all rows of the batch belong.
-        touched = {*counts["now"], *counts["then"]}
+        touched = {*counts["now"], *then}
         full = touched & store.state(spec.table)[1].keys()
-        current = store.read(spec.table, full).drop(slot)
+        current, whole = store.read(spec.table, full), None
         if not full:
             version = store.publish(spec.table, None, touched, staged=True)
-        elif counts["most"] == 1 and not _has_other_fields(current, staged, key):
-            carried = [f for f in current.columns if f in staged.columns]
-            kept = current.select(*carried)
+        elif counts["most"] == 1 and not _has_other_fields(current.drop(slot), staged, key):
+            kept = current.select(*[f for f in current.columns if f in staged.columns])
             if result.updated:
-                kept = kept.join(marked.filter(U.FOUND).select(key), key, "left_anti")
-            version = store.publish(spec.table, kept, touched, staged=True)
+                gone = marked.filter(U.FOUND).select(key, F.col(now).alias(slot))
+                kept = U.without(kept, gone, key, slot, store.piece(spec.table, full, key))
+            version = store.publish(spec.table, kept, touched, staged=True, placed=bool(result.updated))
         else:
             batch, at = U.last_rows(staged.drop(slot), key), marked.filter(F.col(now).isNotNull())
-            marked = stored(store.with_slot(spec.table, U.mark_stored(batch, at.select(key, now), key)), f"whole-{spec.table}")
-            version = store.publish(spec.table, U.merged(current, marked.drop(slot, now), key), touched)
+            whole = stored(store.with_slot(spec.table, U.mark_stored(batch, at.select(key, now), key)), f"whole-{spec.table}")
+            version = store.publish(spec.table, U.merged(current.drop(slot), whole.drop(slot, now), key), touched)
+            whole = whole.withColumnRenamed(now, MONTH)
         if spec.table == "orders":
-            index.extend(marked.withColumnRenamed(now, MONTH), version)
+            index.extend(whole, version)
         return result
 
 

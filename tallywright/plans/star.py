@@ -96,12 +96,17 @@ FROM (""" + SALES + """) t GROUP BY id, number, content, status, creation_date,
 
 # The same for Spark, from lines joined with their parts. The order's key is grouped by too: the
 # number tells it, so the groups are those, and the join with the orders has put them in place.
+# What a line's amount needs of its order is only the status, so lines carry the amount and not what it is made of.
+_AMOUNT = SALES[SALES.index("CAST(CAST(l_extendedprice"):SALES.index(" END AS income")]
+_INCOME = SALES[SALES.index("CASE WHEN l_returnflag"):SALES.index(" AS income")]
 _LINES_BY_ORDER = _LINES.replace(SALES, SALES.replace("SELECT", "SELECT l_orderkey,", 1)).replace("BY id", "BY l_orderkey, id") \
-    .replace("{lineitem}", "{lines}").replace("JOIN {part} ON l_partkey = p_partkey", "")
-_LINES_OF_PARTS = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_extendedprice, l_discount,
+    .replace("{lineitem}", "{lines}").replace("JOIN {part} ON l_partkey = p_partkey", "") \
+    .replace(_INCOME, "CASE WHEN returned AND o_orderstatus = 'P' THEN NULL ELSE amount END")
+_LINES_OF_PARTS = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'A' AS returned,
+       CASE WHEN l_returnflag = 'R' THEN CAST(0 AS DECIMAL(18,4)) ELSE {_AMOUNT} END AS amount,
        CASE WHEN p_size = 50 THEN NULL ELSE p_name END AS p_name, CAST(NULL AS INT) AS p_size
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+""" + """FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
 
 SALES_BEFORE = "SELECT * FROM (" + _LINES + """) s WHERE CAST(substr(number, 3) AS BIGINT) % 3 <> 0

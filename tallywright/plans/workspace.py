@@ -7,13 +7,13 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.functions import append_ids
+from tallywright.functions import append_ids, may_match
 from tallywright.operators import catalog as C
 from tallywright.operators import reports as R
 from tallywright.operators.filters import MONTH_SLOT, NO_MONTH, orders_by_source
 from tallywright.operators.present import freshness_text
 from tallywright.plans import tabs
-from tallywright.plans.derived import MONTH, OrderKeys, refresh
+from tallywright.plans.derived import OrderKeys, refresh
 from tallywright.plans.imports import ImportResult, import_upload
 from tallywright.schemas import UPLOADS
 from tallywright.session import scratch, stored
@@ -53,11 +53,11 @@ class Workspace:
 
     def orders_by_ids(self, asked: DataFrame) -> DataFrame:
         """The orders whose ids a frame lists, from the months that the index names."""
-        return self._orders_near(asked).join(asked.select("id").distinct(), "id", "left_semi")
+        asked = stored(asked.select("id").distinct(), "asked")
+        return may_match(self._orders_near(asked), asked, "id").join(asked, "id", "left_semi")
 
     def _orders_near(self, asked: DataFrame) -> DataFrame:
-        months = OrderKeys(self.store).find(asked).select(MONTH).distinct()
-        return self.store.read("orders", {r[MONTH] for r in months.collect()})
+        return self.store.read("orders", OrderKeys(self.store).months(asked))
 
     def orders_by_source(self, utm_source: str) -> DataFrame:
         """The orders of one source, from the months that have some."""

@@ -34,6 +34,8 @@ from tallywright.schemas import (
 from tallywright.session import subfolders
 
 CONTACT_SLOTS, KEY_SLOTS = 16, 64
+#: Bytes of a slot's files for each task that writes it, where rows are put in place by a key.
+PIECE = 32 << 20
 _LOG = "slot string, slot_version long, covers long"
 
 
@@ -152,32 +154,58 @@ class TableStore:
         spec = self.tables[name]
         return rows.withColumn(spec.slot, spec.slot_of())
 
-    def stage(self, name: str, rows: DataFrame, *more: str) -> DataFrame:
-        """``rows`` as files of the next version, for a ``publish`` that follows; until then no
-        reader sees them. Returns them with their slots; ``more``: columns to write beside
-        those of the table."""
+    def stage(self, name: str, rows: DataFrame, *more: str, placed: bool = False) -> tuple[DataFrame, set[str]]:
+        """``rows`` as files of the next version, for a ``publish`` or ``append`` that follows; until
+        then no reader sees them. Returns them with their slots, and the set of slots; ``more``:
+        columns to write beside those of the table; ``placed``: as for ``publish``."""
         version, fields = self._log(name)[0] + 1, self._fields(name, rows, *more)
-        slots = self._write(name, rows, version, more)
+        slots = self._write(name, rows, version, more, placed=placed)
         schema = T.StructType([*rows.select(*fields).schema.fields, T.StructField(self.tables[name].slot, T.StringType())])
         if not slots:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/data/version={version}")
-
-    def publish(self, name: str, rows: DataFrame | None, touched: set[str] | None = None, covers: int | None = None, staged: bool = False) -> int:
+            return self.spark.createDataFrame([], schema), slots
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/data/version={version}"), slots
+
+    def staged_bytes(self, name: str) -> int:
+        """The size of what is staged as the next version."""
+        return self._bytes(f"{self.root}/{name}/data/version={self._log(name)[0] + 1}")
+
+    def piece(self, name: str, slots: set[str], key: str) -> Column:
+        """A number by the key for rows that are put in place by slot: one for most slots, and
+        more where a slot's files are large, so that no task gets all of it."""
+        sizes: Counter[str] = Counter()
+        for slot, version in self._log(name)[1]:
+            if slot in slots:
+                sizes[slot] += self._bytes(f"{self.root}/{name}/data/version={version}/{self.tables[name].slot}={slot}")
+        large = [F.lit(x) for slot, size in sizes.items() if size > PIECE for x in (slot, size // PIECE + 1)]
+        if not large:
+            return F.lit(0)
+        pieces = F.coalesce(F.create_map(*large)[F.col(self.tables[name].slot)], F.lit(1))
+        return F.pmod(F.xxhash64(key), pieces)
+
+    def _bytes(self, path: str) -> int:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+    def publish(
+        self, name: str, rows: DataFrame | None, touched: set[str] | None = None, covers: int | None = None, staged: bool = False,
+        placed: bool = False,
+    ) -> int:
         """Make ``rows`` the content of the ``touched`` slots (of all, if not given), together
-        with the ``staged`` ones."""
+        with the ``staged`` ones. ``placed`` rows have their slots and are in their places: they
+        are written as they lie, without a shuffle."""
         version, parts, _ = self._log(name)
-        written = self._write(name, rows, version + 1, mode="append" if staged else "overwrite")
+        written = self._write(name, rows, version + 1, mode="append" if staged else "overwrite", placed=placed)
         kept = [] if touched is None else [(s, v) for s, v in parts if s not in touched]
         stray = written & {s for s, _ in kept}
         if stray:
             raise ValueError(f"rows outside the touched slots of {name}: {sorted(stray)[:5]}")
         return self._enter(name, version + 1, kept + [(s, version + 1) for s in written], covers)
 
-    def append(self, name: str, rows: DataFrame, covers: int | None = None) -> int:
-        """Add ``rows`` to what their slots hold already; nothing is read or rewritten."""
+    def append(self, name: str, rows: DataFrame | None, covers: int | None = None, leave: set[str] = frozenset()) -> int:
+        """Add ``rows``, or what is staged, to what their slots hold already; nothing is read or
+        rewritten. Staged slots to ``leave`` are not added."""
         version, parts, _ = self._log(name)
-        written = self._write(name, rows, version + 1)
+        written = self._write(name, rows, version + 1) - leave
         return self._enter(name, version + 1, parts + [(s, version + 1) for s in written], covers)
 
     def cover(self, name: str, covers: int) -> int:
@@ -188,19 +216,22 @@ class TableStore:
     def _fields(self, name: str, rows: DataFrame, *more: str) -> list[str]:
         return [f for f in (*self.tables[name].schema.fieldNames(), *more) if f in rows.columns]
 
-    def _write(self, name: str, rows: DataFrame | None, version: int, more: tuple[str, ...] = (), mode: str = "overwrite") -> set[str]:
+    def _write(
+        self, name: str, rows: DataFrame | None, version: int, more: tuple[str, ...] = (), mode: str = "overwrite", placed: bool = False,
+    ) -> set[str]:
         """Write a version's rows; returns the slots that have some."""
         folder = f"{self.root}/{name}/data/version={version}"
         if rows is not None:
-            self._write_files(name, self.with_slot(name, rows.select(*self._fields(name, rows, *more))), folder, mode)
+            chosen = rows.select(*self._fields(name, rows, *more), *([self.tables[name].slot] if placed else []))
+            self._write_files(name, chosen if placed else self.with_slot(name, chosen), folder, mode, placed)
         prefix = f"{self.tables[name].slot}="
         return {f.removeprefix(prefix) for f in subfolders(self.spark, folder) if f.startswith(prefix)}
 
-    def _write_files(self, name: str, slotted: DataFrame, folder: str, mode: str) -> None:
+    def _write_files(self, name: str, slotted: DataFrame, folder: str, mode: str, placed: bool = False) -> None:
         spec = self.tables[name]
         # Rebalancing gathers a slot's rows into few files, and cuts a slot
         # that holds much of the table into as many tasks as its size asks for.
-        spread = slotted.hint("rebalance", spec.slot)
+        spread = slotted if placed else slotted.hint("rebalance", spec.slot)
         if spec.sort:
             spread = spread.sortWithinPartitions(spec.slot, *spec.sort)
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.blooms}

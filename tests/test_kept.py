@@ -7,9 +7,10 @@ import pytest
 from helpers import plan, rows
 from pyspark.sql import functions as F
 
-from tallywright.functions import heavy_keys
+from tallywright.functions import heavy_keys, may_match
 from tallywright.operators import partner as P
 from tallywright.operators import reports as R
+from tallywright.operators import upsert as U
 from tallywright.operators.catalog import new_product_names
 from tallywright.operators.filters import SalesFilter
 from tallywright.plans import derived as D
@@ -277,3 +278,69 @@ def test_lines_are_shuffled_by_order_only(spark, tmp_path):
         text = plan(by_order, "simple")
         assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(id" not in text
         assert by_order.schema == plainly.schema
+
+
+def exchanges(frame):
+    return plan(frame, "simple").count("Exchange hashpartitioning")
+
+
+def test_rows_are_left_out_with_one_shuffle(spark):
+    """What stays lies by slot and piece, where it is written; nulls and equal keys in other slots stay."""
+    stored = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("2", "a", 3), ("2", "a", 4), (None, "a", 5), ("3", None, 6)], "id string, slot string, n int")
+    gone = spark.createDataFrame([("1", "a"), ("2", "a"), ("9", "b")], "id string, slot string")
+    for piece in (F.lit(0), F.pmod(F.xxhash64("id"), F.lit(3))):
+        left = U.without(stored, gone, "id", "slot", piece)
+        assert left.columns == stored.columns and exchanges(left) == 1
+        assert sorted(r.n for r in left.collect()) == [2, 5, 6]
+
+
+def test_keys_are_marked_with_one_shuffle(spark):
+    new = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), (None, "a"), (None, "a")], "id string, slot string")
+    old = spark.createDataFrame([("1", "c"), ("3", "c"), (None, "c")], "id string, now string")
+    for place in ([], [F.col("id").substr(1, 1), F.lit(0)]):
+        marked = U.marked_keys(new, old, "id", "slot", "now", place)
+        want = {("1", 2, "b", "c", True), ("2", 1, "a", None, False), (None, 2, "a", None, False)}
+        assert exchanges(marked) == 1 and set(map(tuple, marked.select("id", U.COPIES, "slot", "now", U.FOUND).collect())) == want
+        assert {(r.id, r[U.FOUND]) for r in U.marked_keys(new, None, "id", "slot", "now", place).collect()} == {("1", False), ("2", False), (None, False)}
+
+
+def test_keys_of_the_same_month_add_nothing_to_the_index(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "tables"))
+    both = [("1", "tea", "2020-01-05", "a", 1.0), ("2", "tea", "2020-01-05", "a", 1.0)]
+    merge_rows(space.store, ORDER_UPLOAD, batch(spark, both))
+    assert merge_rows(space.store, ORDER_UPLOAD, batch(spark, [both[0], ("2", "tea", "2020-02-05", "a", 1.0)])) == ImportResult(0, 2)
+    assert sorted(tuple(r)[:3] for r in space.store.read(D.KEYS).collect()) == [("1", "2020-01", 1), ("2", "2020-01", 1), ("2", "2020-02", 2)]
+    assert sorted(rows(space.orders.select("id", "creation_month"))) == [("1", "2020-01"), ("2", "2020-02")]
+
+
+def test_large_months_are_cut_into_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tallywright.sources.tables.PIECE", 300)
+    space, want = Workspace(spark, str(tmp_path / "tables")), {}
+    for first in (0, 40):
+        new = [(str(i), "tea", f"2020-01-{i % 28 + 1:02}", "a", float(i + first)) for i in range(first, first + 80)]
+        merge_rows(space.store, ORDER_UPLOAD, batch(spark, new))
+        want |= {r[0]: r[4] for r in new}
+    assert {r.id: r.income for r in space.orders.collect()} == want and space.orders.count() == 120
+    assert len({f for f in space.orders.inputFiles() if "version=2" in f}) > 2
+
+
+def test_a_look_up_ends_when_all_months_are_found(spark, tmp_path):
+    """Many ids: a few buckets of the index name all months, and the orders are sifted before they are shuffled."""
+    space = Workspace(spark, str(tmp_path / "tables"))
+    merge_rows(space.store, ORDER_UPLOAD, batch(spark, [(str(i), "tea", f"2020-0{i % 2 + 1}-05", "a", 1.0) for i in range(1500)]))
+    index, read = D.OrderKeys(space.store), []
+    whole = space.store.read
+    space.store.read = lambda name, slots=None: (read.append(slots) if name == D.KEYS else None) or whole(name, slots)
+    asked = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("id"))
+    assert index.months(asked) == {"2020-01", "2020-02"} and sum(map(len, read)) < 64
+    assert index.months(asked.filter("id = '3'")) == {"2020-02"} and index.months(asked.filter("id = '2997'")) == set()
+    del space.store.read
+    assert {r.id for r in space.orders_by_ids(asked.union(asked)).collect()} == {str(i) for i in range(0, 1500, 3)}
+    sifted = may_match(space.orders, asked, "id")
+    assert sifted.columns == space.orders.columns and 500 <= sifted.count() < 520
+    assert may_match(space.orders, asked, "id", 64).join(asked, "id", "left_semi").count() == 500
+
+
+def test_lines_carry_their_amount(spark):
+    text = S._LINES_BY_ORDER + S._LINES_OF_PARTS
+    assert text.count("l_extendedprice") == 1 and "l_returnflag" not in S._LINES_BY_ORDER
