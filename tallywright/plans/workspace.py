@@ -54,7 +54,9 @@ class Workspace:
     def orders_by_ids(self, asked: DataFrame) -> DataFrame:
         """The orders whose ids a frame lists, from the months that the index names."""
         asked = stored(asked.select("id").distinct(), "asked")
-        return may_match(self._orders_near(asked), asked, "id").join(asked, "id", "left_semi")
+        near = self._orders_near(asked)
+        # Asked ids are distinct, so this keeps rows as a semi join does, which Spark would push below the sieve.
+        return may_match(near, asked, "id").join(asked, "id").select(*near.columns)
 
     def _orders_near(self, asked: DataFrame) -> DataFrame:
         return self.store.read("orders", OrderKeys(self.store).months(asked))
